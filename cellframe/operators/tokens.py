@@ -170,3 +170,16 @@ def pad_recode(seqs: DataFrame, pad_value: float = PAD_VALUE, n_bins: int = N_BI
 def pad_mask(seqs: DataFrame, pad_id: int = PAD_TOKEN_ID) -> DataFrame:
     """PF-05: boolean per position, true where the gene id is the pad id."""
     return seqs.withColumn("pad_mask", F.transform("gene_ids", lambda g: g == pad_id))
+
+
+def pad_in_middle(seqs: DataFrame, pad_id: int = PAD_TOKEN_ID) -> DataFrame:
+    """DQ-02: flag rows where a pad id comes before a real id (padding must be at the end).
+
+    Unknown genes also carry the pad id, so they are reported here too.
+    """
+    ids = F.col("gene_ids")
+    real = F.transform(ids, lambda g: g != pad_id)
+    first_pad = F.array_position(ids, pad_id)
+    last_real = F.when(F.array_contains(real, True),
+                       F.size(ids) - F.array_position(F.reverse(real), True) + 1).otherwise(0)
+    return seqs.withColumn("pad_middle", (first_pad > 0) & (first_pad < last_real))
