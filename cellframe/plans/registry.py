@@ -32,5 +32,5 @@ def query(name: str, oracle: str | None = None):
 def load_all() -> None:
     """Import every module that registers queries."""
     from cellframe.plans import (  # noqa: F401
-        q_build, q_vocab, q_splits, q_metrics, q_vectors, q_graph, q_io, q_stream,
+        q_build, q_vocab, q_splits, q_metrics, q_vectors, q_metagenes, q_graph, q_io, q_stream,
     )
