@@ -22,18 +22,20 @@ from pyspark.sql import functions as F
 DEFAULT_BLOCK = 2048
 
 
-def _route(df: DataFrame, id_col: str, vec_col: str, block_size: int, extra: list[str] | None = None) -> DataFrame:
+def _route(df: DataFrame, id_col: str, vec_col: str, block_size: int, extra: dict | None = None) -> DataFrame:
     n = df.count()
     nb = max(1, math.ceil(n / block_size))
-    extra = extra or []
-    b = F.pmod(F.xxhash64(F.col(id_col)), F.lit(nb)).cast("int")
-    base = df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"), *extra).withColumn("_b", b)
+    extra = extra or {}
+    names = list(extra)
+    b = F.pmod(F.xxhash64(F.col("id")), F.lit(nb)).cast("int")
+    base = (df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"),
+                      *[c.alias(n) for n, c in extra.items()]).withColumn("_b", b))
     j = F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("_j")
     routed = base.select("*", j)
     return routed.select(
         F.least("_b", "_j").alias("bi"), F.greatest("_b", "_j").alias("bj"),
         (F.col("_b") != F.least("_b", "_j")).cast("int").alias("side"),
-        "id", "vec", *extra)
+        "id", "vec", *names)
 
 
 def _split(pdf: pd.DataFrame):
@@ -131,7 +133,7 @@ def cluster_distance_sums(df: DataFrame, id_col: str, vec_col: str, cluster_col:
     row to every cluster, self excluded; each block pair emits one row per
     (row, cluster present in the other block), so output is bounded by
     rows x clusters x blocks."""
-    routed = _route(df, id_col, vec_col, block_size, [F.col(cluster_col).alias("cl")])
+    routed = _route(df, id_col, vec_col, block_size, {"cl": F.col(cluster_col)})
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         diag, left, right = _split(pdf)
