@@ -43,11 +43,23 @@ def global_row_number(df: DataFrame, order_cols: list[str], name: str = "rn",
     return out
 
 
-def checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only if it has at most ``max_rows`` rows.
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate of ``df`` (an upper bound without CBO; no job runs)."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
-    Beyond the bound the DataFrame is returned unchanged, so the join falls
-    back to a shuffle join (and AQE may still convert it at run time).
+
+def checked_broadcast(df: DataFrame, max_rows: int, max_bytes: int = 64 << 20) -> DataFrame:
+    """Broadcast ``df`` only if its size is proven small.
+
+    First the optimizer's estimate (free, conservative); if that is not
+    conclusive, a bounded count (``limit(max_rows + 1)``).  Beyond the
+    bound the DataFrame is returned unchanged, so the join falls back to a
+    shuffle join (and AQE may still convert it at run time).
     """
+    try:
+        if estimated_bytes(df) <= max_bytes:
+            return F.broadcast(df)
+    except Exception:  # noqa: BLE001 - estimate unavailable: fall through to the count
+        pass
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
