@@ -63,29 +63,34 @@ def score_gene_sets(expr: DataFrame, cells: DataFrame, sets: DataFrame, n_bins:
       set's own genes are removed from its controls.
     * A set without genes or without controls scores 0 for every cell.
 
-    The gene-rank window runs over the gene table (one row per gene, the
-    gene universe is the bound); everything per cell is a grouped sum.
+    Plan shape: the expression table is scanned twice (gene means, then the
+    per-(set, cell) sums).  The small tables in between -- one row per gene,
+    and the member list (set genes + controls) -- are written once to the
+    shared checkpoint folder, so they are not recomputed per use.  The
+    gene-rank window runs over the gene table (bounded by the gene universe).
     """
-    all_sets = sets.select("set").distinct()
+    from cellframe.session import materialize
     n_cells = cells.count()
-    genes = expr.groupBy("gene").agg((F.sum("value") / F.lit(float(n_cells))).alias("avg"))
+    gstats = expr.groupBy("gene").agg((F.sum("value") / F.lit(float(n_cells))).alias("avg"))
+    rk = F.rank().over(Window.orderBy("avg"))
+    genes = materialize(gstats.withColumn("_rk", rk), "gene-means")
     n_genes = genes.count()
     n_items = max(1, int(round(n_genes / (n_bins - 1))))
-    rk = F.rank().over(Window.orderBy("avg"))
-    genes = genes.withColumn("cut", F.floor(rk / n_items).cast("int"))
-    sets = sets.select("set", "gene").join(genes.select("gene"), "gene", "left_semi")
-    set_bins = sets.join(genes, "gene").select("set", "cut").distinct()
+    genes = genes.withColumn("cut", F.floor(F.col("_rk") / n_items).cast("int")).drop("_rk")
+    set_ids = [r["set"] for r in sets.select("set").distinct().collect()]  # one id per set (parameter-sized)
+    valid = sets.select("set", "gene").join(genes.select("gene"), "gene", "left_semi")
+    set_bins = valid.join(genes, "gene").select("set", "cut").distinct()
     cand = genes.join(F.broadcast(set_bins), "cut").withColumn("_h", hash_order("gene", seed=seed))
     ctrl = (cand.withColumn("_r", F.row_number().over(Window.partitionBy("set", "cut").orderBy("_h")))
             .filter(F.col("_r") <= ctrl_size).select("set", "gene")
-            .join(sets, ["set", "gene"], "left_anti"))
-    members = (sets.withColumn("side", F.lit(1)).unionByName(ctrl.withColumn("side", F.lit(0))))
+            .join(valid, ["set", "gene"], "left_anti"))
+    members = materialize(valid.withColumn("side", F.lit(1)).unionByName(ctrl.withColumn("side", F.lit(0))),
+                          "set-members")
     sizes = members.groupBy("set").agg(F.count_if(F.col("side") == 1).alias("_m1"),
                                        F.count_if(F.col("side") == 0).alias("_m0"))
     sums = (expr.join(F.broadcast(members), "gene")
             .groupBy("set", "cell").agg(F.sum(F.when(F.col("side") == 1, F.col("value"))).alias("_s1"),
                                         F.sum(F.when(F.col("side") == 0, F.col("value"))).alias("_s0")))
-    set_ids = [r["set"] for r in all_sets.collect()]  # one id per set (a parameter-sized list)
     grid = cells.select("cell", F.explode(F.array(*[F.lit(x) for x in set_ids])
                                           if set_ids else F.array().cast("array<int>")).alias("set"))
     j = grid.join(F.broadcast(sizes), "set", "left").join(sums, ["set", "cell"], "left")
@@ -96,14 +101,18 @@ def score_gene_sets(expr: DataFrame, cells: DataFrame, sets: DataFrame, n_bins:
 
 
 def metagene_scores(expr: DataFrame, cells: DataFrame, sets: DataFrame, **kw) -> DataFrame:
-    """A-13: scores min-max scaled over cells per set; any non-finite result gives 0."""
+    """A-13: scores min-max scaled over cells per set; any non-finite result gives 0.
+
+    One aggregate per set gives min, max and the invalid count together.
+    """
     raw = score_gene_sets(expr, cells, sets, **kw)
-    bad = raw.groupBy("set").agg(F.count_if(F.isnan("score") | (F.abs("score") == float("inf")))
-                                 .alias("_bad"))
-    scaled = min_max_scale(raw, "set", "score", "scaled")
-    return (scaled.join(F.broadcast(bad), "set")
-            .withColumn("scaled", F.when(F.col("_bad") > 0, F.lit(0.0)).otherwise(F.col("scaled")))
-            .drop("_bad"))
+    v = F.col("score")
+    stats = raw.groupBy("set").agg(F.min(v).alias("_mn"), F.max(v).alias("_mx"),
+                                   F.count_if(F.isnan(v) | (F.abs(v) == float("inf"))).alias("_bad"))
+    j = raw.join(F.broadcast(stats), "set")
+    scaled = (F.when((F.col("_bad") > 0) | (F.col("_mx") == F.col("_mn")), F.lit(0.0))
+              .otherwise((v - F.col("_mn")) / (F.col("_mx") - F.col("_mn"))))
+    return j.select("set", "cell", "score", scaled.alias("scaled"))
 
 
 def min_max_scale(df: DataFrame, group: str, value: str, out: str) -> DataFrame:

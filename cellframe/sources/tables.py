@@ -36,16 +36,18 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 def expr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """v_expr: long sparse expression (sample, cell, gene, value), no zeros.
 
-    One pre-aggregation per (cell, gene) on lineitem+orders before the tiny
-    dimension joins; the sample name comes from broadcastable dimensions.
+    The cell -> sample join happens before the (cell, gene) aggregation, so
+    the join's hash partitioning on ``cell`` also serves the aggregation
+    (its keys contain ``cell``) and every later per-cell step (windows,
+    sequence assembly): one shuffle on ``cell`` for the whole per-cell
+    pipeline.
     """
     li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_quantity")
     o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
-    per_cell = (li.join(o, li.l_orderkey == o.o_orderkey)
-                .groupBy(F.col("o_custkey").alias("cell"), F.col("l_partkey").alias("gene"))
-                .agg(F.sum("l_quantity").alias("value")))
-    return (per_cell.join(cell_sample(spark, sf_dir), "cell")
-            .select("sample", "cell", "gene", "value"))
+    rows = li.join(o, li.l_orderkey == o.o_orderkey).select(
+        F.col("o_custkey").alias("cell"), F.col("l_partkey").alias("gene"), "l_quantity")
+    return (rows.join(cell_sample(spark, sf_dir), "cell")
+            .groupBy("sample", "cell", "gene").agg(F.sum("l_quantity").alias("value")))
 
 
 def cell_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
