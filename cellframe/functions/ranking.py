@@ -43,6 +43,33 @@ def global_row_number(df: DataFrame, order_cols: list[str], name: str = "rn",
     return out
 
 
+def grouped_row_number(df: DataFrame, group_cols: list[str], order_cols: list[str], name: str = "rn",
+                       start: int = 1, num_partitions: int | None = None) -> DataFrame:
+    """Exact ``row_number() over (partition by group order by order)`` without
+    putting a group in one task.
+
+    Rows are range-partitioned on (group, order), so a hot group is spread
+    over many partitions.  Inside a partition a group's rows are contiguous
+    and ``monotonically_increasing_id`` numbers them; a small table with one
+    row per (partition, group) -- at most partitions + groups rows -- gives
+    each group's offset from the partitions before it.  (group, order) must
+    be unique for the numbering to be deterministic.
+    """
+    spark = df.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = [*group_cols, *order_cols]
+    ranked = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+              .withColumn("_pid", F.spark_partition_id())
+              .withColumn("_mid", F.monotonically_increasing_id()))
+    firsts = ranked.groupBy("_pid", *group_cols).agg(F.min("_mid").alias("_m0"), F.count(F.lit(1)).alias("_n"))
+    w = (Window.partitionBy(*group_cols) if group_cols else Window.partitionBy(F.lit(0))) \
+        .orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = firsts.select("_pid", *group_cols, "_m0", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    return (ranked.join(offs, ["_pid", *group_cols])
+            .withColumn(name, F.col("_off") + (F.col("_mid") - F.col("_m0")) + F.lit(start))
+            .drop("_pid", "_mid", "_m0", "_off"))
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate of ``df`` (an upper bound without CBO; no job runs)."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -25,10 +25,15 @@ def majority_vote(df: DataFrame, cluster: str, label: str, pos: str, out: str =
 
 
 def metagene_lists(df: DataFrame, cluster: str, gene: str, order: str) -> DataFrame:
-    """cluster -> genes in input order."""
-    return df.groupBy(cluster).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(gene).alias("g")))),
-                    lambda s: s["g"]).alias("genes"))
+    """cluster -> (pos, gene) in input order, one row per member.
+
+    The position is an exact grouped row number computed without gathering
+    a cluster in one task (a cluster may hold a third of all genes).
+    """
+    from cellframe.functions.ranking import grouped_row_number
+    base = df.select(F.col(cluster), F.col(gene).alias("_g"), F.col(order).alias("_o"))
+    out = grouped_row_number(base, [cluster], ["_o", "_g"], "pos")
+    return out.select(cluster, F.col("pos").cast("long").alias("pos"), F.col("_g").alias(gene))
 
 
 def cluster_centroids(emb: DataFrame, cluster: str = "cluster", vec: str = "vec") -> DataFrame:
@@ -72,8 +77,12 @@ def score_gene_sets(expr: DataFrame, cells: DataFrame, sets: DataFrame, n_bins:
     from cellframe.session import materialize
     n_cells = cells.count()
     gstats = expr.groupBy("gene").agg((F.sum("value") / F.lit(float(n_cells))).alias("avg"))
-    rk = F.rank().over(Window.orderBy("avg"))
-    genes = materialize(gstats.withColumn("_rk", rk), "gene-means")
+    # rank(method='min') over all genes without a single-partition window:
+    # exact global row number on (avg, gene), then the smallest one per avg
+    from cellframe.functions.ranking import global_row_number
+    rn = global_row_number(gstats, ["avg", "gene"], "_rn")
+    rmin = rn.groupBy("avg").agg(F.min("_rn").alias("_rk"))
+    genes = materialize(rn.join(rmin, "avg").select("gene", "avg", "_rk"), "gene-means")
     n_genes = genes.count()
     n_items = max(1, int(round(n_genes / (n_bins - 1))))
     genes = genes.withColumn("cut", F.floor(F.col("_rk") / n_items).cast("int")).drop("_rk")

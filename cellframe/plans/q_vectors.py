@@ -196,9 +196,7 @@ def q_majority_vote(spark, sf):
     "SELECT cluster, CAST(ROW_NUMBER() OVER (PARTITION BY cluster ORDER BY gene) AS BIGINT) AS pos, gene FROM v_emb"))
 def q_metagene_lists(spark, sf):
     from cellframe.operators.metagenes import metagene_lists
-    lists = metagene_lists(T.emb(spark, sf), "cluster", "gene", "gene")
-    return (lists.select("cluster", F.posexplode("genes").alias("p", "gene"))
-            .select("cluster", (F.col("p") + 1).cast("long").alias("pos"), "gene"))
+    return metagene_lists(T.emb(spark, sf), "cluster", "gene", "gene")
 
 
 # ---------------------------------------------------------------- W-10 ----

@@ -159,3 +159,15 @@ def test_average_sets_fails_on_missing_gene(spark):
     b = spark.createDataFrame([(1, [3.0])], "gene long, vec array<double>")
     with pytest.raises(Exception):
         vectors.average_sets(a, b).collect()
+
+
+def test_grouped_and_global_row_number_equal_window_row_number(spark):
+    from pyspark.sql import Window
+    from cellframe.functions.ranking import global_row_number, grouped_row_number
+    # a hot group holding most rows, plus small ones
+    df = spark.range(0, 5000).withColumn("g", F.when(F.col("id") % 10 < 7, 0).otherwise(F.col("id") % 10))
+    a = grouped_row_number(df, ["g"], ["id"], "r", num_partitions=7)
+    b = df.withColumn("r2", F.row_number().over(Window.partitionBy("g").orderBy("id")))
+    assert a.join(b.select("id", "r2"), "id").filter(F.col("r") != F.col("r2")).count() == 0
+    c = global_row_number(df, ["id"], "r", num_partitions=5)
+    assert c.filter(F.col("r") != F.col("id") + 1).count() == 0
