@@ -61,10 +61,16 @@ def cell_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def expr_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """v_expr_zero: expression with explicit zeros (sample, cell, gene, value)."""
+    """v_expr_zero: expression with explicit zeros (sample, cell, gene, value).
+
+    Hash-partitioned on (sample, cell) before aggregating: that partitioning
+    satisfies this (sample, cell, gene) aggregate and every later per-cell
+    step of keep-zero mode, so they share one shuffle.
+    """
     li = table(spark, sf_dir, "lineitem", "l_returnflag", "l_orderkey", "l_partkey", "l_discount")
-    return (li.groupBy(F.col("l_returnflag").alias("sample"), F.col("l_orderkey").alias("cell"),
-                       F.col("l_partkey").alias("gene"))
+    li = li.select(F.col("l_returnflag").alias("sample"), F.col("l_orderkey").alias("cell"),
+                   F.col("l_partkey").alias("gene"), "l_discount").repartition("sample", "cell")
+    return (li.groupBy("sample", "cell", "gene")
             .agg(F.max(F.round(F.col("l_discount") * 100)).alias("value")))
 
 
