@@ -79,8 +79,9 @@ def batch_positions(df: DataFrame, order_col: str, batch_size: int, drop_last: b
     r = global_row_number(df, [order_col], "_rn", start=0)
     r = r.withColumn("batch", F.floor(F.col("_rn") / batch_size).cast("long")).drop("_rn")
     if drop_last:
-        full = r.groupBy("batch").agg(F.count(F.lit(1)).alias("_bn")).filter(F.col("_bn") == batch_size)
-        r = r.join(F.broadcast(full.select("batch")), "batch", "left_semi")
+        # only the last batch can be short: keep batches below n // batch_size
+        n_full = df.count() // batch_size
+        r = r.filter(F.col("batch") < n_full)
     return r
 
 

@@ -141,6 +141,7 @@ def dense_genes(expr_zero: DataFrame, seq_length: int, gene_vocab: DataFrame,
     placed = encode_genes(placed, gene_vocab, "gene", "gene_id", pad_id)
     lists = placed.groupBy("sample").agg(
         F.array_sort(F.collect_list(F.struct("pos", "gene", "gene_id"))).alias("_genes"))
+    # placed genes: at most seq_length per sample (proven bound) -> broadcast
     tagged = expr_zero.join(F.broadcast(placed.select("sample", "gene", F.lit(True).alias("_in"))),
                             ["sample", "gene"], "left")
     per_cell = tagged.groupBy("sample", "cell").agg(

@@ -36,10 +36,13 @@ def encode_stream(spark: SparkSession, source: str, schema: str, ranges: DataFra
     gene_vocab = materialize(gene_vocab, "vocab")
     s = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
          .option("basePath", source).parquet(source))
-    j = s.join(F.broadcast(ranges), "sample")
+    j = s.join(F.broadcast(ranges), "sample")  # one row per sample file
     binned = j.withColumn("bin", bin_value(F.col("value"), F.col("min_pos"), F.col("max_val"), n_edges))
     kept = binned.filter(F.col("bin") != 0)
-    v = F.broadcast(gene_vocab.select(F.col("name").alias("gene"), F.col("id").alias("_id")))
+    from cellframe.functions.ranking import checked_broadcast
+    from cellframe.operators.vocab import VOCAB_BROADCAST_MAX_ROWS
+    v = checked_broadcast(gene_vocab.select(F.col("name").alias("gene"), F.col("id").alias("_id")),
+                          VOCAB_BROADCAST_MAX_ROWS)
     enc = (kept.join(v, "gene", "left")
            .withColumn("gene_id", F.coalesce(F.col("_id"), F.lit(pad_id)).cast("int"))
            .select("sample", "cell", "gene", "bin", "gene_id"))

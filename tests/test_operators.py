@@ -171,3 +171,11 @@ def test_grouped_and_global_row_number_equal_window_row_number(spark):
     assert a.join(b.select("id", "r2"), "id").filter(F.col("r") != F.col("r2")).count() == 0
     c = global_row_number(df, ["id"], "r", num_partitions=5)
     assert c.filter(F.col("r") != F.col("id") + 1).count() == 0
+
+
+def test_batches_drop_last(spark):
+    df = spark.range(0, 150).withColumnRenamed("id", "cell")
+    keep = metrics.batch_positions(df, "cell", 64, drop_last=False)
+    drop = metrics.batch_positions(df, "cell", 64, drop_last=True)
+    assert keep.count() == 150 and {r.batch for r in keep.select("batch").distinct().collect()} == {0, 1, 2}
+    assert drop.count() == 128 and {r.batch for r in drop.select("batch").distinct().collect()} == {0, 1}
