@@ -3,8 +3,8 @@
 Two forms:
 
 * ``score_linear``: the built-in sample model, a linear head ``W x + b``.
-  The weights are a small parameter (classes x width) and are inlined as
-  literal arrays, so scoring stays inside Spark expressions.
+  The weights are a small parameter (classes x width) held in one array
+  literal, so scoring stays inside Spark expressions.
 * ``score_with_model``: any Python callable ``f(batch: ndarray) -> logits``
   applied with ``mapInPandas`` on Arrow batches (``arrow.maxRecordsPerBatch``
   is the batch size); the callable travels with the task closure.
@@ -26,8 +26,9 @@ from cellframe.functions.columns import argmax, dot, l2_normalize, softmax
 
 def score_linear(df: DataFrame, weights: list[list[float]], bias: list[float] | None = None,
                  emb: str = "emb") -> DataFrame:
-    w = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in weights])
-    b = F.array(*[F.lit(float(x)) for x in (bias or [0.0] * len(weights))])
+    # one array literal each (not one expression per weight), so plans stay small
+    w = F.lit([[float(x) for x in row] for row in weights]).cast("array<array<double>>")
+    b = F.lit([float(x) for x in (bias or [0.0] * len(weights))]).cast("array<double>")
     logits = F.zip_with(F.transform(w, lambda r: dot(r, F.col(emb))), b, lambda s, c: s + c)
     out = df.withColumn("logits", logits)
     return (out.withColumn("pred", argmax("logits"))

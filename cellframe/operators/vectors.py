@@ -79,7 +79,7 @@ def average_sets(a: DataFrame, b: DataFrame, key: str = "gene", vec: str = "vec"
 def rank_against_vector(emb: DataFrame, vector: list[float], key: str = "gene", vec: str = "vec") -> DataFrame:
     """J-10: cosine of every row with one literal vector; full ranking (ties: later row first)."""
     from cellframe.functions.ranking import global_row_number
-    q = F.array(*[F.lit(float(x)) for x in vector])
+    q = F.lit([float(x) for x in vector]).cast("array<double>")
     s = emb.select(key, cosine(F.col(vec), q).alias("sim"))
     s = s.withColumn("_neg", -F.col("sim")).withColumn("_nk", -F.col(key))
     return global_row_number(s, ["_neg", "_nk"], "rank").drop("_neg", "_nk")
