@@ -235,4 +235,8 @@ def q_hvg_topk(spark, sf):
 # ---------------------------------------------------------------- U-04 ----
 @query("hvg_union", with_views(f"SELECT DISTINCT gene FROM hv WHERE rank <= {HVG_K}", HVG_SQL))
 def q_hvg_union(spark, sf):
-    return q_hvg_topk(spark, sf).select("gene").distinct()
+    """Union of the per-sample variable genes, written as a gene-list CSV and read back."""
+    from cellframe.sources.files import write_labels
+    path = scratch_path(spark, "hvg-union")
+    write_labels(q_hvg_topk(spark, sf).select("gene").distinct(), path)
+    return spark.read.option("header", True).schema("gene long").csv(path)

@@ -35,15 +35,23 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a scratch one only if unset."""
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    """Return the shared checkpoint folder, setting a scratch one only if unset.
+
+    The cluster's ``spark.checkpoint.dir`` (or a directory already set on
+    the context) always wins; the local scratch folder is only a fallback
+    for tests and single-machine runs.
+    """
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - sessions without a SparkContext handle
+        sc = None
+    current = (sc.getCheckpointDir() if sc is not None else None) or spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = tempfile.mkdtemp(prefix="cellframe-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", current)
-    if not sc.getCheckpointDir():
+    if sc is not None and not sc.getCheckpointDir():
         sc.setCheckpointDir(current)
-    return sc.getCheckpointDir() or current
+    return (sc.getCheckpointDir() if sc is not None else None) or current
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
