@@ -182,6 +182,18 @@ def silhouette(df: DataFrame, id_col: str, vec_col: str, cluster_col: str,
     return per.withColumn("silhouette", F.coalesce(score, F.lit(0.0)))
 
 
+def silhouette_score(df: DataFrame, id_col: str, vec_col: str, cluster_col: str,
+                     block_size: int = DEFAULT_BLOCK) -> DataFrame:
+    """M-13: one row (n, silhouette); fails unless 2 <= number of labels <= n - 1."""
+    per = silhouette(df, id_col, vec_col, cluster_col, block_size)
+    out = per.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("cluster").alias("_k"),
+                  F.round(F.avg("silhouette"), 6).alias("silhouette"))
+    ok = (F.col("_k") >= 2) & (F.col("_k") <= F.col("n") - 1)
+    return out.select("n", F.when(ok, F.col("silhouette")).otherwise(F.raise_error(
+        F.concat(F.lit("silhouette needs 2 <= labels <= n-1, got "), F.col("_k").cast("string"))))
+        .cast("double").alias("silhouette"))
+
+
 def top_similar(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "gene",
                 vec_col: str = "vec", qid_col: str = "query", qvec_col: str = "qvec",
                 max_queries: int = 10_000, temperature: float | None = None) -> DataFrame:

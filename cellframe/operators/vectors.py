@@ -44,14 +44,19 @@ def vector_mean(emb: DataFrame, genes: DataFrame, key: str = "gene", vec: str =
     """
     keys = [group] if group else []
     j = emb.select(key, vec).join(genes.select(*keys, key), key, "left_semi" if not group else "inner")
-    out = group_mean(j, keys, vec)
-    return out.withColumn("x", F.when(F.col("x").isNotNull(), F.col("x"))
-                          .otherwise(F.raise_error(F.lit("empty gene set"))))
+    if j.limit(1).count() == 0:
+        raise ValueError("empty gene set")
+    return group_mean(j, keys, vec)
 
 
 def vector_weighted(emb: DataFrame, weights: DataFrame, key: str = "gene", vec: str = "vec") -> DataFrame:
-    """A-10: sum(w v) / sum(w) over genes present in both the set and the weights."""
+    """A-10: sum(w v) / sum(w) over genes present in both the set and the weights.
+
+    No gene in both is an error (the reference asserts a non-empty set).
+    """
     j = emb.join(weights.select(key, "w"), key)
+    if j.limit(1).count() == 0:
+        raise ValueError("no gene in both the set and the weights")
     return group_mean(j, [], vec, "w")
 
 

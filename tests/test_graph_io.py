@@ -119,3 +119,17 @@ def test_stream_window_equals_batch(spark):
     a = sorted(tuple(r) for r in QUERIES["tumbling_counts"](spark, SF001).collect())
     b = sorted(tuple(r) for r in QUERIES["tumbling_counts_stream"](spark, SF001).collect())
     assert a == b
+
+
+def test_silhouette_needs_two_to_n_minus_one_labels(spark):
+    import pytest
+    df = spark.createDataFrame([(1, [0.0], 0), (2, [1.0], 0), (3, [2.0], 0)], "gene long, vec array<double>, cluster int")
+    with pytest.raises(Exception):
+        neighbors.silhouette_score(df, "gene", "vec", "cluster", 2).collect()
+
+
+def test_communities_rejects_unknown_method(spark):
+    import pytest
+    e = spark.createDataFrame([(1, 2, 1.0)], "a long, b long, weight double")
+    with pytest.raises(ValueError):
+        graph.communities(e, spark.createDataFrame([(1,), (2,)], "id long"), method="spectral")

@@ -179,3 +179,10 @@ def test_batches_drop_last(spark):
     drop = metrics.batch_positions(df, "cell", 64, drop_last=True)
     assert keep.count() == 150 and {r.batch for r in keep.select("batch").distinct().collect()} == {0, 1, 2}
     assert drop.count() == 128 and {r.batch for r in drop.select("batch").distinct().collect()} == {0, 1}
+
+
+def test_weighted_vector_needs_a_common_gene(spark):
+    e = spark.createDataFrame([(1, [1.0, 2.0])], "gene long, vec array<double>")
+    w = spark.createDataFrame([(2, 1.0)], "gene long, w double")
+    with pytest.raises(Exception):
+        vectors.vector_weighted(e, w).collect()
