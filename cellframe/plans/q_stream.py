@@ -49,7 +49,8 @@ def q_tumbling_counts_stream(spark, sf):
     ev.repartitionByRange(8, "ts").write.mode("overwrite").parquet(src)
     # The events table spans a month; a watermark that wide keeps every
     # event on time in this replay, so the result equals the batch twin.
-    jobs.window_counts_stream(spark, src, EVENTS_SCHEMA, sink, ck, watermark="31 days", max_files=2)
+    jobs.window_counts_stream(spark, src, EVENTS_SCHEMA, sink, ck, watermark="31 days", max_files=2,
+                              state_partitions=8)
     return jobs.read_window_sink(spark, sink)
 
 

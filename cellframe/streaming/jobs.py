@@ -60,7 +60,16 @@ def window_counts(df: DataFrame, ts: str = "ts", value: str = "value", width: st
 
 
 def window_counts_stream(spark: SparkSession, source: str, schema: str, sink: str, checkpoint: str,
-                         width: str = "1 hour", watermark: str = "2 hours", max_files: int = 1) -> None:
+                         width: str = "1 hour", watermark: str = "2 hours", max_files: int = 1,
+                         state_partitions: int | None = None) -> None:
+    """Windowed count/sum with a watermark into the upsert sink.
+
+    ``state_partitions`` fixes the number of state-store partitions of the
+    aggregation (Spark takes it from ``spark.sql.shuffle.partitions`` when a
+    query starts for the first time and keeps it in the checkpoint); size
+    it to the cluster's parallelism.  The session setting is restored after
+    the query has started.
+    """
     s = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source)
     # event time must be a TIMESTAMP for watermarks (the session time zone is UTC)
     s = s.withColumn("ts", F.col("ts").cast("timestamp"))
@@ -71,8 +80,14 @@ def window_counts_stream(spark: SparkSession, source: str, schema: str, sink: st
         (batch.select(F.col("w.start").alias("start"), "n", "s", F.lit(batch_id).alias("batch_id"))
          .write.mode("append").parquet(sink))
 
-    q = (agg.writeStream.outputMode("update").foreachBatch(upsert)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    if state_partitions:
+        spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
+    try:
+        q = (agg.writeStream.outputMode("update").foreachBatch(upsert)
+             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
     q.awaitTermination()
 
 

@@ -90,8 +90,16 @@ def main() -> None:
     from cellframe.plans.registry import ORACLES, QUERIES, load_all
     from cellframe.session import local_session
     load_all()
+    plain = "--plain" in args
+    args = [a for a in args if a != "--plain"]
     names = args or list(QUERIES)
-    spark = local_session(8, 8)
+    if plain:  # a session with Spark's defaults only, like an unknown driver
+        from pyspark.sql import SparkSession
+        spark = (SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false")
+                 .config("spark.ui.showConsoleProgress", "false").getOrCreate())
+        spark.sparkContext.setLogLevel("ERROR")
+    else:
+        spark = local_session(8, 8)
     con = duck(sf_dir)
     ok_all = True
     for name in names:
