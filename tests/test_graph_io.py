@@ -133,3 +133,15 @@ def test_communities_rejects_unknown_method(spark):
     e = spark.createDataFrame([(1, 2, 1.0)], "a long, b long, weight double")
     with pytest.raises(ValueError):
         graph.communities(e, spark.createDataFrame([(1,), (2,)], "id long"), method="spectral")
+
+
+def test_h5_sample_reader(spark, tmp_path):
+    import pytest
+    h5py = pytest.importorskip("h5py")
+    from cellframe.sources.files import read_h5_samples
+    with h5py.File(tmp_path / "s1.h5", "w") as f:
+        f["count/data"] = np.array([[0.0, 2.0], [3.0, 0.0]])
+        f["count/cell_names"] = np.array([b"c1", b"c2"])
+        f["count/gene_names"] = np.array([b"g1", b"g2"])
+    rows = sorted(tuple(r) for r in read_h5_samples(spark, str(tmp_path)).collect())
+    assert rows == [("s1", "c1", "g2", 2.0), ("s1", "c2", "g1", 3.0)]
