@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellframe.functions.columns import cosine, l2_normalize, mean_truncating, norm2
+from cellframe.functions.columns import cosine, l2_normalize, mean_truncating
 
 
 def _reassemble(df: DataFrame, keys: list[str], k: str, x: str, out: str) -> DataFrame:
@@ -106,7 +106,3 @@ def pool_cells(tokens: DataFrame, emb: DataFrame, gene_id: str = "gene_id", key:
     m = group_mean(t, ["cell"], "_v")
     arr = _reassemble(m, ["cell"], "k", "x", "mean_vec")
     return arr.select("cell", l2_normalize("mean_vec").alias("cell_vec"))
-
-
-def with_norm(df: DataFrame, vec: str = "vec") -> DataFrame:
-    return df.withColumn("norm", norm2(vec))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cellframe.config import CELLTYPE_DENYLIST, CLS_ID_DEFAULT, MASK_RATIO, MASK_VALUE, N_BINS, Params

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cellframe.config import SIMILARITY_TEMPERATURE, Params
-from cellframe.functions.columns import argmax, cosine, l2_normalize
+from cellframe.functions.columns import argmax, l2_normalize
 from cellframe.operators import neighbors, tokens, vectors
 from cellframe.plans.oracle_views import with_views
 from cellframe.plans.q_build import RANGE_SQL, BINNED_SQL, SAMPLED_SQL, _ctes, _encoded_expressed
