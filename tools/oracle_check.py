@@ -37,7 +37,7 @@ def _norm(v):
         v = float(v)
         if math.isnan(v):
             return "nan"
-        if v == 0:
+        if v == 0 and not os.environ.get("KEEP_NEG_ZERO"):
             v = 0.0
         return repr(v)
     if isinstance(v, (np.integer, int)) and not isinstance(v, bool):
