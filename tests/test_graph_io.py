@@ -145,3 +145,18 @@ def test_h5_sample_reader(spark, tmp_path):
         f["count/gene_names"] = np.array([b"g1", b"g2"])
     rows = sorted(tuple(r) for r in read_h5_samples(spark, str(tmp_path)).collect())
     assert rows == [("s1", "c1", "g2", 2.0), ("s1", "c2", "g1", 3.0)]
+
+
+def test_stream_vocab_ids_are_dense_stable_and_complete(spark):
+    from conftest import SF001
+    from cellframe.plans.registry import QUERIES, load_all
+    from cellframe.sources import tables as T
+    load_all()
+    v = QUERIES["stream_vocab"](spark, SF001).collect()
+    names = {r.name for r in v}
+    assert sorted(r.id for r in v) == list(range(len(v)))
+    assert len(names) == len(v)
+    assert names == {r.batch for r in T.cells(spark, SF001).select("batch").distinct().collect()}
+    # every micro-batch only added names unseen before: ids grow with the batch id
+    by_batch = sorted((r.batch_id, r.id) for r in v)
+    assert [i for _, i in by_batch] == sorted(i for _, i in by_batch)
