@@ -109,13 +109,20 @@ def q_chunk_plan(spark, sf):
 
 # ---------------------------------------------------------------- IO-07 ---
 @query("chunk_range", with_views(
-    f"SELECT cell, celltype, split, chunk FROM ({CHUNK_BODY}) t WHERE split = 'train' AND chunk BETWEEN 2 AND 4",
+    f"SELECT cell, celltype, split, chunk FROM ({CHUNK_BODY}) t WHERE split = 'train' AND chunk >= 2",
     CHUNK_SQL))
 def q_chunk_range(spark, sf):
-    """Write the chunked split as parquet, then read train chunks 2..4 (pruned by partition)."""
+    """Write the chunked split as parquet, then read train chunks 2..last (pruned by partition).
+
+    The last chunk follows from the train row count (ceil(n_train / chunk_rows)),
+    so the requested range exists at every scale.
+    """
     path = scratch_path(spark, "chunks")
-    splits.write_chunks(chunked(spark, sf).select("cell", "celltype", "split", "chunk"), path)
-    return splits.read_chunks(spark, path, "train", 2, end_chunk=4).select("cell", "celltype", "split", "chunk")
+    plan = chunked(spark, sf).select("cell", "celltype", "split", "chunk")
+    splits.write_chunks(plan, path)
+    n_train = spark.read.parquet(path).filter(F.col("split") == "train").count()
+    last = max(2, -(-n_train // CHUNK_ROWS))
+    return splits.read_chunks(spark, path, "train", 2, end_chunk=last).select("cell", "celltype", "split", "chunk")
 
 
 # ---------------------------------------------------------- sequences -----
