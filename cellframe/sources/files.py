@@ -6,9 +6,9 @@
 * embedding text files ("gene v1 ... vd" lines, one header line)
 * split chunks as parquet partitioned by split / chunk (see operators.splits)
 
-File listing and header peeking go through the Hadoop FileSystem API, so
-the same code works on local disks and cluster file systems; only file
-names and first lines reach the driver, never rows.
+File listing goes through the Hadoop FileSystem API and header lines are
+read inside tasks, so the same code works on local disks and cluster file
+systems; only file names and distinct header lines reach the driver.
 """
 
 from __future__ import annotations
@@ -39,18 +39,6 @@ def list_files(spark: SparkSession, path: str, suffix: str = "") -> list[str]:
     return sorted(out)
 
 
-def first_line(spark: SparkSession, file: str) -> str:
-    fs, p = _fs(spark, file)
-    stream = fs.open(p)
-    try:
-        reader = spark.sparkContext._jvm.java.io.BufferedReader(
-            spark.sparkContext._jvm.java.io.InputStreamReader(stream, "UTF-8"))
-        line = reader.readLine()
-        return line or ""
-    finally:
-        stream.close()
-
-
 # ------------------------------------------------------- sample matrices --
 def scan_samples(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """IO-01: every parquet file (or ``sample=`` folder) under ``path`` is one sample.
@@ -112,23 +100,57 @@ def melt_wide(wide: DataFrame, ids: list[str], var: str = "gene", value: str = "
 
 
 # ------------------------------------------------------------- metadata --
+def file_headers(spark: SparkSession, files: list[str]) -> DataFrame:
+    """(path, header): the first line of every file, read inside tasks.
+
+    Only the file list (metadata) comes from the driver; the files are
+    opened in parallel with ``pyarrow.fs`` (local, HDFS or object stores).
+    """
+    paths = spark.createDataFrame([(f,) for f in files], "path string")
+
+    def heads(batches):
+        import pandas as pd
+        import pyarrow.fs as pafs
+        for pdf in batches:
+            out = []
+            for p in pdf["path"]:
+                if p.startswith("file:"):
+                    fs, rel = pafs.LocalFileSystem(), "/" + p[len("file:"):].lstrip("/")
+                else:
+                    fs, rel = pafs.FileSystem.from_uri(p)
+                buf = b""
+                with fs.open_input_stream(rel) as fh:
+                    while b"\n" not in buf:
+                        chunk = fh.read(1 << 16)
+                        if not chunk:
+                            break
+                        buf += chunk
+                out.append(buf.split(b"\n", 1)[0].decode("utf-8").rstrip("\r"))
+            yield pd.DataFrame({"path": pdf["path"], "header": out})
+
+    return paths.mapInPandas(heads, "path string, header string")
+
+
 def read_metadata(spark: SparkSession, path: str, col_name: str, save_col_name: str | None = None,
                   suffix: str = ".csv") -> DataFrame:
     """IO-03 / U-01: stack (first column, ``col_name``) of every CSV under ``path``.
 
-    Files are grouped by header line; each group is one CSV read (one plan
-    node per distinct header, not per file).  A file without ``col_name`` is
-    skipped.  A blank first header reads as ``_c0``; the text ``NA`` is null.
+    Files are grouped by header line (headers are read inside tasks); each
+    group is one CSV read (one plan node per distinct header, not per
+    file).  A file without ``col_name`` is skipped.  A blank first header
+    reads as ``_c0``; the text ``NA`` is null.
     """
-    groups: dict[str, list[str]] = {}
-    for f in list_files(spark, path, suffix):
-        groups.setdefault(first_line(spark, f), []).append(f)
+    files = list_files(spark, path, suffix)
+    if not files:
+        raise FileNotFoundError(f"no {suffix} file under {path}")
+    grouped = (file_headers(spark, files).groupBy("header")
+               .agg(F.array_sort(F.collect_list("path")).alias("files")).collect())
     parts = []
-    for header, files in groups.items():
-        names = [h.strip().strip('"') for h in header.split(",")]
+    for row in sorted(grouped, key=lambda r: r["files"][0]):
+        names = [h.strip().strip('"') for h in row["header"].split(",")]
         if col_name not in names:
             continue
-        df = spark.read.option("header", True).option("nullValue", "NA").csv(files)
+        df = spark.read.option("header", True).option("nullValue", "NA").csv(list(row["files"]))
         parts.append(df.select(F.col(f"`{df.columns[0]}`").alias("cell"),
                                F.col(f"`{col_name}`").alias(save_col_name or col_name)))
     if not parts:
