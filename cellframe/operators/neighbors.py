@@ -23,6 +23,8 @@ DEFAULT_BLOCK = 2048
 
 
 def _route(df: DataFrame, id_col: str, vec_col: str, block_size: int, extra: dict | None = None) -> DataFrame:
+    from cellframe.session import ship_package
+    ship_package(df.sparkSession)
     n = df.count()
     nb = max(1, math.ceil(n / block_size))
     extra = extra or {}
@@ -205,6 +207,9 @@ def top_similar(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "ge
     per query, so the final per-query window sees k rows per partition.
     """
     from pyspark.sql import Window
+
+    from cellframe.session import ship_package
+    ship_package(corpus.sparkSession)
     q = queries.select(qid_col, qvec_col)
     nq = q.limit(max_queries + 1).count()
     if nq > max_queries:

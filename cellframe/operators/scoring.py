@@ -38,6 +38,8 @@ def score_linear(df: DataFrame, weights: list[list[float]], bias: list[float] |
 
 def score_with_model(df: DataFrame, model: Callable[[np.ndarray], np.ndarray], key: str = "cell",
                      emb: str = "emb", extra: list[str] | None = None) -> DataFrame:
+    from cellframe.session import ship_package
+    ship_package(df.sparkSession)
     extra = extra or []
     cols = [key, *extra]
 

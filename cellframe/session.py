@@ -34,6 +34,41 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``cellframe`` importable in Python workers (like ``--py-files``).
+
+    Functions run by ``applyInPandas`` / ``mapInPandas`` refer to this
+    package's modules, so executors must be able to import it.  The package
+    is zipped once per application and added with ``addPyFile``; Spark then
+    ships it to every executor.
+    """
+    try:
+        sc = spark.sparkContext
+        key = sc.applicationId
+    except Exception:  # noqa: BLE001 - no context handle: nothing to ship
+        return
+    if key in _SHIPPED:
+        return
+    import zipfile
+
+    import cellframe
+    pkg_dir = os.path.dirname(os.path.abspath(cellframe.__file__))
+    root = os.path.dirname(pkg_dir)
+    fd, path = tempfile.mkstemp(prefix="cellframe-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(pkg_dir):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    _SHIPPED.add(key)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting a scratch one only if unset.
 
@@ -51,6 +86,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", current)
     if sc is not None and not sc.getCheckpointDir():
         sc.setCheckpointDir(current)
+    ship_package(spark)
     return (sc.getCheckpointDir() if sc is not None else None) or current
 
 

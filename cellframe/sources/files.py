@@ -65,6 +65,8 @@ def read_h5_samples(spark: SparkSession, path: str, glob: str = "*.h5") -> DataF
     Needs ``h5py`` on the executors; without it the job fails with an
     ImportError when it runs.
     """
+    from cellframe.session import ship_package
+    ship_package(spark)
     files = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
              .option("recursiveFileLookup", "true").load(path).select("path", "content"))
 
@@ -106,6 +108,8 @@ def file_headers(spark: SparkSession, files: list[str]) -> DataFrame:
     Only the file list (metadata) comes from the driver; the files are
     opened in parallel with ``pyarrow.fs`` (local, HDFS or object stores).
     """
+    from cellframe.session import ship_package
+    ship_package(spark)
     paths = spark.createDataFrame([(f,) for f in files], "path string")
 
     def heads(batches):
