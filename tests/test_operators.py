@@ -186,3 +186,17 @@ def test_weighted_vector_needs_a_common_gene(spark):
     w = spark.createDataFrame([(2, 1.0)], "gene long, w double")
     with pytest.raises(Exception):
         vectors.vector_weighted(e, w).collect()
+
+
+def test_binning_random_sweep_matches_reference_definition(spark):
+    rng = np.random.default_rng(11)
+    cases = []
+    for _ in range(200):
+        lo = 10 ** rng.uniform(-4, 4)
+        hi = lo + 10 ** rng.uniform(-6, 5)
+        xs = np.concatenate([rng.uniform(lo, hi, 90), rng.uniform(0, lo, 5), rng.uniform(hi, hi * 2, 5)])
+        cases += [(float(lo), float(hi), float(x)) for x in xs]
+    df = spark.createDataFrame(cases, "mn double, mx double, x double")
+    got = df.select("mn", "mx", "x", bin_value("x", "mn", "mx").alias("b")).collect()
+    bad = [(r.mn, r.mx, r.x, r.b) for r in got if r.b != _ref_bins(r.x, r.mn, r.mx)]
+    assert not bad, bad[:5]
