@@ -170,3 +170,17 @@ def q_score_linear(spark, sf):
                                 F.col("vec").alias("emb"))
     s = scoring.score_linear(e, w)
     return s.select("cell", "label", "pred", F.round("p_max", 6).alias("p_max"))
+
+
+@query("score_model", with_views(
+    "SELECT lg.gene AS cell, lg.cluster AS label, CAST(MIN(c) FILTER (WHERE logit = m) AS INT) AS pred, "
+    "ROUND(1.0 / SUM(exp(logit - m)), 6) AS p_max FROM lg JOIN mx ON mx.gene = lg.gene "
+    "GROUP BY lg.gene, lg.cluster", SCORE_SQL))
+def q_score_model(spark, sf):
+    """F-01 with a caller-supplied Python model (numpy matrix product) over Arrow batches."""
+    import numpy as np
+    w = np.asarray(centroid_weights(spark, sf), dtype=np.float64)
+    e = T.emb(spark, sf).select(F.col("gene").alias("cell"), F.col("cluster").alias("label"),
+                                F.col("vec").alias("emb"))
+    s = scoring.score_with_model(e, lambda x: x @ w.T, key="cell", extra=["label"])
+    return s.select("cell", "label", "pred", F.round("p_max", 6).alias("p_max"))
