@@ -2,11 +2,13 @@
 
 The library never hard-codes cluster sizing; ``local_session`` is for tests
 and the bench only.  Lineage cuts go to the shared folder named by
-``spark.checkpoint.dir``; a default is set only when it is unset.
+``spark.checkpoint.dir``; a default is set only when it is unset and the
+master is local.
 """
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 
@@ -70,11 +72,12 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a scratch one only if unset.
+    """Return the shared checkpoint folder; a local scratch one only for local masters.
 
     The cluster's ``spark.checkpoint.dir`` (or a directory already set on
-    the context) always wins; the local scratch folder is only a fallback
-    for tests and single-machine runs.
+    the context) always wins.  Where it is unset, a session on a ``local``
+    master gets a scratch folder (tests, single machine); any other master
+    raises, because executors cannot share a folder of the driver's disk.
     """
     try:
         sc = spark.sparkContext
@@ -82,6 +85,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         sc = None
     current = (sc.getCheckpointDir() if sc is not None else None) or spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="cellframe-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", current)
     if sc is not None and not sc.getCheckpointDir():
@@ -90,13 +96,38 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return (sc.getCheckpointDir() if sc is not None else None) or current
 
 
+_WRITTEN: dict[str, SparkSession] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint folder for written tables."""
-    base = ensure_checkpoint_dir(spark)
-    if base.startswith("file:"):
-        base = base[len("file:"):]
+    """A fresh folder under the shared checkpoint folder for written tables.
+
+    It is removed by ``drop_scratch`` or, at the latest, when the driver ends.
+    """
     import uuid
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    if not _WRITTEN:
+        atexit.register(drop_all_scratch)
+    _WRITTEN[path] = spark
+    return path
+
+
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Delete a folder made by ``scratch_path`` through the file system that holds it."""
+    if _WRITTEN.pop(path, None) is None:
+        raise ValueError(f"not a scratch folder of this application: {path}")
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def drop_all_scratch() -> None:
+    """Delete the scratch folders left by this application (nothing if its context has ended)."""
+    for path, spark in list(_WRITTEN.items()):
+        try:
+            drop_scratch(spark, path)
+        except Exception:  # noqa: BLE001 - the context is gone; the cluster's own clean-up remains
+            _WRITTEN.pop(path, None)
 
 
 def materialize(df: DataFrame, name: str = "state") -> DataFrame:
@@ -108,4 +139,4 @@ def materialize(df: DataFrame, name: str = "state") -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
