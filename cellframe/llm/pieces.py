@@ -6,8 +6,8 @@ lattice of the text is the chain of its words' lattices.  Nodes are byte
 positions; an edge is a piece of the vocabulary, and each byte of a
 character that has no piece of its own is an edge (byte fallback).
 
-Forward filtering sums, for each node, the weights of all paths that reach
-it.  Backward sampling starts at the end of every word and draws each edge
+Forward filtering sums, for each node of the distinct words of a batch, the
+weights of all paths that reach it.  Backward sampling starts at the end of every word and draws each edge
 with its share of that sum, for all words of a batch at a time.  The random
 numbers are a hash of the row key, the seed and the node's place in the
 text, so a row's segmentation does not depend on batches or partitions.
@@ -23,6 +23,9 @@ Other columns are carried only if named in ``keep``.
 
 from __future__ import annotations
 
+import re
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,8 +35,7 @@ from pyspark.sql import types as T
 from cellframe.llm.common import map_batches, text_rows
 
 SHARPNESS, SEED = 1.0, 0
-MAX_WORDS = 150_000  # cached word lattices of one Python worker
-_LOG = 64            # bytes from which a word's sums are rescaled
+BATCH_BYTES = 6_000_000  # text whose words are one lattice job
 
 
 class Lattices:
@@ -58,61 +60,55 @@ class Lattices:
                 first = i if first is None else first
                 self.bytes_of[i] = model.id_to_piece(i).replace("▁", " ").encode()
                 self.weight[i] = (i - first + 2.7) ** -sharpness
-                self.ends.add_word(self.bytes_of[i].decode("latin-1"), (len(self.bytes_of[i]), i))
+                self.ends.add_word(self.bytes_of[i].decode("latin-1"), i)
         self.ends.make_automaton()
+        self.size_of = np.array([len(b) for b in self.bytes_of])
+        self.log_weight = np.log(np.where(self.weight > 0, self.weight, 1.0))
+        self.byte_id = np.array(self.byte_id)
         self.singles = {p for p in (b.decode() for b, w in zip(self.bytes_of[first:], self.weight[first:]) if w)
                         if len(p) == 1}
-        self.weights = self.weight.tolist()
-        self.known: dict[bytes, tuple] = {}
-
-    def build(self, word: bytes) -> tuple:
-        """(nodes, edges, edges per node, edge ends' shares, edge sizes, edge pieces) with forward sums."""
-        n, weights = len(word), self.weights
-        into: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
-        for end, (size, piece) in self.ends.iter(word.decode("latin-1")):
-            into[end + 1].append((size, piece))
-        at = 0
-        for c in word.decode():
-            size = len(c.encode())
-            if c not in self.singles:
-                for b in range(at, at + size):
-                    into[b + 1].append((1, self.byte_id[word[b]]))
-            at += size
-        sums = [0.0] * (n + 1)
-        sums[0] = 1.0
-        scale = 1.0
-        counts, shares, sizes, pieces = bytearray(), [], bytearray(), []
-        for j in range(1, n + 1):
-            total, k = 0.0, 0
-            for size, piece in into[j]:
-                w = sums[j - size] * weights[piece]
-                if w > 0.0:
-                    total += w
-                    shares.append(total)
-                    sizes.append(size)
-                    pieces.append(piece)
-                    k += 1
-            if k:
-                for x in range(len(shares) - k, len(shares)):
-                    shares[x] /= total
-            sums[j] = total
-            counts.append(k)
-            if n >= _LOG and 0.0 < total < 1e-200:  # long words: keep the sums away from zero
-                scale = 1 / total
-                for x in range(max(0, j - 64), j + 1):
-                    sums[x] *= scale
-        return (n, len(pieces), bytes(counts), np.array(shares).tobytes(), bytes(sizes),
-                np.array(pieces, np.int32).tobytes())
-
-    def lattice(self, word: bytes) -> tuple:
-        found = self.known.get(word)
-        if found is None:
-            found = self.build(word)
-            if len(word) <= 64:
-                if len(self.known) >= MAX_WORDS:
-                    self.known.clear()
-                self.known[word] = found
-        return found
+
+    def edges(self, joined: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(end, piece) of every edge in ``joined`` (words kept apart by 0xFF), by end and then by size, longest
+        first."""
+        found = np.fromiter(chain.from_iterable(self.ends.iter(joined.decode("latin-1"))), np.int64).reshape(-1, 2)
+        end, piece = found[:, 0] + 1, found[:, 1]
+        strange = set(joined.replace(b"\xff", b"").decode()) - self.singles
+        if strange:
+            any_of = re.compile(b"|".join(re.escape(c.encode()) for c in sorted(strange)))
+            spans = np.array([m.span() for m in any_of.finditer(joined)])
+            at = np.concatenate([np.arange(b, e) for b, e in spans]) if (np.diff(spans) > 1).any() else spans[:, 0]
+            end = np.concatenate([end, at + 1])
+            piece = np.concatenate([piece, self.byte_id[np.frombuffer(joined, np.uint8)[at]]])
+            order = np.argsort(end, kind="stable")
+            end, piece = end[order], piece[order]
+        return end, piece
+
+    def shares(self, end: np.ndarray, piece: np.ndarray, word_start: np.ndarray) -> np.ndarray:
+        """Forward filtering: per edge the share of the paths to its end that use it or an edge before it.
+
+        All words advance together, one byte position at a time; sums are kept as logarithms.
+        """
+        total = np.full(int(end[-1]) + 1, -np.inf)
+        total[word_start] = 0.0
+        start = end - self.size_of[piece]
+        place = end - word_start[np.searchsorted(word_start, start, "right") - 1]
+        order = np.argsort(place, kind="stable")
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(place[order])) + 1, [len(order)]])
+        out = np.empty(len(end))
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            e = order[lo:hi]
+            node = end[e]
+            head = np.flatnonzero(np.diff(node, prepend=-1))
+            size = np.diff(np.append(head, len(e)))
+            path = total[start[e]] + self.log_weight[piece[e]]
+            top = np.maximum.reduceat(path, head)
+            part = np.exp(path - np.repeat(top, size))
+            whole = np.add.reduceat(part, head)
+            total[node[head]] = top + np.log(whole)
+            part = np.cumsum(part / np.repeat(whole, size))
+            out[e] = part - np.repeat(part[head - 1] * (head > 0), size)
+        return out
 
 
 def uniform(stream: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -150,26 +146,24 @@ def sample(texts: list[bytes], streams: np.ndarray, lattices: Lattices) -> tuple
     if not word_at:
         return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
     word, owner, begin = np.array(word_at), np.concatenate(owner), np.concatenate(begin)
-    held = [lattices.lattice(w) for w in number]
-    nodes = np.array([h[0] for h in held])
-    counts = np.frombuffer(b"".join([h[2] for h in held]), np.uint8).astype(np.int64)
-    shares = np.frombuffer(b"".join([h[3] for h in held]))
-    sizes = np.frombuffer(b"".join([h[4] for h in held]), np.uint8).astype(np.int64)
-    pieces = np.frombuffer(b"".join([h[5] for h in held]), np.int32)
-    base = np.cumsum(nodes) - nodes              # node p of a word (p >= 1) is base + p - 1
-    last = np.cumsum(counts) - 1                 # a node's last edge
-    ladder = shares + np.repeat(np.arange(len(counts)), counts)  # rises over all nodes
-    at, active = nodes[word].copy(), np.arange(len(word))
+    joined = b"\xff".join(number)
+    size = np.fromiter(map(len, number), np.int64, len(number))
+    base = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
+    end, pieces = lattices.edges(joined)
+    ladder = end + lattices.shares(end, pieces, base)  # rises over all nodes
+    last = np.searchsorted(end, np.arange(len(joined) + 1), "right") - 1
+    first = np.concatenate([[0], last[:-1] + 1])
+    steps = lattices.size_of[pieces]
+    at, active = size[word].copy(), np.arange(len(word))
     drawn, who = [], []
     while len(active):
         place = at[active]
-        node = base[word[active]] + place - 1
+        node = base[word[active]] + place
         u = uniform(streams[owner[active]], begin[active] + place)
-        edge = np.minimum(np.searchsorted(ladder, node + u, "right"), last[node])
-        edge = np.maximum(edge, last[node] - counts[node] + 1)
-        drawn.append(pieces[edge])
+        edge = np.clip(np.searchsorted(ladder, node + u, "right"), first[node], last[node])
+        drawn.append(pieces[edge].astype(np.int32))
         who.append(active)
-        at[active] = place - sizes[edge]
+        at[active] = place - steps[edge]
         active = active[at[active] > 0]
     n = np.zeros(len(word), np.int64)
     for w in who:
@@ -217,7 +211,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     schema = (docs.select(F.col(id_col).alias("_key"), *keep).schema.add("ids", T.ArrayType(T.IntegerType()))
               .add("n_pieces", T.LongType()).add("lossless", T.BooleanType()))
-    return map_batches(text_rows(docs, id_col, text_col, keep), fn, schema).withColumnRenamed("_key", id_col)
+    return map_batches(text_rows(docs, id_col, text_col, keep), fn, schema,
+                       max_chars=BATCH_BYTES).withColumnRenamed("_key", id_col)
 
 
 def decode_rows(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

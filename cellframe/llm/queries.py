@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellframe.llm import compression, decontaminate, langid, pu_quality, simhash, url_rules
+from cellframe.llm import compression, decontaminate, langid, pieces, pu_quality, simhash, token_counts, url_rules
 from cellframe.llm.common import crc_fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,11 +58,28 @@ def op2_compression_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "base_failed", "kept", "ratio", "bad_share")
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+@query
+def op4_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+    return out.select("doc_id", "n_bytes", "n_tokens", "over_limit", "fits")
+
+
 @query
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_dedup(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+@query
+def op6_lattice_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model")).select(
+        "doc_id", "n_pieces", "lossless", "ids")
+
+
 @query
 def op7_positive_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
