@@ -18,7 +18,8 @@ and ``fit_chars`` characters altogether, in the order of a hash of the id.
 Edge cases: a null text or one without a letter gets ``und`` and score 0; with no labelled
 text at all every document gets ``und``.  A text that shares no byte with
 any language gets the first language and score 0.  Rows are never merged.
-Other columns of the input are not carried.
+Other columns
+of the input are carried only if named in ``keep``.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cellframe.llm.common import map_batches, text_rows
 
@@ -138,9 +140,10 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     return {lang: Automaton(b" ".join(parts)) for lang, parts in sorted(held.items())}
 
 
-def identify(docs: DataFrame, automata: dict[str, Automaton], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, automata: dict[str, Automaton], id_col: str = "doc_id", text_col: str = "text",
+             keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: id, ``lang_pred``, ``score`` (1 - fewest / second fewest phrases), ``phrases``
-    (language -> phrases per byte)."""
+    (language -> phrases per byte), and the columns in ``keep``."""
     shared = docs.sparkSession.sparkContext.broadcast(automata)
 
     def fn(rb: pa.RecordBatch) -> dict:
@@ -160,9 +163,9 @@ def identify(docs: DataFrame, automata: dict[str, Automaton], id_col: str = "doc
             second = c[order[1]] if len(langs) > 1 else len(t)
             score.append(float(1 - c[order[0]] / max(second, c[order[0]], 1)))
             per.append([(lang, n / len(t)) for lang, n in zip(langs, c.tolist())])
-        return {"_key": rb.column(0), "lang_pred": pred, "score": score, "phrases": per}
+        return {"_key": rb.column(0), "lang_pred": pred, "score": score, "phrases": per} | {
+            c: rb.column(2 + i) for i, c in enumerate(keep)}
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return map_batches(text_rows(docs, id_col, text_col), fn,
-                       f"_key {kind}, lang_pred string, score double, phrases map<string,double>"
-                       ).withColumnRenamed("_key", id_col)
+    schema = (docs.select(F.col(id_col).alias("_key"), *keep).schema.add("lang_pred", T.StringType())
+              .add("score", T.DoubleType()).add("phrases", T.MapType(T.StringType(), T.DoubleType())))
+    return map_batches(text_rows(docs, id_col, text_col, keep), fn, schema).withColumnRenamed("_key", id_col)

@@ -17,7 +17,7 @@ rows, in the order of a hash of the id; scoring reads every whole text.
 Edge cases: null and empty texts are scored like any other (all counts 0);
 without a positive row in the labels every score is 0.5; null ids are scored
 and never learned from.  Repeated rows give one row each.  Other columns of
-the inputs are not carried.
+the inputs are carried only if named in ``keep``.
 """
 
 from __future__ import annotations

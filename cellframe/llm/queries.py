@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellframe.llm import compression, decontaminate, langid, pieces, pu_quality, simhash, token_counts, url_rules
+from cellframe.llm import (compression, decontaminate, langid, pieces, pseudo_lm, pu_quality, simhash, token_counts,
+                           url_rules, wrappers)
 from cellframe.llm.common import crc_fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,6 +59,12 @@ def op2_compression_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "base_failed", "kept", "ratio", "bad_share")
 
 
+@query
+def op3_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pseudo_lm.score(docs, pseudo_lm.fit(docs)).select("doc_id", "n_tokens", "log_prob", "score")
+
+
 def tokenizer_file(name: str) -> str:
     import public_tokenizers
     return public_tokenizers.path(name)
@@ -122,6 +129,11 @@ FROM named
 """
 
 
+@query
+def op9_union_free_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract_main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.col("n_chars"))
+
+
 @query
 def op10_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")

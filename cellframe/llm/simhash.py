@@ -28,7 +28,8 @@ round is written to the shared folder.
 Edge cases: a null or blank text has fingerprint zero and is linked like any
 other; a text of fewer words than the shingle is one shingle; null ids are
 carried and never become a component's id unless all its ids are null.
-Repeated rows stay.  Other columns of the input are not carried.
+Repeated rows stay.  Other columns of the input are carried only if named
+in ``keep``.
 """
 
 from __future__ import annotations
@@ -40,6 +41,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cellframe.llm.common import map_batches, text_rows
 from cellframe.session import drop_scratch, ensure_checkpoint_dir, materialize, scratch_path
@@ -70,15 +72,17 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * set_bits > len(h)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """``id``, ``fp`` (the 64 bits as a signed long)."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
+                 keep: tuple[str, ...] = ()) -> DataFrame:
+    """``id``, ``fp`` (the 64 bits as a signed long), and the columns in ``keep``."""
 
     def fn(rb: pa.RecordBatch) -> dict:
         fp = np.array([fingerprint(t, shingle) for t in rb.column(1).to_pylist()], np.uint64)
-        return {"id": rb.column(0), "fp": pa.array(fp.view(np.int64))}
+        return {"id": rb.column(0), "fp": pa.array(fp.view(np.int64))} | {
+            c: rb.column(2 + i) for i, c in enumerate(keep)}
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return map_batches(text_rows(docs, id_col, text_col), fn, f"id {kind}, fp long")
+    schema = docs.select(F.col(id_col).alias("id"), *keep).schema.add("fp", T.LongType())
+    return map_batches(text_rows(docs, id_col, text_col, keep), fn, schema)
 
 
 @lru_cache(1)
@@ -219,18 +223,18 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
-                  max_bits: int = 2, hot_pairs: int = HOT_PAIRS) -> DataFrame:
+                  max_bits: int = 2, hot_pairs: int = HOT_PAIRS, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: id, ``fp`` (long), ``fingerprint`` (16 hex digits), ``component_id`` (smallest id
-    of the documents reachable over links)."""
+    of the documents reachable over links), ``root`` (the component's smallest fingerprint), and ``keep``."""
     ensure_checkpoint_dir(docs.sparkSession)
-    fps = materialize(fingerprints(docs, id_col, text_col, shingle), "simhash-fps")
+    fps = materialize(fingerprints(docs, id_col, text_col, shingle, keep), "simhash-fps")
     first = materialize(fps.groupBy("fp").agg(F.min("id").alias("least")), "simhash-first")
     roots = components(links(first, max_bits, hot_pairs))
     # a fingerprint without links is its own root
     group = first.join(roots, first["fp"] == roots["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
     least = group.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = materialize(group.join(least, "root").select("fp", "component_id"), "simhash-groups")
+    named = materialize(group.join(least, "root").select("fp", "root", "component_id"), "simhash-groups")
     return (fps.join(named, "fp", "left")
             .select(F.col("id").alias(id_col), "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-                    "component_id"))
+                    "component_id", "root", *keep))
