@@ -89,8 +89,8 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.hidden(x) @ self.w2 + self.b2, -30, 30)))
 
 
-def fit_network(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 16, steps: int = 600,
-                rate: float = 0.02, decay: float = 1e-4, seed: int = 7) -> Network:
+def fit_network(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 16, steps: int = 400,
+                rate: float = 0.02, decay: float = 2e-3, seed: int = 7) -> Network:
     """Minimise the non-negative risk by Adam over full batches."""
     rng = np.random.default_rng(seed)
     every = np.concatenate([positive, unlabelled])
