@@ -18,8 +18,28 @@ BATCH_CHARS = 4_000_000
 
 
 def text_rows(df: DataFrame, key: str, text: str, keep: Iterable[str] = ()) -> DataFrame:
-    """The key and the text as ``_key`` and ``_text``, and the columns in ``keep``; nothing else is read."""
-    return df.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"), *keep)
+    """The key and the text as ``_key`` and ``_text``, and the columns in ``keep`` under names of their own
+    (``_k0`` ...); nothing else is read, so no name of the input can clash."""
+    return df.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"),
+                     *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)])
+
+
+def row_schema(rows: DataFrame, outputs: str) -> T.StructType:
+    """The schema of an operator's rows: the key, the kept columns and the outputs (as DDL)."""
+    return T.StructType([f for f in rows.schema if f.name != "_text"] + T.StructType.fromDDL(outputs).fields)
+
+
+def carried(rb: pa.RecordBatch) -> dict:
+    """The key and the kept columns of a batch of ``text_rows``, for the output."""
+    return {n: rb.column(i) for i, n in enumerate(rb.schema.names) if n != "_text"}
+
+
+def named(df: DataFrame, key: str, keep: Iterable[str] = ()) -> DataFrame:
+    """Give the key and the kept columns their names; a kept column that has an output's name is left out."""
+    own = {f"_k{i}": c for i, c in enumerate(keep)}
+    outputs = [c for c in df.columns if c != "_key" and c not in own]
+    return df.select(F.col("_key").alias(key), *outputs,
+                     *[F.col(n).alias(c) for n, c in own.items() if c not in outputs and c != key])
 
 
 def batches(table: Iterator[pa.RecordBatch], text: int = 1, max_chars: int = BATCH_CHARS) -> Iterator[pa.RecordBatch]:

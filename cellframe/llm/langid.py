@@ -30,9 +30,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from cellframe.llm.common import map_batches, text_rows
+from cellframe.llm.common import carried, map_batches, named, row_schema, text_rows
 
 MAX_ROWS, MAX_CHARS, FIT_CHARS = 64, 8_000, 40_000
 LANE = 1024
@@ -163,9 +162,8 @@ def identify(docs: DataFrame, automata: dict[str, Automaton], id_col: str = "doc
             second = c[order[1]] if len(langs) > 1 else len(t)
             score.append(float(1 - c[order[0]] / max(second, c[order[0]], 1)))
             per.append([(lang, n / len(t)) for lang, n in zip(langs, c.tolist())])
-        return {"_key": rb.column(0), "lang_pred": pred, "score": score, "phrases": per} | {
-            c: rb.column(2 + i) for i, c in enumerate(keep)}
+        return carried(rb) | {"lang_pred": pred, "score": score, "phrases": per}
 
-    schema = (docs.select(F.col(id_col).alias("_key"), *keep).schema.add("lang_pred", T.StringType())
-              .add("score", T.DoubleType()).add("phrases", T.MapType(T.StringType(), T.DoubleType())))
-    return map_batches(text_rows(docs, id_col, text_col, keep), fn, schema).withColumnRenamed("_key", id_col)
+    rows = text_rows(docs, id_col, text_col, keep)
+    schema = row_schema(rows, "lang_pred string, score double, phrases map<string,double>")
+    return named(map_batches(rows, fn, schema), id_col, keep)

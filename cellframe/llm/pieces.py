@@ -30,9 +30,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from cellframe.llm.common import map_batches, text_rows
+from cellframe.llm.common import carried, map_batches, named, row_schema, text_rows
 
 SHARPNESS, SEED = 1.0, 0
 BATCH_BYTES = 6_000_000  # text whose words are one lattice job
@@ -206,13 +205,11 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         offsets = pa.array(np.concatenate([[0], stop]).astype(np.int32), pa.int32(),
                            mask=np.array([t is None for t in texts] + [False]))
         lists = pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))
-        return {"_key": rb.column(0), "ids": lists, "n_pieces": n, "lossless": lossless} | {
-            c: rb.column(2 + i) for i, c in enumerate(keep)}
+        return carried(rb) | {"ids": lists, "n_pieces": n, "lossless": lossless}
 
-    schema = (docs.select(F.col(id_col).alias("_key"), *keep).schema.add("ids", T.ArrayType(T.IntegerType()))
-              .add("n_pieces", T.LongType()).add("lossless", T.BooleanType()))
-    return map_batches(text_rows(docs, id_col, text_col, keep), fn, schema,
-                       max_chars=BATCH_BYTES).withColumnRenamed("_key", id_col)
+    rows = text_rows(docs, id_col, text_col, keep)
+    schema = row_schema(rows, "ids array<int>, n_pieces long, lossless boolean")
+    return named(map_batches(rows, fn, schema, max_chars=BATCH_BYTES), id_col, keep)
 
 
 def decode_rows(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -28,9 +28,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from cellframe.llm.common import map_batches, text_rows
+from cellframe.llm.common import carried, map_batches, named, row_schema, text_rows
 
 MAX_POSITIVE, MAX_UNLABELLED = 4_000, 8_000
 _UPPER = bytes(range(65, 91))
@@ -124,10 +123,10 @@ def fit_network(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidd
 def feature_rows(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
     def fn(rb: pa.RecordBatch) -> dict:
         rows = [features(t) for t in rb.column(1).cast(pa.binary()).to_pylist()]
-        return {"_key": rb.column(0), "x": rows} | {c: rb.column(2 + i) for i, c in enumerate(keep)}
+        return carried(rb) | {"x": rows}
 
-    schema = docs.select(F.col(id_col).alias("_key"), *keep).schema.add("x", T.ArrayType(T.DoubleType()))
-    return map_batches(text_rows(docs, id_col, text_col, keep), fn, schema)
+    rows = text_rows(docs, id_col, text_col, keep)
+    return named(map_batches(rows, fn, row_schema(rows, "x array<double>")), id_col, keep)
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text",
@@ -150,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     pick = (few(known.where(F.col(label_col) == 1), max_positive).withColumn("_positive", F.lit(True))
             .unionByName(few(docs.where(learn), max_unlabelled).withColumn("_positive", F.lit(False))))
     sample = docs.select(id_col, text_col).join(F.broadcast(pick), id_col)
-    rows = (feature_rows(sample, id_col, text_col, ("_positive",)).orderBy(F.xxhash64("_key"), "_positive", "x")
+    rows = (feature_rows(sample, id_col, text_col, ("_positive",)).orderBy(F.xxhash64(id_col), "_positive", "x")
             .limit(2 * (max_positive + max_unlabelled)).collect())
     x = np.array([r["x"] for r in rows], float).reshape(-1, N_FEATURES)
     positive = np.array([r["_positive"] for r in rows], bool)
@@ -167,8 +166,7 @@ def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col
     def fn(rb: pa.RecordBatch) -> dict:
         x = np.array([features(t) for t in rb.column(1).cast(pa.binary()).to_pylist()]).reshape(-1, N_FEATURES)
         s = shared.value.score(x) if shared.value is not None else np.full(len(x), 0.5)
-        return {"_key": rb.column(0), "score": s, "predicted": (s >= 0.5).astype(np.int32)} | {
-            c: rb.column(2 + i) for i, c in enumerate(keep)}
+        return carried(rb) | {"score": s, "predicted": (s >= 0.5).astype(np.int32)}
 
-    schema = docs.select(F.col(id_col).alias("_key"), *keep).schema.add("score", T.DoubleType()).add("predicted", T.IntegerType())
-    return map_batches(text_rows(docs, id_col, text_col, keep), fn, schema).withColumnRenamed("_key", id_col)
+    rows = text_rows(docs, id_col, text_col, keep)
+    return named(map_batches(rows, fn, row_schema(rows, "score double, predicted int")), id_col, keep)

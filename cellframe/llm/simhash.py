@@ -41,9 +41,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from cellframe.llm.common import map_batches, text_rows
+from cellframe.llm.common import carried, map_batches, named, row_schema, text_rows
 from cellframe.session import drop_scratch, ensure_checkpoint_dir, materialize, scratch_path
 
 SEED = 42
@@ -74,15 +73,14 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
                  keep: tuple[str, ...] = ()) -> DataFrame:
-    """``id``, ``fp`` (the 64 bits as a signed long), and the columns in ``keep``."""
+    """``_key`` (the id), ``fp`` (the 64 bits as a signed long), and the columns in ``keep`` as ``_k0`` ..."""
 
     def fn(rb: pa.RecordBatch) -> dict:
         fp = np.array([fingerprint(t, shingle) for t in rb.column(1).to_pylist()], np.uint64)
-        return {"id": rb.column(0), "fp": pa.array(fp.view(np.int64))} | {
-            c: rb.column(2 + i) for i, c in enumerate(keep)}
+        return carried(rb) | {"fp": pa.array(fp.view(np.int64))}
 
-    schema = docs.select(F.col(id_col).alias("id"), *keep).schema.add("fp", T.LongType())
-    return map_batches(text_rows(docs, id_col, text_col, keep), fn, schema)
+    rows = text_rows(docs, id_col, text_col, keep)
+    return map_batches(rows, fn, row_schema(rows, "fp long"))
 
 
 @lru_cache(1)
@@ -228,13 +226,12 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     of the documents reachable over links), ``root`` (the component's smallest fingerprint), and ``keep``."""
     ensure_checkpoint_dir(docs.sparkSession)
     fps = materialize(fingerprints(docs, id_col, text_col, shingle, keep), "simhash-fps")
-    first = materialize(fps.groupBy("fp").agg(F.min("id").alias("least")), "simhash-first")
+    first = materialize(fps.groupBy("fp").agg(F.min("_key").alias("least")), "simhash-first")
     roots = components(links(first, max_bits, hot_pairs))
     # a fingerprint without links is its own root
     group = first.join(roots, first["fp"] == roots["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
     least = group.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = materialize(group.join(least, "root").select("fp", "root", "component_id"), "simhash-groups")
-    return (fps.join(named, "fp", "left")
-            .select(F.col("id").alias(id_col), "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-                    "component_id", "root", *keep))
+    groups = materialize(group.join(least, "root").select("fp", "root", "component_id"), "simhash-groups")
+    return named(fps.join(groups, "fp", "left").withColumn(
+        "fingerprint", F.lower(F.lpad(F.hex("fp"), 16, "0"))), id_col, keep)

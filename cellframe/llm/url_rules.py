@@ -124,11 +124,11 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
         fetched = F.transform(tokens, lambda t: F.element_at(lookup, t))
         found = parts.withColumn("_rules", F.flatten(F.filter(fetched, lambda x: x.isNotNull())))
     else:
-        keyed = parts.withColumn("_row", F.monotonically_increasing_id())
         each = F.struct("site", "length", "name", "verdict", "pattern")
-        fetched = (keyed.select("_row", F.explode(tokens).alias("token")).join(index, "token")
-                   .groupBy("_row").agg(F.collect_list(each).alias("_rules")))
-        found = keyed.join(fetched, "_row", "left").withColumn("_rules", F.coalesce("_rules", F.expr(
+        subjects = parts.select("host", "path").distinct()
+        fetched = (subjects.withColumn("token", F.explode(tokens)).join(index, "token")
+                   .groupBy("host", "path").agg(F.collect_list(each).alias("_rules")))
+        found = parts.join(fetched, ["host", "path"], "left").withColumn("_rules", F.coalesce("_rules", F.expr(
             "from_json('[]', 'array<struct<site:boolean,length:int,name:string,verdict:string,pattern:string>>')")))
     return _decide(found, F.concat("host", "path"), id_col)
 
