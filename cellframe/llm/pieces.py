@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from cellframe.llm.common import carried, map_batches, named, row_schema, text_rows
 
 SHARPNESS, SEED = 1.0, 0
-BATCH_BYTES = 6_000_000  # text whose words are one lattice job
+BATCH_BYTES = 2_500_000  # text whose words are one lattice job
 
 
 class Lattices:
@@ -61,23 +61,24 @@ class Lattices:
                 self.weight[i] = (i - first + 2.7) ** -sharpness
                 self.ends.add_word(self.bytes_of[i].decode("latin-1"), i)
         self.ends.make_automaton()
-        self.size_of = np.array([len(b) for b in self.bytes_of])
+        self.size_of = np.array([len(b) for b in self.bytes_of], np.int32)
         self.log_weight = np.log(np.where(self.weight > 0, self.weight, 1.0))
-        self.byte_id = np.array(self.byte_id)
+        self.byte_id = np.array(self.byte_id, np.int32)
         self.singles = {p for p in (b.decode() for b, w in zip(self.bytes_of[first:], self.weight[first:]) if w)
                         if len(p) == 1}
 
     def edges(self, joined: bytes) -> tuple[np.ndarray, np.ndarray]:
         """(end, piece) of every edge in ``joined`` (words kept apart by 0xFF), by end and then by size, longest
         first."""
-        found = np.fromiter(chain.from_iterable(self.ends.iter(joined.decode("latin-1"))), np.int64).reshape(-1, 2)
-        end, piece = found[:, 0] + 1, found[:, 1]
+        found = np.fromiter(chain.from_iterable(self.ends.iter(joined.decode("latin-1"))), np.int32).reshape(-1, 2)
+        end, piece = found[:, 0] + np.int32(1), found[:, 1].copy()
+        del found
         strange = set(joined.replace(b"\xff", b"").decode()) - self.singles
         if strange:
             any_of = re.compile(b"|".join(re.escape(c.encode()) for c in sorted(strange)))
-            spans = np.array([m.span() for m in any_of.finditer(joined)])
+            spans = np.array([m.span() for m in any_of.finditer(joined)], np.int32)
             at = np.concatenate([np.arange(b, e) for b, e in spans]) if (np.diff(spans) > 1).any() else spans[:, 0]
-            end = np.concatenate([end, at + 1])
+            end = np.concatenate([end, (at + 1).astype(np.int32)])
             piece = np.concatenate([piece, self.byte_id[np.frombuffer(joined, np.uint8)[at]]])
             order = np.argsort(end, kind="stable")
             end, piece = end[order], piece[order]
@@ -91,7 +92,7 @@ class Lattices:
         total = np.full(int(end[-1]) + 1, -np.inf)
         total[word_start] = 0.0
         start = end - self.size_of[piece]
-        place = end - word_start[np.searchsorted(word_start, start, "right") - 1]
+        place = end - word_start[np.searchsorted(word_start, start, "right") - 1].astype(np.int32)
         order = np.argsort(place, kind="stable")
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(place[order])) + 1, [len(order)]])
         out = np.empty(len(end))
