@@ -20,8 +20,9 @@ def sample_range(expr: DataFrame, sample: str = "sample", value: str = "value")
     """(sample, min_pos, max_val): min over positive values, max over all values.
 
     Computed per sample file before any cell filter, like the reference.
+    NaN values are left out of both (Spark would order NaN above all numbers).
     """
-    v = F.col(value)
+    v = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
     return expr.groupBy(sample).agg(
         F.min(F.when(v > 0, v)).alias("min_pos"),
         F.max(v).alias("max_val"),

@@ -25,3 +25,8 @@ def top_variable_genes(expr: DataFrame, n_cells: DataFrame, k: int) -> DataFrame
     w = Window.partitionBy("sample").orderBy(F.desc("score"), F.asc("gene"))
     return (g.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
             .withColumn("rank", F.col("rank").cast("int")))
+
+
+def ready_ranked_genes(ranked: DataFrame, k: int, rank: str = "rank") -> DataFrame:
+    """The first ``k`` genes of each sample of a list that is ranked already (rank from 1)."""
+    return ranked.filter(F.col(rank) <= k)

@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_BLOCK = 2048
+STRIP_VALUES = 8_000_000  # differences (float64) held at a time in a block product
+QUERY_BLOCK = 4096        # query vectors shipped with the tasks at a time
 
 
 def _route(df: DataFrame, id_col: str, vec_col: str, block_size: int, extra: dict | None = None) -> DataFrame:
@@ -59,6 +61,28 @@ def _unit(m: np.ndarray) -> np.ndarray:
         return np.where(n > 0, m / np.where(n == 0, 1, n), 0.0)
 
 
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances, row strip by row strip: the differences held at a time stay under STRIP_VALUES."""
+    out = np.empty((len(a), len(b)))
+    step = max(1, STRIP_VALUES // max(1, b.size))
+    for lo in range(0, len(a), step):
+        out[lo:lo + step] = np.sqrt(((a[lo:lo + step, None, :] - b[None, :, :]) ** 2).sum(axis=2))
+    return out
+
+
+def _ranks(ids: np.ndarray) -> np.ndarray:
+    """Positions of the ids in their sorted order (ids of any type)."""
+    return np.unique(ids, return_inverse=True)[1]
+
+
+def _first_k(rows: np.ndarray, cols: np.ndarray, value: np.ndarray, tie: np.ndarray, k: int):
+    """For each row the k columns of least (value, tie)."""
+    order = np.lexsort((tie, value, rows))
+    rows, cols = rows[order], cols[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    return rows[place < k], cols[place < k]
+
+
 def cosine_pairs(df: DataFrame, id_col: str, vec_col: str, threshold: float,
                  block_size: int = DEFAULT_BLOCK, self_loops: bool = True) -> DataFrame:
     """Unordered pairs (src <= dst) with cosine >= threshold and cosine != 0.
@@ -82,9 +106,11 @@ def cosine_pairs(df: DataFrame, id_col: str, vec_col: str, threshold: float,
             keep &= ia[:, None] != ib[None, :]
         r, c = np.nonzero(keep)
         src, dst = ia[r], ib[c]
-        return pd.DataFrame({"src": np.minimum(src, dst), "dst": np.maximum(src, dst), "sim": s[r, c]})
+        low = src <= dst
+        return pd.DataFrame({"src": np.where(low, src, dst), "dst": np.where(low, dst, src), "sim": s[r, c]})
 
-    return routed.groupBy("bi", "bj").applyInPandas(run, "src long, dst long, sim double")
+    kind = df.schema[id_col].dataType.simpleString()
+    return routed.groupBy("bi", "bj").applyInPandas(run, f"src {kind}, dst {kind}, sim double")
 
 
 def knn(df: DataFrame, id_col: str, vec_col: str, k: int, block_size: int = DEFAULT_BLOCK) -> DataFrame:
@@ -105,25 +131,23 @@ def knn(df: DataFrame, id_col: str, vec_col: str, k: int, block_size: int = DEFA
         outs = []
         if a.size == 0 or b.size == 0:
             return pd.DataFrame({"src": [], "dst": [], "dist": []})
-        d = np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2))
+        d = _distances(a, b)
 
         def top(dm, rows, cols):
-            dm = dm.copy()
-            dm[rows[:, None] == cols[None, :]] = np.inf
-            kk = min(k, dm.shape[1])
-            order = np.lexsort((np.broadcast_to(cols, dm.shape), dm), axis=1)[:, :kk]
-            rr = np.repeat(np.arange(dm.shape[0]), kk)
-            cc = order.reshape(-1)
-            vals = dm[rr, cc]
-            ok = np.isfinite(vals)
-            return pd.DataFrame({"src": rows[rr][ok], "dst": cols[cc][ok], "dist": vals[ok]})
+            kk = min(k + 1, dm.shape[1])  # one more: the row itself may be among them
+            rr, cc = np.nonzero(dm <= np.partition(dm, kk - 1, axis=1)[:, [kk - 1]])
+            other = rows[rr] != cols[cc]
+            rr, cc = rr[other], cc[other]
+            rr, cc = _first_k(rr, cc, dm[rr, cc], _ranks(cols)[cc], k)
+            return pd.DataFrame({"src": rows[rr], "dst": cols[cc], "dist": dm[rr, cc]})
 
         outs.append(top(d, ia, ib))
         if not diag:
             outs.append(top(d.T, ib, ia))
         return pd.concat(outs, ignore_index=True)
 
-    cand = routed.groupBy("bi", "bj").applyInPandas(run, "src long, dst long, dist double")
+    kind = df.schema[id_col].dataType.simpleString()
+    cand = routed.groupBy("bi", "bj").applyInPandas(run, f"src {kind}, dst {kind}, dist double")
     w = Window.partitionBy("src").orderBy("dist", "dst")
     return (cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
             .withColumn("rank", F.col("rank").cast("int")))
@@ -144,7 +168,7 @@ def cluster_distance_sums(df: DataFrame, id_col: str, vec_col: str, cluster_col:
             return pd.DataFrame({"id": [], "cluster": [], "other": [], "dist_sum": [], "n": []})
         ia, ib = left["id"].to_numpy(), right["id"].to_numpy()
         ca, cb = left["cl"].to_numpy(), right["cl"].to_numpy()
-        d = np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2))
+        d = _distances(a, b)
         outs = []
 
         def sums(dm, rows, rcl, cols, ccl):
@@ -165,7 +189,8 @@ def cluster_distance_sums(df: DataFrame, id_col: str, vec_col: str, cluster_col:
 
     cl_type = df.schema[cluster_col].dataType.simpleString()
     part = routed.groupBy("bi", "bj").applyInPandas(
-        run, f"id long, cluster {cl_type}, other {cl_type}, dist_sum double, n long")
+        run, f"id {df.schema[id_col].dataType.simpleString()}, cluster {cl_type}, other {cl_type}, "
+             "dist_sum double, n long")
     return part.groupBy("id", "cluster", "other").agg(F.sum("dist_sum").alias("dist_sum"),
                                                      F.sum("n").alias("n"))
 
@@ -198,44 +223,51 @@ def silhouette_score(df: DataFrame, id_col: str, vec_col: str, cluster_col: str,
 
 def top_similar(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "gene",
                 vec_col: str = "vec", qid_col: str = "query", qvec_col: str = "qvec",
-                max_queries: int = 10_000, temperature: float | None = None) -> DataFrame:
+                query_block: int = QUERY_BLOCK, temperature: float | None = None) -> DataFrame:
     """Top-k cosine neighbours of each query vector in the corpus (W-01, J-09).
 
     Ranking: similarity descending, ties to the later corpus row (larger
-    id).  The query matrix is a parameter bounded by ``max_queries``; it is
-    shipped with the task and each corpus partition emits its local top-k
-    per query, so the final per-query window sees k rows per partition.
+    id).  Queries go in hashed blocks of about ``query_block`` vectors: a
+    block is shipped with the tasks of one pass over the corpus, each
+    partition emits its local top-k per query, and the final per-query
+    window sees k rows per batch.  Any number of queries is answered.
     """
     from pyspark.sql import Window
 
     from cellframe.session import ship_package
     ship_package(corpus.sparkSession)
-    q = queries.select(qid_col, qvec_col)
-    nq = q.limit(max_queries + 1).count()
-    if nq > max_queries:
-        raise ValueError(f"more than {max_queries} query vectors; use cosine_pairs instead")
-    rows = q.collect()
-    qids = np.array([r[0] for r in rows])
+    q = queries.select(F.col(qid_col).alias("_q"), F.col(qvec_col).alias("_v"))
+    n_blocks = max(1, math.ceil(q.count() / query_block))
+    block = F.pmod(F.xxhash64("_q"), F.lit(n_blocks))
+    parts = [_similar_block(corpus, (q if n_blocks == 1 else q.where(block == i)).collect(), k, id_col, vec_col,
+                            q.schema["_q"].dataType.simpleString(), temperature) for i in range(n_blocks)]
+    cand = parts[0]
+    for p in parts[1:]:
+        cand = cand.unionByName(p)
+    w = Window.partitionBy("query").orderBy(F.desc("sim"), F.desc("gene"))
+    return (cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+            .withColumn("rank", F.col("rank").cast("int")))
+
+
+def _similar_block(corpus: DataFrame, rows: list, k: int, id_col: str, vec_col: str, qtype: str,
+                   temperature: float | None) -> DataFrame:
+    qids = np.array([r[0] for r in rows], dtype=None if rows and not isinstance(rows[0][0], str) else object)
     qm = _unit(np.stack([np.asarray(r[1], dtype=np.float64) for r in rows])) if rows else np.zeros((0, 1))
     scale = 1.0 / temperature if temperature else 1.0
 
     def run(batches):
         for pdf in batches:
-            if len(pdf) == 0:
+            if len(pdf) == 0 or len(qids) == 0:
                 continue
             m = _unit(_mat(pdf[vec_col]))
             ids = pdf[id_col].to_numpy()
-            s = qm @ m.T
-            kk = min(k, s.shape[1])
-            outs = []
-            for qi in range(len(qids)):
-                order = np.lexsort((-ids, -s[qi]))[:kk]
-                outs.append(pd.DataFrame({"query": qids[qi], "gene": ids[order], "sim": s[qi, order] * scale}))
-            yield pd.concat(outs, ignore_index=True)
-
-    qtype = queries.schema[qid_col].dataType.simpleString()
+            tie, kk = -_ranks(ids), min(k, len(ids))
+            step = max(1, STRIP_VALUES // len(ids))
+            for lo in range(0, len(qids), step):
+                s = qm[lo:lo + step] @ m.T
+                rr, cc = np.nonzero(s >= np.partition(s, len(ids) - kk, axis=1)[:, [len(ids) - kk]])
+                rr, cc = _first_k(rr, cc, -s[rr, cc], tie[cc], k)
+                yield pd.DataFrame({"query": qids[lo + rr], "gene": ids[cc], "sim": s[rr, cc] * scale})
+
     gtype = corpus.schema[id_col].dataType.simpleString()
-    cand = corpus.select(id_col, vec_col).mapInPandas(run, f"query {qtype}, gene {gtype}, sim double")
-    w = Window.partitionBy("query").orderBy(F.desc("sim"), F.desc("gene"))
-    return (cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-            .withColumn("rank", F.col("rank").cast("int")))
+    return corpus.select(id_col, vec_col).mapInPandas(run, f"query {qtype}, gene {gtype}, sim double")

@@ -1,39 +1,29 @@
 """Train / valid / test splits (W-05..W-08, U-03), chunking (IO-10) and masking (W-04).
 
 Random order is md5('key:seed') so every engine agrees on it.  Exact ranks
-never use one window per label (a label may hold a third of all rows):
-``bucketed_rank`` counts rows per (group, md5 prefix bucket), turns those
-small counts into offsets, and ranks only inside (group, bucket) windows.
-The offsets table has at most groups x 16**prefix rows, a proven bound.
+never use one window per label (a label may hold a third of all rows): they
+come from ``grouped_row_number``, whose range layout grows with the data.
+Rows without a label are a class of their own.
 """
 
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellframe.config import MASK_RATIO, MASK_VALUE, PAD_VALUE
 from cellframe.functions.columns import hash_order
+from cellframe.functions.ranking import checked_broadcast, grouped_row_number
 
-PREFIX = 4  # hex digits of the md5 key used as rank buckets (65,536 buckets)
+MAX_CLASSES = 100_000  # class tables up to so many rows are broadcast
 
 
-def bucketed_rank(df: DataFrame, group_cols: list[str], key: str, out: str = "rank",
-                  prefix: int = PREFIX) -> DataFrame:
-    """Exact 1-based rank of ``key`` (hex string, unique) within ``group_cols``."""
-    b = F.substring(F.col(key), 1, prefix)
-    df = df.withColumn("_b", b)
-    counts = df.groupBy(*group_cols, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    w = (Window.partitionBy(*group_cols) if group_cols else Window.partitionBy(F.lit(0))) \
-        .orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*group_cols, "_b", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    local = F.row_number().over(Window.partitionBy(*group_cols, "_b").orderBy(key))
-    ranked = df.withColumn("_local", local)
-    return (ranked.join(F.broadcast(offsets), [*group_cols, "_b"])
-            .withColumn(out, (F.col("_off") + F.col("_local")).cast("long"))
-            .drop("_b", "_off", "_local"))
+def bucketed_rank(df: DataFrame, group_cols: list[str], key: str, out: str = "rank") -> DataFrame:
+    """Exact 1-based rank of ``key`` (unique) within ``group_cols``; a null group is a group."""
+    return grouped_row_number(df, group_cols, [key], out).withColumn(out, F.col(out).cast("long"))
 
 
 def split_sizes(n: int, test_size: float) -> tuple[int, int, int]:
@@ -109,11 +99,12 @@ def split_stratified(df: DataFrame, key: str, label: str, seed: int, test_size:
         return split_none(df)
     q = stratified_quotas(df, label, test_size)
     r = bucketed_rank(df.withColumn("_k", hash_order(key, seed=seed)), [label], "_k", "_r")
-    j = r.join(F.broadcast(q.withColumnRenamed("label", label)), label)
+    q = checked_broadcast(q.withColumnRenamed("label", "_label"), MAX_CLASSES)
+    j = r.join(q, r[label].eqNullSafe(q["_label"]))  # one row per class
     return (j.withColumn("split", F.when(F.col("_r") <= F.col("n_train"), "train")
                          .when(F.col("_r") <= F.col("n_train") + F.col("n_test"), "test")
                          .otherwise("valid"))
-            .drop("_k", "_r", "n", "n_train", "n_test", "n_valid"))
+            .drop("_k", "_r", "_label", "n", "n_train", "n_test", "n_valid"))
 
 
 def chunk_plan(df: DataFrame, key: str, seed: int, chunk_rows: int) -> DataFrame:
@@ -143,7 +134,8 @@ def read_chunks(spark, path: str, split: str, start_chunk: int, num_chunks: int
     end = end_chunk if end_chunk is not None else start_chunk + num_chunks - 1
     df = spark.read.parquet(path).filter((F.col("split") == split)
                                          & F.col("chunk").between(start_chunk, end))
-    present = {r.chunk for r in df.select("chunk").distinct().collect()}
+    # chunk numbers come from the folder names, not from the rows
+    present = {int(m[1]) for f in df.inputFiles() if (m := re.search(r"/chunk=(\d+)/", f))}
     missing = set(range(start_chunk, end + 1)) - present
     if missing:
         raise FileNotFoundError(f"missing {split} chunks {sorted(missing)}")

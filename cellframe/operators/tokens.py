@@ -4,9 +4,9 @@ PF-01 denylist, PF-02 expressed genes, PF-03 keep-zero mode, J-02/J-03
 labelled cells, J-01 strict batch lookup, W-03 gene sampling, A-05 / S-11
 assembly with padding, S-02 CLS prefix, PF-04 pad recode, PF-05 pad mask.
 
-Partitioning: everything per cell shares ONE shuffle on ``cell``.  The
+Partitioning: everything per cell shares ONE shuffle on the cell's key.  The
 window that counts and ranks a cell's genes requires hash partitioning on
-``cell``; the assembly aggregate and the join with the cell table reuse it.
+that key; the assembly aggregate and the join with the cell table reuse it.
 A cell's group is bounded by the number of distinct genes (a cell has at
 most one row per gene), so no group is unbounded even if one sample or
 batch holds a third of all rows.  Arrays are cut to ``seq_length`` before
@@ -35,32 +35,38 @@ def expressed(df: DataFrame, value: str = "value") -> DataFrame:
     return df.filter(v.isNotNull() & ~F.isnan(v) & (v != 0))
 
 
+def one_per_key(table: DataFrame, key: str, col: str) -> DataFrame:
+    """(key, col) with each key once; a key that occurs twice fails the job (DQ-01)."""
+    t = table.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.first(col).alias(col))
+    return t.select(key, F.when(F.col("_n") == 1, F.col(col)).otherwise(F.raise_error(
+        F.concat(F.lit(f"repeated {key}: "), F.col(key).cast("string")))).alias(col))
+
+
 def labelled(expr: DataFrame, labels: DataFrame, key: str = "cell",
              label_col: str = "celltype") -> DataFrame:
-    """Rows of labelled cells with their label attached (semi + inner join)."""
-    lab = labels.select(key, label_col)
-    return expr.join(lab, key, "inner")
+    """Rows of labelled cells with their label attached; a cell with two labels is an error."""
+    return expr.join(one_per_key(labels, key, label_col), key, "inner")
 
 
 def strict_lookup(df: DataFrame, table: DataFrame, key: str, col: str) -> DataFrame:
     """Left join that fails the job when a key has no match (KeyError in the reference)."""
-    t = table.select(key, col)
-    j = df.join(t, key, "left")
+    j = df.join(one_per_key(table, key, col), key, "left")
     return j.withColumn(col, F.when(F.col(col).isNotNull(), F.col(col)).otherwise(
         F.raise_error(F.concat(F.lit(f"missing {col} for {key} "), F.col(key).cast("string")))))
 
 
 # --------------------------------------------------------------- sampling --
 def sample_genes(df: DataFrame, seq_length: int, sample_size: int, seed: int,
-                 cell: str = "cell", gene: str = "gene") -> DataFrame:
+                 cell: str = "cell", gene: str = "gene", sample: str | None = None) -> DataFrame:
     """Choose each cell's genes and their sequence positions (``pos`` from 1).
 
     More than ``seq_length`` expressed genes: the first ``sample_size`` in
     md5 order of 'cell:gene:seed' (a draw without replacement), placed in
     that order.  Otherwise: every gene, in gene order.  ``n_expressed`` is
-    the cell's count before sampling.
+    the cell's count before sampling.  With ``sample`` a cell is identified
+    by (sample, cell), so equal barcodes of two samples stay apart.
     """
-    per_cell = Window.partitionBy(cell)
+    per_cell = Window.partitionBy(*([sample] if sample else []), cell)
     df = df.withColumn("n_expressed", F.count(F.lit(1)).over(per_cell))
     big = F.col("n_expressed") > seq_length
     key = F.when(big, hash_order(cell, gene, seed=seed))
@@ -72,13 +78,14 @@ def sample_genes(df: DataFrame, seq_length: int, sample_size: int, seed: int,
 # --------------------------------------------------------------- assembly --
 def assemble(chosen: DataFrame, seq_length: int, pad_id: int = PAD_TOKEN_ID,
              pad_value: float = PAD_VALUE, cell: str = "cell", gene_id: str = "gene_id",
-             value: str = "val") -> DataFrame:
+             value: str = "val", sample: str | None = None) -> DataFrame:
     """One row per cell: ``gene_ids`` / ``vals`` arrays right-padded to ``seq_length``."""
-    g = chosen.groupBy(cell).agg(
+    keys = [*([sample] if sample else []), cell]
+    g = chosen.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct(F.col("pos"), F.col(gene_id).alias("g"),
                                              F.col(value).cast("double").alias("v")))).alias("_t"))
     return g.select(
-        cell,
+        *keys,
         F.size("_t").cast("long").alias("n_genes"),
         pad_right(F.transform("_t", lambda s: s["g"]), seq_length, pad_id).alias("gene_ids"),
         pad_right(F.transform("_t", lambda s: s["v"]), seq_length, pad_value).alias("vals"),
@@ -87,9 +94,9 @@ def assemble(chosen: DataFrame, seq_length: int, pad_id: int = PAD_TOKEN_ID,
 
 def attach_to_cells(cells: DataFrame, seqs: DataFrame, seq_length: int,
                     pad_id: int = PAD_TOKEN_ID, pad_value: float = PAD_VALUE,
-                    cell: str = "cell") -> DataFrame:
+                    cell: str = "cell", sample: str | None = None) -> DataFrame:
     """Left join cells to sequences; a cell with no expressed gene gets an all-pad row."""
-    j = cells.join(seqs, cell, "left")
+    j = cells.join(seqs, [*([sample] if sample else []), cell], "left")
     return (j.withColumn("n_genes", F.coalesce(F.col("n_genes"), F.lit(0).cast("long")))
             .withColumn("gene_ids", F.coalesce(F.col("gene_ids"),
                                                F.array_repeat(F.lit(pad_id), seq_length)))
@@ -112,42 +119,41 @@ def build_tokens(expr_binned: DataFrame, cells: DataFrame, gene_vocab: DataFrame
     """Binned long expression + cell table -> one padded sequence row per cell.
 
     ``cells`` must already be filtered (denylist) and carry the label ids to
-    keep; ``gene_vocab`` is ``(name, id)``.
+    keep; ``gene_vocab`` is ``(name, id)``.  Both tables carry ``sample``:
+    a cell is one row of one sample file.
     """
     from cellframe.operators.vocab import encode_genes
-    e = expressed(expr_binned, value).join(cells.select("cell"), "cell", "left_semi")
+    e = expressed(expr_binned, value).join(cells.select("sample", "cell"), ["sample", "cell"], "left_semi")
     e = encode_genes(e, gene_vocab, "gene", "gene_id", p.pad_id)
     chosen = sample_genes(e.withColumn("val", F.col(value).cast("double")),
-                          p.seq_length, p.sample_size, p.seed)
-    seqs = assemble(chosen, p.seq_length, p.pad_id, p.pad_value)
-    return attach_to_cells(cells, seqs, p.seq_length, p.pad_id, p.pad_value)
+                          p.seq_length, p.sample_size, p.seed, sample="sample")
+    seqs = assemble(chosen, p.seq_length, p.pad_id, p.pad_value, sample="sample")
+    return attach_to_cells(cells, seqs, p.seq_length, p.pad_id, p.pad_value, sample="sample")
 
 
 def dense_genes(expr_zero: DataFrame, seq_length: int, gene_vocab: DataFrame,
                 pad_id: int = PAD_TOKEN_ID, pad_value: float = PAD_VALUE) -> DataFrame:
     """Keep-zero mode (PF-03): every gene of the cell's sample, zeros included.
 
-    A sample's gene columns are the distinct genes seen in it, in gene order;
-    only the first ``seq_length`` can be placed (truncation), so each
-    sample's placed-gene list is bounded by ``seq_length`` and broadcast.
-    Each cell's values for those genes are collected into a map (at most
-    ``seq_length`` entries) in one shuffle on (sample, cell); missing genes
-    read as 0.
+    A sample's gene columns are the distinct genes seen in it, in gene order.
+    A sample with more genes than ``seq_length`` is an error, never a cut.
+    Each cell's values are collected into a map (at most ``seq_length``
+    entries) in one shuffle on (sample, cell); missing genes read as 0.
     """
     from cellframe.operators.vocab import encode_genes
     genes = expr_zero.select("sample", "gene").distinct()
-    placed = (genes.withColumn("pos", F.row_number().over(Window.partitionBy("sample").orderBy("gene")))
-              .filter(F.col("pos") <= seq_length))
+    n = F.count(F.lit(1)).over(Window.partitionBy("sample"))
+    too_many = F.raise_error(F.concat(F.lit("sample "), F.col("sample").cast("string"), F.lit(" has "),
+                                      F.col("_n").cast("string"), F.lit(f" genes, more than {seq_length}")))
+    placed = (genes.withColumn("_n", n)
+              .withColumn("pos", F.when(F.col("_n") > seq_length, too_many.cast("int")).otherwise(
+                  F.row_number().over(Window.partitionBy("sample").orderBy("gene")))).drop("_n"))
     placed = encode_genes(placed, gene_vocab, "gene", "gene_id", pad_id)
     lists = placed.groupBy("sample").agg(
         F.array_sort(F.collect_list(F.struct("pos", "gene", "gene_id"))).alias("_genes"))
-    # placed genes: at most seq_length per sample (proven bound) -> broadcast
-    tagged = expr_zero.join(F.broadcast(placed.select("sample", "gene", F.lit(True).alias("_in"))),
-                            ["sample", "gene"], "left")
-    per_cell = tagged.groupBy("sample", "cell").agg(
-        F.map_from_entries(F.collect_list(F.when(F.col("_in"), F.struct(
-            F.col("gene"), F.col("value").cast("double"))))).alias("_m"))
-    j = per_cell.join(F.broadcast(lists), "sample")
+    per_cell = expr_zero.groupBy("sample", "cell").agg(F.map_from_entries(F.collect_list(
+        F.struct(F.col("gene"), F.col("value").cast("double")))).alias("_m"))
+    j = per_cell.join(lists, "sample")
     ids = F.transform("_genes", lambda s: s["gene_id"])
     vals = F.transform("_genes", lambda s: F.coalesce(F.element_at(F.col("_m"), s["gene"]), F.lit(0.0)))
     return j.select("sample", "cell", F.size("_genes").cast("long").alias("n_genes"),

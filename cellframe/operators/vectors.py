@@ -86,23 +86,35 @@ def rank_against_vector(emb: DataFrame, vector: list[float], key: str = "gene",
     from cellframe.functions.ranking import global_row_number
     q = F.lit([float(x) for x in vector]).cast("array<double>")
     s = emb.select(key, cosine(F.col(vec), q).alias("sim"))
-    s = s.withColumn("_neg", -F.col("sim")).withColumn("_nk", -F.col(key))
-    return global_row_number(s, ["_neg", "_nk"], "rank").drop("_neg", "_nk")
+    return global_row_number(s, [F.desc("sim"), F.desc(key)], "rank")
 
 
 def pool_cells(tokens: DataFrame, emb: DataFrame, gene_id: str = "gene_id", key: str = "gene",
-               vec: str = "vec", pad_id: int = 0, max_broadcast_values: int = 8_000_000) -> DataFrame:
-    """A-14: mean of token gene vectors per cell, then L2-normalised.
-
-    Pad / unknown ids are dropped first.  The gene-vector table is
+               vec: str = "vec", pad_id: int = 0, max_broadcast_values: int = 8_000_000,
+               mode: str = "mean", weight: str = "val", pos: str = "pos") -> DataFrame:
+    """A-14: one vector per cell from its tokens' gene vectors.
+
+    ``mode``: 'mean' (then unit length), 'weighted' (sum of weight x vector,
+    then unit length) or 'first' (the vector of the token at position 1).
+    Pad / unknown ids are dropped first.  Vectors are summed as vectors,
+    with partial sums before the shuffle; no row per (token, dimension).  The gene-vector table is
     broadcast only when rows x width is under ``max_broadcast_values``;
     otherwise it is a shuffle join (hot genes are split by AQE skew join).
     """
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
     from cellframe.functions.ranking import checked_broadcast
+    if mode not in ("mean", "weighted", "first"):
+        raise ValueError(f"unknown pooling {mode!r}: use 'mean', 'weighted' or 'first'")
     width = emb.select(F.size(vec).alias("w")).agg(F.max("w")).first()[0] or 1
     ev = checked_broadcast(emb.select(F.col(key).alias(gene_id), F.col(vec).alias("_v")),
                            max(1, max_broadcast_values // width))
-    t = tokens.filter(F.col(gene_id) != pad_id).join(ev, gene_id)
-    m = group_mean(t, ["cell"], "_v")
-    arr = _reassemble(m, ["cell"], "k", "x", "mean_vec")
-    return arr.select("cell", l2_normalize("mean_vec").alias("cell_vec"))
+    t = tokens.filter(F.col(gene_id) != pad_id)
+    if mode == "first":
+        return t.filter(F.col(pos) == 1).join(ev, gene_id).select("cell", F.col("_v").alias("cell_vec"))
+    t = t.join(ev, gene_id).withColumn("_v", array_to_vector("_v"))
+    # the weighted mean has the direction of the weighted sum
+    mean = Summarizer.mean(F.col("_v"), F.col(weight).cast("double")) if mode == "weighted" else Summarizer.mean(F.col("_v"))
+    m = t.groupBy("cell").agg(vector_to_array(mean).alias("mean_vec"))
+    return m.select("cell", l2_normalize("mean_vec").alias("cell_vec"))

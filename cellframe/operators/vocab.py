@@ -97,3 +97,14 @@ def decode_by_species(df: DataFrame, vocabs: DataFrame, species: str, col: str,
          .join(gen, df[col] == gen["_gid"], "left"))
     return (j.withColumn(out, F.when(F.col("_ks").isNotNull(), F.col("_own")).otherwise(F.col("_gen")))
             .drop("_sp", "_id", "_own", "_gid", "_gen", "_ks"))
+
+
+def row_positions(df: DataFrame, order: list[str], name: str = "pos") -> DataFrame:
+    """W-12: every row's position in ``order`` (a unique order), from 0, for tables of any size."""
+    from cellframe.functions.ranking import global_row_number
+    return global_row_number(df, order, name, start=0)
+
+
+def names_at(positions: DataFrame, index: DataFrame, pos: str, name: str) -> DataFrame:
+    """J-13 back: the name at each position, null where the index has none."""
+    return positions.select(pos).join(index.select(pos, name), pos, "left")

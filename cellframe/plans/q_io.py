@@ -56,10 +56,36 @@ def q_meta_union(spark, sf):
                        .select(F.col("cell").cast("string").alias("cell_name"),
                                F.col("batch").alias("orig.ident"), "sample"),
                        f"{path}/untyped")
-    m = files.read_metadata(spark, path, "celltype")
+    m = files.read_metadata(spark, path, "celltype", suffix=".csv")
     return m.select(F.col("cell").cast("long").alias("cell"), "celltype")
 
 
+# ---------------------------------------------------------------- IO-04 ---
+@query("keyed_labels", with_views("SELECT CAST(cell AS VARCHAR) AS cell, celltype FROM v_cells"))
+def q_keyed_labels(spark, sf):
+    """A label table written as CSV and read back by key, each cell once."""
+    path = scratch_path(spark, "labels")
+    files.write_labels(T.cells(spark, sf).select(F.col("cell").cast("string").alias("cell"), "celltype"), path)
+    return files.read_keyed_labels(spark, path)
+
+
+# ---------------------------------------------------------- IO-06 / IO-11 -
+@query("emb_header_copy", with_views(
+    "SELECT CAST(COUNT(*) AS VARCHAR) || ' ' || CAST(MAX(len(vec)) AS VARCHAR) AS header, COUNT(*) AS n_rows FROM v_emb"))
+def q_emb_header_copy(spark, sf):
+    """The header of an embedding text table, copied to the averaged table and read from there."""
+    from cellframe.operators import vectors
+    first, second = scratch_path(spark, "embtext"), scratch_path(spark, "embtext")
+    e = T.emb(spark, sf).select("gene", "vec")
+    files.write_embedding_text(e, first)
+    avg = vectors.average_sets(e, second_set(spark, sf))
+    files.write_embedding_text(avg, second, header=files.read_embedding_header(spark, first))
+    body = files.read_embedding_text(spark, f"{second}/body", strict=True, header=False)
+    head = files.read_embedding_header(spark, second).select(F.col("value").alias("header"), F.lit(0).alias("n"))
+    both = head.unionByName(body.select(F.lit(None).cast("string").alias("header"), F.lit(1).alias("n")))
+    return both.agg(F.max("header").alias("header"), F.sum("n").alias("n_rows"))
+
+
 # ---------------------------------------------------------- IO-05 / IO-09 -
 @query("vocab_roundtrip", with_views(BATCH_VOCAB_SQL))
 def q_vocab_roundtrip(spark, sf):
@@ -79,7 +105,7 @@ def q_emb_text_read(spark, sf):
     path = scratch_path(spark, "embtext")
     avg = vectors.average_sets(T.emb(spark, sf).select("gene", "vec"), second_set(spark, sf))
     files.write_embedding_text(avg, path)
-    back = files.read_embedding_text(spark, path, strict=True, key_type="long")
+    back = files.read_embedding_text(spark, f"{path}/body", strict=True, key_type="long", header=False)
     ex = vectors.exploded(back, ["gene"], "vec")
     return ex.select("gene", "k", F.round("x", 6).alias("x"))
 

@@ -19,11 +19,14 @@ L = P.seq_length
 TEST = P.test_size
 CHUNK_ROWS = 100  # small chunk size so the test tables span several chunks
 KEY_SQL = hash_order_sql("cell", seed=P.seed)
-KEPT_SQL = f"SELECT * FROM v_cells WHERE celltype IS NULL OR celltype NOT IN ({DENY_SQL})"
+NULL_TYPE = "FURNITURE"  # cells of this type are taken as cells without a type, a class of their own
+KEPT_SQL = (f"SELECT * REPLACE (NULLIF(celltype, '{NULL_TYPE}') AS celltype) FROM v_cells "
+            f"WHERE celltype IS NULL OR celltype NOT IN ({DENY_SQL})")
 
 
 def kept_cells(spark, sf):
-    return tokens.drop_denied_types(T.cells(spark, sf), CELLTYPE_DENYLIST).select("cell", "celltype")
+    return tokens.drop_denied_types(T.cells(spark, sf), CELLTYPE_DENYLIST).select(
+        "cell", F.nullif("celltype", F.lit(NULL_TYPE)).alias("celltype"))
 
 
 # ---------------------------------------------------------------- W-05 ----
@@ -48,7 +51,7 @@ def _lr(prefix: str, src: str, count_col: str, total_col: str, draws: str, out:
         f"{prefix}a": f"SELECT *, {count_col} * ({draws}) / {total_col} AS cont FROM {src}",
         f"{prefix}b": f"SELECT *, FLOOR(cont) AS fl, cont - FLOOR(cont) AS rem, "
                       f"({draws}) - SUM(FLOOR(cont)) OVER () AS need FROM {prefix}a",
-        f"{prefix}c": f"SELECT *, ROW_NUMBER() OVER (ORDER BY rem DESC, label ASC) AS rr FROM {prefix}b",
+        f"{prefix}c": f"SELECT *, ROW_NUMBER() OVER (ORDER BY rem DESC, label ASC NULLS FIRST) AS rr FROM {prefix}b",
         f"{prefix}d": f"SELECT * EXCLUDE (cont, fl, rem, need, rr), "
                       f"CAST(fl + CASE WHEN rr <= need THEN 1 ELSE 0 END AS BIGINT) AS {out} FROM {prefix}c",
     }
@@ -69,7 +72,7 @@ STRAT_SQL = {
 
 @query("split_stratified", with_views(
     "SELECT cell, celltype, CASE WHEN r <= n_train THEN 'train' WHEN r <= n_train + n_test THEN 'test' "
-    "ELSE 'valid' END AS split FROM rk JOIN quota ON quota.label = rk.celltype", STRAT_SQL))
+    "ELSE 'valid' END AS split FROM rk JOIN quota ON quota.label IS NOT DISTINCT FROM rk.celltype", STRAT_SQL))
 def q_split_stratified(spark, sf):
     return splits.split_stratified(kept_cells(spark, sf), "cell", "celltype", P.seed, TEST)
 
@@ -89,7 +92,7 @@ def q_split_none(spark, sf):
 CHUNK_SQL = {
     **STRAT_SQL,
     "assigned": "SELECT cell, celltype, CASE WHEN r <= n_train THEN 'train' WHEN r <= n_train + n_test "
-                "THEN 'test' ELSE 'valid' END AS split FROM rk JOIN quota ON quota.label = rk.celltype",
+                "THEN 'test' ELSE 'valid' END AS split FROM rk JOIN quota ON quota.label IS NOT DISTINCT FROM rk.celltype",
     "chunked": f"SELECT cell, celltype, split, ROW_NUMBER() OVER (PARTITION BY split ORDER BY {KEY_SQL}) "
                "AS row_in_split FROM assigned",
 }
@@ -195,12 +198,14 @@ def q_pad_middle(spark, sf):
 
 
 # ---------------------------------------------------------------- PF-03 ---
+# line numbers are the genes here (7 at any scale, so every gene of a sample has its place)
 DENSE_SQL = {
-    "genes": "SELECT DISTINCT sample, gene FROM v_expr_zero",
-    "placed": f"SELECT * FROM (SELECT sample, gene, ROW_NUMBER() OVER (PARTITION BY sample ORDER BY gene) AS pos "
-              f"FROM genes) t WHERE pos <= {L}",
+    "lines": "SELECT l_returnflag AS sample, l_orderkey AS cell, CAST(l_linenumber AS BIGINT) AS gene, "
+             "MAX(ROUND(l_discount * 100)) AS value FROM lineitem GROUP BY 1, 2, 3",
+    "placed": "SELECT sample, gene, ROW_NUMBER() OVER (PARTITION BY sample ORDER BY gene) AS pos "
+              "FROM (SELECT DISTINCT sample, gene FROM lines) t",
     "ng": "SELECT sample, COUNT(*) AS n_genes FROM placed GROUP BY sample",
-    "sc": "SELECT DISTINCT sample, cell FROM v_expr_zero",
+    "sc": "SELECT DISTINCT sample, cell FROM lines",
     "pos_grid": f"SELECT CAST(range AS BIGINT) AS pos FROM range(1, {L + 1})",
 }
 
@@ -211,11 +216,15 @@ DENSE_SQL = {
     "CAST(CASE WHEN pl.gene IS NULL THEN -2.0 ELSE COALESCE(e.value, 0.0) END AS DOUBLE) AS val "
     "FROM sc c CROSS JOIN pos_grid p JOIN ng ON ng.sample = c.sample "
     "LEFT JOIN placed pl ON pl.sample = c.sample AND pl.pos = p.pos "
-    "LEFT JOIN v_expr_zero e ON e.sample = c.sample AND e.cell = c.cell AND e.gene = pl.gene "
+    "LEFT JOIN lines e ON e.sample = c.sample AND e.cell = c.cell AND e.gene = pl.gene "
     "LEFT JOIN v_gene_vocab g ON g.gene = pl.gene", DENSE_SQL))
 def q_dense_genes(spark, sf):
     gv = T.gene_vocab(spark, sf).select(F.col("gene").alias("name"), "id")
-    d = tokens.dense_genes(T.expr_zero(spark, sf), L, gv, P.pad_id, P.pad_value)
+    li = T.table(spark, sf, "lineitem", "l_returnflag", "l_orderkey", "l_linenumber", "l_discount")
+    lines = (li.groupBy(F.col("l_returnflag").alias("sample"), F.col("l_orderkey").alias("cell"),
+                        F.col("l_linenumber").cast("long").alias("gene"))
+             .agg(F.max(F.round(F.col("l_discount") * 100)).alias("value")))
+    d = tokens.dense_genes(lines, L, gv, P.pad_id, P.pad_value)
     return tokens.explode_sequences(d, ["sample", "cell", "n_genes"])
 
 
@@ -238,6 +247,55 @@ def q_hvg_topk(spark, sf):
     return top_variable_genes(T.expr(spark, sf), n_cells, HVG_K).select("sample", "gene", "rank", "var")
 
 
+@query("hvg_ranked", with_views(
+    f"SELECT sample, gene, rank FROM (SELECT sample, gene, ROW_NUMBER() OVER (PARTITION BY sample "
+    f"ORDER BY COUNT(*) DESC, gene) AS rank FROM v_expr GROUP BY sample, gene) t WHERE rank <= {HVG_K}"))
+def q_hvg_ranked(spark, sf):
+    """The head of a ready ranked list (here: genes by the number of cells that express them)."""
+    from cellframe.functions.ranking import grouped_row_number
+    from cellframe.operators.genes import ready_ranked_genes
+    n = T.expr(spark, sf).groupBy("sample", "gene").agg(F.count(F.lit(1)).alias("n"))
+    ranked = grouped_row_number(n, ["sample"], [F.desc("n"), "gene"], "rank").select("sample", "gene", "rank")
+    return ready_ranked_genes(ranked, HVG_K)
+
+
+# ---------------------------------------------------------- build (IO-10) --
+def _build_sql() -> str:
+    import re
+
+    from cellframe.plans.q_build import ANNOTATE_SQL, BINNED_SQL
+
+    def own(sql):  # the split's cells have types taken away, the tokens' cells have not
+        return re.sub(r"\bkept\b", "kept_all", sql)
+
+    ctes = {**_ctes(RANGE_SQL, BINNED_SQL), **{own(k): own(v) for k, v in ANNOTATE_SQL.items()},
+            **{k: v for k, v in SAMPLED_SQL.items() if k != "expressed"}, **SEQ_SQL, **CHUNK_SQL}
+    return with_views(
+        "SELECT k.cell, bv.id AS batch_id, lv.id AS label_id, p.pos, ch.split, ch.chunk, "
+        "CAST(COALESCE(c.gene_id, 0) AS INT) AS gene_id, COALESCE(c.val, -2.0) AS val "
+        f"FROM kept_all k CROSS JOIN pos_grid p JOIN ({CHUNK_BODY}) ch ON ch.cell = k.cell "
+        "LEFT JOIN batch_vocab bv ON bv.name = k.batch LEFT JOIN v_label_vocab lv ON lv.name = k.celltype "
+        "LEFT JOIN chosen c ON c.cell = k.cell AND c.pos = p.pos", ctes)
+
+
+@query("build_dataset", _build_sql())
+def q_build_dataset(spark, sf):
+    """The whole build: token rows -> split -> chunks written with all fields, read back split by split."""
+    from cellframe.plans.q_build import annotate_tokens
+    path = scratch_path(spark, "dataset")
+    plan = chunked(spark, sf).select("cell", "split", "chunk")
+    splits.write_chunks(annotate_tokens(spark, sf).join(plan, "cell"), path)
+    parts = []
+    for split in ("train", "valid", "test"):
+        last = spark.read.parquet(path).where(F.col("split") == split).agg(F.max("chunk")).first()[0]
+        if last:
+            parts.append(splits.read_chunks(spark, path, split, 1, end_chunk=last))
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    return tokens.explode_sequences(rows, ["cell", "batch_id", "label_id", "split", "chunk"])
+
+
 # ---------------------------------------------------------------- U-04 ----
 @query("hvg_union", with_views(f"SELECT DISTINCT gene FROM hv WHERE rank <= {HVG_K}", HVG_SQL))
 def q_hvg_union(spark, sf):

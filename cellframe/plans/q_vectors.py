@@ -167,6 +167,31 @@ def q_cell_pool(spark, sf):
     return ex.select("cell", "k", _r6(F.col("x")).alias("x"))
 
 
+@query("cell_pool_weighted", with_views(
+    "SELECT cell, CAST(k AS BIGINT) AS k, ROUND(x / sqrt(SUM(x * x) OVER (PARTITION BY cell)), 6) AS x FROM ("
+    "SELECT c.cell, ex.k, SUM(c.val * ex.x) AS x FROM chosen c JOIN ex ON ex.gene = c.gene_id "
+    "WHERE c.gene_id <> 0 GROUP BY c.cell, ex.k) t",
+    {**_ctes(RANGE_SQL, BINNED_SQL), **SAMPLED_SQL, "ex": EX_SQL}))
+def q_cell_pool_weighted(spark, sf):
+    """Cells' sampled tokens pooled with their expression bins as weights."""
+    return _pooled(spark, sf, "weighted")
+
+
+@query("cell_pool_first", with_views(
+    "SELECT c.cell, CAST(ex.k AS BIGINT) AS k, ROUND(ex.x, 6) AS x FROM chosen c JOIN ex ON ex.gene = c.gene_id "
+    "WHERE c.gene_id <> 0 AND c.pos = 1",
+    {**_ctes(RANGE_SQL, BINNED_SQL), **SAMPLED_SQL, "ex": EX_SQL}))
+def q_cell_pool_first(spark, sf):
+    """The vector of each cell's first token."""
+    return _pooled(spark, sf, "first")
+
+
+def _pooled(spark, sf, mode):
+    chosen = tokens.sample_genes(_encoded_expressed(spark, sf), P.seq_length, P.sample_size, P.seed)
+    pooled = vectors.pool_cells(chosen.select("cell", "gene_id", "val", "pos"), T.emb(spark, sf), mode=mode)
+    return vectors.exploded(pooled, ["cell"], "cell_vec").select("cell", "k", _r6(F.col("x")).alias("x"))
+
+
 # ---------------------------------------------------------------- A-06 ----
 VOTE_SQL = {
     "pc": "SELECT e.gene AS cell, e.cluster, CAST(list_position(p.logits, list_max(p.logits)) - 1 AS INT) AS label "

@@ -107,6 +107,25 @@ def q_cell_index(spark, sf):
     return c.groupBy(F.col("batch").alias("cell_name")).agg(F.max("row_pos").alias("idx"))
 
 
+# ---------------------------------------------------------------- W-12 ----
+@query("row_positions", with_views(
+    "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, "
+    "ROW_NUMBER() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS pos FROM lineitem"))
+def q_row_positions(spark, sf):
+    """The position of every line item in key order, from 0."""
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    return vocab.row_positions(T.table(spark, sf, "lineitem", *keys), keys)
+
+
+@query("cell_name_back", with_views(
+    "SELECT p.cell AS idx, ix.cell FROM v_pred p LEFT JOIN "
+    "(SELECT cell, ROW_NUMBER() OVER (ORDER BY sample, row_pos) - 1 AS idx FROM v_cells) ix ON ix.idx = p.cell"))
+def q_cell_name_back(spark, sf):
+    """Row positions back to cell names (a position beyond the table has none)."""
+    index = vocab.row_positions(T.cells(spark, sf).select("sample", "row_pos", "cell"), ["sample", "row_pos"], "idx")
+    return vocab.names_at(T.pred(spark, sf).select(F.col("cell").alias("idx")), index, "idx", "cell")
+
+
 # ---------------------------------------------------------------- DQ-01 ---
 @query("dup_cells", with_views(
     "SELECT cell, COUNT(*) AS n FROM (SELECT DISTINCT sample, cell FROM v_expr_zero) t "
@@ -123,14 +142,15 @@ def q_dup_cells(spark, sf):
     "COUNT(DISTINCT CASE WHEN g.gene IS NULL THEN e.gene END) AS n_unknown_genes "
     "FROM v_expr e LEFT JOIN v_gene_vocab g ON e.gene = g.gene GROUP BY e.sample"))
 def q_unknown_genes(spark, sf):
-    e = T.expr(spark, sf)
+    # one row per (sample, gene) before the join: a gene that every cell has is no hot key
+    e = T.expr(spark, sf).groupBy("sample", "gene").agg(F.count(F.lit(1)).alias("n"))
     gv = gene_vocab(spark, sf).select(F.col("name").alias("gene"), F.lit(True).alias("_known"))
     j = e.join(gv, "gene", "left")
     unk = F.col("_known").isNull()
     return j.groupBy("sample").agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.count_if(unk).alias("n_unknown"),
-        F.count_distinct(F.when(unk, F.col("gene"))).alias("n_unknown_genes"))
+        F.sum("n").alias("n_rows"),
+        F.coalesce(F.sum(F.when(unk, F.col("n"))), F.lit(0)).alias("n_unknown"),
+        F.count_if(unk).alias("n_unknown_genes"))
 
 
 # ---------------------------------------------------------------- DQ-04 ---

@@ -135,14 +135,32 @@ def file_headers(spark: SparkSession, files: list[str]) -> DataFrame:
     return paths.mapInPandas(heads, "path string, header string")
 
 
+# texts that stand for a missing value in metadata files
+NA_TEXTS = ("", "NA", "N/A", "NaN", "nan", "null", "NULL", "None", "<NA>", "n/a", "#N/A")
+
+
+def read_keyed_labels(spark: SparkSession, path: str, key: str = "cell", label: str = "celltype") -> DataFrame:
+    """IO-04: (key, label) from label CSVs; the columns are checked against the files' header lines, missing
+    values are null, and a key that occurs twice fails the job."""
+    from cellframe.operators.tokens import one_per_key
+    heads = {r["header"] for r in file_headers(spark, list_files(spark, path, ".csv")).select("header").distinct().collect()}
+    for h in heads:
+        names = [x.strip().strip('"') for x in h.split(",")]
+        if key not in names or label not in names:
+            raise ValueError(f"columns {key}, {label} expected, found {names}")
+    parts = spark.read.option("header", True).csv(path).select(F.col(f"`{key}`").alias(key), F.col(f"`{label}`").alias(label))
+    text = F.col(label)
+    return one_per_key(parts.withColumn(label, F.when(~text.isin(*NA_TEXTS), text)), key, label)
+
+
 def read_metadata(spark: SparkSession, path: str, col_name: str, save_col_name: str | None = None,
-                  suffix: str = ".csv") -> DataFrame:
-    """IO-03 / U-01: stack (first column, ``col_name``) of every CSV under ``path``.
+                  suffix: str = "meta.csv", na: tuple[str, ...] = NA_TEXTS) -> DataFrame:
+    """IO-03 / U-01: stack (first column, ``col_name``) of every ``*meta.csv`` under ``path``.
 
     Files are grouped by header line (headers are read inside tasks); each
     group is one CSV read (one plan node per distinct header, not per
     file).  A file without ``col_name`` is skipped.  A blank first header
-    reads as ``_c0``; the text ``NA`` is null.
+    reads as ``_c0``; the usual spellings of a missing value (``na``) are null.
     """
     files = list_files(spark, path, suffix)
     if not files:
@@ -154,9 +172,10 @@ def read_metadata(spark: SparkSession, path: str, col_name: str, save_col_name:
         names = [h.strip().strip('"') for h in row["header"].split(",")]
         if col_name not in names:
             continue
-        df = spark.read.option("header", True).option("nullValue", "NA").csv(list(row["files"]))
+        df = spark.read.option("header", True).csv(list(row["files"]))
+        text = F.col(f"`{col_name}`")
         parts.append(df.select(F.col(f"`{df.columns[0]}`").alias("cell"),
-                               F.col(f"`{col_name}`").alias(save_col_name or col_name)))
+                               F.when(~text.isin(*na), text).alias(save_col_name or col_name)))
     if not parts:
         raise FileNotFoundError(f"no file under {path} has column {col_name}")
     out = parts[0]
@@ -186,33 +205,46 @@ def read_vocab_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 # ------------------------------------------------------------- embeddings --
-def write_embedding_text(emb: DataFrame, path: str, key: str = "gene", vec: str = "vec") -> None:
-    """IO-11: header line "n d" plus one "gene v1 ... vd" line per row.
+def write_embedding_text(emb: DataFrame, path: str, key: str = "gene", vec: str = "vec",
+                         header: DataFrame | None = None) -> None:
+    """IO-11: a header line and one "gene v1 ... vd" line per row.
 
-    The header is written as its own small file next to the body parts.
+    ``header`` (one text row, as ``read_embedding_header`` returns it) is
+    copied; without it the header is "n d".  Header and body are written as
+    ``path/header`` and ``path/body``.
     """
-    spark = emb.sparkSession
-    stats = emb.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("d"))
-    stats.select(F.concat_ws(" ", F.col("n").cast("string"), F.col("d").cast("string")).alias("value")) \
-        .write.mode("overwrite").text(f"{path}/header")
+    if header is None:
+        stats = emb.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("d"))
+        header = stats.select(F.concat_ws(" ", F.col("n").cast("string"), F.col("d").cast("string")).alias("value"))
+    header.coalesce(1).write.mode("overwrite").text(f"{path}/header")
     emb.select(F.concat_ws(" ", F.col(key).cast("string"),
                            F.array_join(F.transform(vec, lambda x: x.cast("string")), " ")).alias("value")) \
         .write.mode("overwrite").text(f"{path}/body")
-    del spark
+
+
+def read_embedding_header(spark: SparkSession, path: str) -> DataFrame:
+    """The header line(s) under ``path``: of a table written as header and body, or the first line of each file."""
+    lines = spark.read.option("recursiveFileLookup", "true").text(path)
+    written = lines.where(F.col("_metadata.file_path").rlike("/header/[^/]*$")).select("value")
+    if written.limit(1).count():
+        return written
+    return file_headers(spark, list_files(spark, path)).select(F.col("header").alias("value"))
 
 
 def read_embedding_text(spark: SparkSession, path: str, strict: bool = False,
-                        key_type: str = "string") -> DataFrame:
+                        key_type: str = "string", header: bool = True) -> DataFrame:
     """IO-06 / S-12: "gene v1 ... vd" lines -> (gene, vec array<double>).
 
-    Header lines ("n d": two integers) are dropped.  Permissive mode drops
-    blank and malformed lines (a token that is not a number); strict mode
-    fails the job on them.
+    With ``header`` the first line of each file is dropped by its place,
+    whatever it holds; a body written by ``write_embedding_text`` has none
+    (``header=False``).  Permissive mode drops blank and malformed lines (a
+    token that is not a number); strict mode fails the job on them.
     """
-    lines = spark.read.option("recursiveFileLookup", "true").text(path).select(F.trim("value").alias("line"))
-    toks = lines.select("line", F.split("line", r"\s+").alias("t"))
-    is_header = (F.size("t") == 2) & F.forall("t", lambda x: x.rlike(r"^[0-9]+$"))
-    body = toks.filter((F.col("line") != "") & ~is_header)
+    # the CSV reader drops the first line of a file by position; the separator never occurs in a line
+    lines = (spark.read.schema("line string").option("recursiveFileLookup", "true").option("header", header)
+             .option("sep", "\u0001").option("quote", "").option("escape", "").option("comment", "")
+             .option("enforceSchema", True).option("maxCharsPerColumn", -1).csv(path))
+    body = lines.select(F.trim("line").alias("line")).where(F.col("line") != "").withColumn("t", F.split("line", r"\s+"))
     vals = F.transform(F.slice("t", 2, F.size("t")), lambda x: x.try_cast("double"))
     rows = body.select(F.col("t")[0].cast(key_type).alias("gene"), vals.alias("vec"), "line")
     bad = (F.size("vec") == 0) | F.exists("vec", lambda x: x.isNull())

@@ -16,11 +16,13 @@ All sinks and checkpoints live under the shared checkpoint folder.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellframe.config import BIN_EDGES, PAD_TOKEN_ID
 from cellframe.functions.columns import bin_value
+from cellframe.functions.ranking import checked_broadcast, global_row_number
 
 
 def encode_stream(spark: SparkSession, source: str, schema: str, ranges: DataFrame, gene_vocab: DataFrame,
@@ -39,7 +41,6 @@ def encode_stream(spark: SparkSession, source: str, schema: str, ranges: DataFra
     j = s.join(F.broadcast(ranges), "sample")  # one row per sample file
     binned = j.withColumn("bin", bin_value(F.col("value"), F.col("min_pos"), F.col("max_val"), n_edges))
     kept = binned.filter(F.col("bin") != 0)
-    from cellframe.functions.ranking import checked_broadcast
     from cellframe.operators.vocab import VOCAB_BROADCAST_MAX_ROWS
     v = checked_broadcast(gene_vocab.select(F.col("name").alias("gene"), F.col("id").alias("_id")),
                           VOCAB_BROADCAST_MAX_ROWS)
@@ -108,9 +109,11 @@ def vocab_stream(spark: SparkSession, source: str, schema: str, name_col: str, o
         ss = batch.sparkSession
         try:
             cur = ss.read.parquet(table)
-            top = cur.agg(F.max("id")).first()[0]
-        except Exception:  # noqa: BLE001 - first batch: the table does not exist yet
-            cur, top = None, None
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            cur = None  # first batch: the table does not exist yet
+        top = None if cur is None else cur.agg(F.max("id")).first()[0]
         if cur is not None and cur.filter(F.col("batch_id") == batch_id).limit(1).count() > 0:
             return  # this micro-batch was already applied (replay after a failure)
         start = -1 if top is None else top
@@ -119,8 +122,8 @@ def vocab_stream(spark: SparkSession, source: str, schema: str, name_col: str, o
                  .groupBy("name").agg(F.min("_f").alias("_f")))
         if cur is not None:
             first = first.join(cur.select("name"), "name", "left_anti")
-        new = first.select("name", (F.lit(start) + F.row_number().over(Window.orderBy("_f"))).cast("int")
-                           .alias("id"), F.lit(batch_id).alias("batch_id"))
+        new = global_row_number(first, ["_f"], "id", start=start + 1).select(
+            "name", F.col("id").cast("int").alias("id"), F.lit(batch_id).alias("batch_id"))
         new.write.mode("append").parquet(table)
 
     q = (s.writeStream.foreachBatch(grow).option("checkpointLocation", checkpoint)

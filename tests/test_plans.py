@@ -7,7 +7,7 @@ import pytest
 from cellframe.plans.registry import QUERIES, load_all
 
 load_all()
-SKIP_BUILD = {"communities", "cluster_annotate"}  # iterative: their rounds run while building
+SKIP_BUILD = {"communities", "communities_quality", "cluster_annotate"}  # iterative: their rounds run while building
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - SKIP_BUILD))
