@@ -81,9 +81,15 @@ def gene_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     over a single partition, because the part table grows with the data.
     """
     from cellframe.functions.ranking import global_row_number
-    p = (table(spark, sf_dir, "part", "p_partkey", "p_size").filter(F.col("p_size") <= 40)
-         .select(F.col("p_partkey").alias("gene")))
-    return global_row_number(p, ["gene"], "id").select("gene", F.col("id").cast("int").alias("id"))
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _GENE_VOCABS:  # numbered once per application: the numbering is a written table
+        p = (table(spark, sf_dir, "part", "p_partkey", "p_size").filter(F.col("p_size") <= 40)
+             .select(F.col("p_partkey").alias("gene")))
+        _GENE_VOCABS[key] = global_row_number(p, ["gene"], "id").select("gene", F.col("id").cast("int").alias("id"))
+    return _GENE_VOCABS[key]
+
+
+_GENE_VOCABS: dict[tuple[str, str], DataFrame] = {}
 
 
 def label_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
