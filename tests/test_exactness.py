@@ -150,8 +150,11 @@ def test_string_ids_in_vector_and_graph_operators(spark, named):
     want = {(min(a, b), max(a, b)) for i, a in enumerate(ids) for j, b in enumerate(ids) if sim[i, j] >= 0.9}
     assert {(r.src, r.dst) for r in neighbors.cosine_pairs(df, "gene", "vec", 0.9, block_size=16).collect()} == want
     assert neighbors.silhouette_score(df, "gene", "vec", "cluster", 16).first().silhouette > 0.3
-    member = graph.communities(graph.knn_multigraph(knn), df.select(F.col("gene").alias("id")), 1.0)
+    edges = graph.knn_multigraph(knn)
+    member = graph.communities(edges, df.select(F.col("gene").alias("id")), 1.0)
     assert member.count() == 60
+    quality = graph.partition_quality(edges, member).first()
+    assert quality.local_optimum and quality.connected
     both = member.join(df.select(F.col("gene").alias("id"), "cluster"), "id")
     assert all(r.n == 1 for r in both.groupBy("community").agg(F.countDistinct("cluster").alias("n")).collect())
 
