@@ -9,7 +9,12 @@ mean per token compares documents of different lengths.
 
 Tokens are lower-cased words.  The most frequent words of the whole corpus
 are symbols of their own, every other word is one of ``BUCKETS`` symbols by
-its hash.  The vocabulary comes from the counts of all documents.
+its hash.  The vocabulary comes from the counts of all documents.  The
+probability of a word in a bucket is that of the bucket times the word's
+share of it, count(word) / (count(bucket) + 1), by a join of the documents'
+distinct such words with the written counts.  The remaining 1 of a bucket is
+for words the fit has not seen, each ``LETTERS`` ** -(its bytes + 1) of it, so
+the probabilities of all words never sum to more than 1.
 
 Training is data-parallel: in each round every task starts from the current
 weights, takes the round's masked positions of all documents of its
@@ -37,7 +42,7 @@ from pyspark.sql import functions as F
 
 from cellframe.llm.common import batches, map_batches, split_words, text_rows
 from cellframe.llm.decontaminate import _WORD as WORD_BYTES
-from cellframe.session import ensure_checkpoint_dir, materialize
+from cellframe.session import ensure_checkpoint_dir, materialize, scratch_path
 
 CLASSES = 64
 SYMBOLS = CLASSES * CLASSES
@@ -48,6 +53,7 @@ BATCH, RATE = 1024, 0.05
 COUNT_CHARS = 12_000_000  # text counted at a time
 OFFSETS = tuple(k for k in range(-WINDOW, WINDOW + 1) if k)
 SHARDS = 16               # pieces of the weights in the averaging
+LETTERS = len(set(WORD_BYTES) - {32}) + 1  # bytes a word can have, and its end
 
 
 @dataclass
@@ -61,6 +67,8 @@ class Model:
     class_b: np.ndarray
     word_w: np.ndarray      # (class, width, word)
     word_b: np.ndarray      # (class, word)
+    bucket_n: np.ndarray | None = None  # tokens of each bucket (none: no word outside the vocabulary was seen)
+    counts: str | None = None           # where the counts of all words are written
 
     def weights(self) -> list[np.ndarray]:
         return [self.embed, self.hidden_bias, self.class_w, self.class_b, self.word_w, self.word_b]
@@ -73,19 +81,22 @@ class Model:
         for w in self.weights():
             out.append(flat[at:at + w.size].reshape(w.shape).astype(np.float32))
             at += w.size
-        return Model(self.words, *out)
+        return Model(self.words, *out, self.bucket_n, self.counts)
 
     def symbols(self, words: pa.Array) -> np.ndarray:
-        import xxhash
         coded = words.dictionary_encode()
         ids = pc.index_in(coded.dictionary, value_set=pa.array(self.words, pa.binary())).to_numpy(zero_copy_only=False)
         ids = np.where(np.isnan(ids), -1, ids).astype(np.int32) if ids.dtype.kind == "f" else ids.astype(np.int32)
         rare = np.flatnonzero(ids < 0)
-        ids[rare] = [SYMBOLS - BUCKETS + xxhash.xxh64_intdigest(w) % BUCKETS
-                     for w in coded.dictionary.take(pa.array(rare)).to_pylist()]
+        ids[rare] = [SYMBOLS - BUCKETS + bucket(w) for w in coded.dictionary.take(pa.array(rare)).to_pylist()]
         return ids[coded.indices.to_numpy(zero_copy_only=False)]
 
 
+def bucket(word: bytes) -> int:
+    import xxhash
+    return xxhash.xxh64_intdigest(word) % BUCKETS
+
+
 def initial(words: list[bytes], counts: list[int], total: int, seed: int = 11) -> Model:
     """Random embeddings, biases from the corpus counts (so the untrained network is the unigram model)."""
     rng = np.random.default_rng(seed)
@@ -101,15 +112,15 @@ def initial(words: list[bytes], counts: list[int], total: int, seed: int = 11) -
                  np.log(share / share.sum(1, keepdims=True)).astype(np.float32))
 
 
-def lay_out(texts: list[bytes | None], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols with padding between documents, places of the tokens, owner of each token)."""
+def lay_out(texts: list[bytes | None], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """(symbols with padding between documents, places of the tokens, owner of each token, the tokens)."""
     words, n = split_words(texts, WORD_BYTES)
     owner = np.repeat(np.arange(len(texts)), n)
     places = np.arange(len(owner)) + WINDOW * (owner + 1)
     line = np.full(len(owner) + WINDOW * (len(texts) + 1), SYMBOLS, np.int32)
     if len(owner):
         line[places] = model.symbols(words)
-    return line, places, owner
+    return line, places, owner, words
 
 
 def hidden(model: Model, line: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -202,15 +213,33 @@ def fit(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, mask: int
     """Count words, then train ``rounds`` rounds over all documents."""
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
-    counts = materialize(word_counts(docs, text_col), "word-counts")
+    path = scratch_path(spark, "word-counts")
+    word_counts(docs, text_col).write.parquet(path)
+    counts = spark.read.parquet(path)
     total = counts.agg(F.sum("n")).first()[0] or 0
     top = counts.orderBy(F.desc("n"), "word").limit(SYMBOLS - BUCKETS).collect()  # the vocabulary's fixed size
     model = initial([bytes(r["word"]) for r in top], [r["n"] for r in top], total)
+    model.bucket_n, model.counts = bucket_counts(counts, model.words), path
     for r in range(rounds if total else 0):
         model = train_round(docs, model, r, text_col, mask)
     return model
 
 
+def bucket_counts(counts: DataFrame, words: list[bytes]) -> np.ndarray:
+    """Tokens of each bucket: of all words outside the vocabulary ``words``."""
+    shared = counts.sparkSession.sparkContext.broadcast(pa.array(words, pa.binary()))
+
+    def fn(rb: pa.RecordBatch) -> dict:
+        rare = rb.filter(pc.invert(pc.is_in(rb.column(1), value_set=shared.value)))
+        by = np.array([bucket(w) for w in rare.column(1).to_pylist()], np.int64)
+        return {"bucket": np.arange(BUCKETS), "n": np.bincount(by, rare.column(0).to_numpy(), BUCKETS).astype(np.int64)}
+
+    out = np.zeros(BUCKETS)
+    for r in map_batches(counts.select("n", "word"), fn, "bucket int, n long").groupBy("bucket").sum("n").collect():
+        out[r[0]] = r[1]
+    return out
+
+
 def train_round(docs: DataFrame, model: Model, number: int, text_col: str, mask: int) -> Model:
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # of fixed size: the vocabulary and the weights
@@ -218,7 +247,7 @@ def train_round(docs: DataFrame, model: Model, number: int, text_col: str, mask:
     def run(table: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trainer = Trainer(shared.value, RATE / (1 + number))
         for rb in batches(table, 0):
-            line, places, owner = lay_out(rb.column(0).cast(pa.binary()).to_pylist(), trainer.model)
+            line, places, owner, _ = lay_out(rb.column(0).cast(pa.binary()).to_pylist(), trainer.model)
             # the position inside the document decides the round in which it is masked
             first = np.searchsorted(owner, owner)
             masked = places[(np.arange(len(owner)) - first + owner) % mask == number]
@@ -260,16 +289,46 @@ def add_up(table: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, ``n_tokens``, ``log_prob`` (sum over its tokens), ``score`` (mean per token)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(model)
 
     def fn(rb: pa.RecordBatch) -> dict:
         m = shared.value
-        line, places, owner = lay_out(rb.column(1).cast(pa.binary()).to_pylist(), m)
+        line, places, owner, words = lay_out(rb.column(1).cast(pa.binary()).to_pylist(), m)
         n = np.bincount(owner, minlength=rb.num_rows)
-        total = np.bincount(owner, log_probs(m, line, places), rb.num_rows)
-        return {"_key": rb.column(0), "n_tokens": n, "log_prob": total,
-                "score": [x / k if k else None for x, k in zip(total.tolist(), n.tolist())]}
+        lp = log_probs(m, line, places)
+        rare = np.flatnonzero(line[places] >= SYMBOLS - BUCKETS)
+        if m.bucket_n is not None:
+            lp[rare] -= np.log(m.bucket_n + 1)[line[places[rare]] - (SYMBOLS - BUCKETS)]
+        total = np.bincount(owner, lp, rb.num_rows)
+        # the batch's distinct rare words, each with its documents and its times in them
+        coded = words.take(pa.array(rare)).dictionary_encode()
+        pairs, times = np.unique(coded.indices.to_numpy().astype(np.int64) * rb.num_rows + owner[rare],
+                                 return_counts=True)
+        cuts = pa.array(np.searchsorted(pairs, np.arange(len(coded.dictionary) + 1) * rb.num_rows), pa.int32())
+        rows = rb.column(2).take(pa.array(pairs % rb.num_rows))
+
+        def both(document: pa.Array, word: pa.Array) -> pa.Array:
+            """A column of the documents' rows, then the words' rows."""
+            one = pa.nulls(rb.num_rows, word.type) if document is None else document
+            return pa.concat_arrays([one, pa.nulls(len(coded.dictionary), one.type) if word is None else word])
+
+        return {"_row": both(rb.column(2), None), "_key": both(rb.column(0), None),
+                "n_tokens": both(pa.array(n, pa.int64()), None), "log_prob": both(pa.array(total), None),
+                "word": both(None, coded.dictionary), "rows": both(None, pa.ListArray.from_arrays(cuts, rows)),
+                "times": both(None, pa.ListArray.from_arrays(cuts, pa.array(times, pa.int64())))}
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_batches(text_rows(docs, id_col, text_col), fn,
-                       f"_key {kind}, n_tokens long, log_prob double, score double").withColumnRenamed("_key", id_col)
+    numbered = text_rows(docs, id_col, text_col).withColumn("_row", F.monotonically_increasing_id())
+    # written once, so that a row's number is the same on both sides of the join
+    found = materialize(map_batches(numbered, fn, f"_row long, _key {kind}, n_tokens long, log_prob double, "
+                                    "word binary, rows array<long>, times array<long>"), "scored")
+    counts = spark.read.parquet(model.counts) if model.counts else spark.createDataFrame([], "word binary, n long")
+    unseen = -(F.length("word") + 1) * float(np.log(LETTERS))
+    shares = (found.where("word is not null").join(counts, "word", "left")
+              .select(F.coalesce(F.log("n"), unseen).alias("lp"), F.explode(F.arrays_zip("rows", "times")).alias("at"))
+              .groupBy(F.col("at.rows").alias("_row")).agg(F.sum(F.col("lp") * F.col("at.times")).alias("rare")))
+    total = F.col("log_prob") + F.coalesce("rare", F.lit(0.0))
+    return (found.where("word is null").join(shares, "_row", "left")
+            .select(F.col("_key").alias(id_col), "n_tokens", total.alias("log_prob"),
+                    F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("score")))

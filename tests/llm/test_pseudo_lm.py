@@ -76,3 +76,32 @@ def test_averaging_is_weighted(spark):
     got = {r.shard: (r.n, struct.unpack(f"<{len(r.w) // 4}f", r.w)) for r in
            df.mapInArrow(M.add_up, "shard int, n long, w binary").collect()}
     assert got == {0: (4, (7.0, 11.0)), 1: (2, (4.0,))}
+
+
+def test_words_outside_the_vocabulary_have_their_own_share(spark):
+    import math
+    top = " ".join(f"t{i} t{i} t{i} t{i}" for i in range(M.SYMBOLS - M.BUCKETS))
+    often, seldom, other = "r0", "r1", next(f"q{i}" for i in range(10 ** 6)
+                                            if M.bucket(f"q{i}".encode()) == M.bucket(b"r0"))
+    rows = [(0, top), (1, f"{often} t1 {often} t2 {often}"), (2, f"{seldom} t1 {other}"), (None, f"t5 {seldom} t5"),
+            (None, f"t5 {seldom} t5"), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = M.fit(docs, rounds=1, mask=4)
+    rare = {often.encode(): 3, seldom.encode(): 3, other.encode(): 1}
+    held = {b: sum(n for w, n in rare.items() if M.bucket(w) == b) for b in map(M.bucket, rare)}
+    assert {b: n for b, n in enumerate(model.bucket_n) if n} == held
+    new = "zebra"
+    asked = spark.createDataFrame([*rows[1:], (5, f"t1 {new} t2")], "doc_id long, text string").repartition(3)
+    out = sorted(((r.doc_id, r.n_tokens, r.log_prob) for r in M.score(asked, model).collect()), key=str)
+    want = []
+    for i, t in [*rows[1:], (5, f"t1 {new} t2")]:
+        words = decontaminate.words_of((t or "").encode())
+        lp = brute(model, words) if words else 0.0
+        for w in words:
+            if w in rare:
+                lp += math.log(rare[w] / (held[M.bucket(w)] + 1))
+            elif w == new.encode():
+                lp -= math.log(held.get(M.bucket(w), 0) + 1) + (len(w) + 1) * math.log(165)
+        want.append((i, len(words), lp))
+    for a, b in zip(out, sorted(want, key=str), strict=True):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], abs=1e-3)
