@@ -18,10 +18,11 @@ the probabilities of all words never sum to more than 1.
 
 Training is data-parallel: in each round every task starts from the current
 weights, takes the round's masked positions of all documents of its
-partition (one in ``MASK`` positions, other ones in each round), and its
-weights are averaged with those of all other tasks, each weighted by its
+partition, and its weights are averaged with those of all other tasks, each weighted by its
 number of tokens.  The averaging runs in two shuffled steps that keep one
-running sum, so nothing grows with the number of tasks but the rows moved.
+running sum, so nothing grows with the number of tasks but the rows moved.  A token's
+position in its document modulo ``MASK`` decides its round; the rounds share
+all residues, so together they predict every token once.
 
 Edge cases: null and empty texts have no tokens, log-probability 0 and a
 null mean; an empty corpus gives the untrained network.  A token without
@@ -126,36 +127,50 @@ def lay_out(texts: list[bytes | None], model: Model) -> tuple[np.ndarray, np.nda
 def hidden(model: Model, line: np.ndarray, at: np.ndarray) -> np.ndarray:
     h = np.repeat(model.hidden_bias[None], len(at), 0)
     for k, off in enumerate(OFFSETS):
-        h += model.embed[k][line[at + off]]
+        h += model.embed[k].take(line[at + off], 0)
     return np.tanh(h)
 
 
-def log_softmax(z: np.ndarray) -> np.ndarray:
+def softmax(z: np.ndarray) -> np.ndarray:
+    """Softmax of each row, in place."""
     z -= z.max(1, keepdims=True)
-    z -= np.log(np.exp(z).sum(1, keepdims=True))
+    np.exp(z, out=z)
+    z /= z.sum(1, keepdims=True)
     return z
 
 
-def by_class(symbols: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    classes = symbols // CLASSES
-    order = np.argsort(classes, kind="stable")
-    cuts = np.searchsorted(classes[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        if cuts[c] < cuts[c + 1]:
-            yield c, order[cuts[c]:cuts[c + 1]]
+def picked(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The log-softmax of each row at its place in ``at``; changes ``z``."""
+    z -= z.max(1, keepdims=True)
+    out = z[np.arange(len(z)), at]
+    return out - np.log(np.exp(z, out=z).sum(1))
+
+
+def class_cuts(classes: np.ndarray) -> list[tuple[int, int, int]]:
+    """(class, begin, end) of each class in a sorted array."""
+    cuts = np.searchsorted(classes, np.arange(CLASSES + 1)).tolist()
+    return [(c, cuts[c], cuts[c + 1]) for c in range(CLASSES) if cuts[c] < cuts[c + 1]]
+
+
+def word_logits(model: Model, h: np.ndarray, cuts: list[tuple[int, int, int]]) -> np.ndarray:
+    """The logits inside the class, of rows sorted by class."""
+    z = np.empty((len(h), CLASSES), np.float32)
+    for c, lo, hi in cuts:
+        np.matmul(h[lo:hi], model.word_w[c], out=z[lo:hi])
+        z[lo:hi] += model.word_b[c]
+    return z
 
 
 def log_probs(model: Model, line: np.ndarray, at: np.ndarray) -> np.ndarray:
     """log p(token | tokens on both sides) of the tokens at the places ``at``."""
     out = np.empty(len(at))
-    for lo in range(0, len(at), 32768):
-        a = at[lo:lo + 32768]
-        h, s = hidden(model, line, a), line[a]
-        lp = log_softmax(h @ model.class_w + model.class_b)[np.arange(len(a)), s // CLASSES]
-        for c, rows in by_class(s):
-            z = log_softmax(h[rows] @ model.word_w[c] + model.word_b[c])
-            lp[rows] += z[np.arange(len(rows)), s[rows] % CLASSES]
-        out[lo:lo + 32768] = lp
+    for lo in range(0, len(at), 4096):
+        a = at[lo:lo + 4096]
+        order = np.argsort(line[a] // CLASSES, kind="stable")
+        s, h = line[a[order]], hidden(model, line, a[order])
+        lp = picked(h @ model.class_w + model.class_b, s // CLASSES)
+        lp += picked(word_logits(model, h, class_cuts(s // CLASSES)), s % CLASSES)
+        out[lo + order] = lp
     return out
 
 
@@ -169,31 +184,49 @@ class Trainer:
 
     def step(self, line: np.ndarray, at: np.ndarray) -> None:
         m, n = self.model, len(at)
+        at = at[np.argsort(line[at] // CLASSES, kind="stable")]
         h, s = hidden(m, line, at), line[at]
-        dz = np.exp(log_softmax(h @ m.class_w + m.class_b))
-        dz[np.arange(n), s // CLASSES] -= 1
+        classes, each = s // CLASSES, np.arange(n)
+        dz = softmax(h @ m.class_w + m.class_b)
+        dz[each, classes] -= 1
         dh = dz @ m.class_w.T
+        cuts = class_cuts(classes)
+        d = softmax(word_logits(m, h, cuts))
+        d[each, s % CLASSES] -= 1
         grad_word, grad_word_b = np.zeros_like(m.word_w), np.zeros_like(m.word_b)
-        for c, rows in by_class(s):
-            d = np.exp(log_softmax(h[rows] @ m.word_w[c] + m.word_b[c]))
-            d[np.arange(len(rows)), s[rows] % CLASSES] -= 1
-            grad_word[c], grad_word_b[c] = h[rows].T @ d, d.sum(0)
-            dh[rows] += d @ m.word_w[c].T
+        for c, lo, hi in cuts:
+            np.matmul(h[lo:hi].T, d[lo:hi], out=grad_word[c])
+            dh[lo:hi] += d[lo:hi] @ m.word_w[c].T
+        present = [c for c, _, _ in cuts]
+        grad_word_b[present] = np.add.reduceat(d, [lo for _, lo, _ in cuts])
         dh *= 1 - h ** 2
-        for k, off in enumerate(OFFSETS):
-            self._embed(k, line[at + off], dh, n)
+        self._embed(line, at, dh)
         for i, g in ((1, dh.sum(0)), (2, h.T @ dz), (3, dz.sum(0)), (4, grad_word), (5, grad_word_b)):
-            g = g / n
+            g /= n
             self.sums[i] += g * g
-            m.weights()[i][...] -= self.rate * g / np.sqrt(self.sums[i])
+            w, size = m.weights()[i], np.sqrt(self.sums[i])
+            g *= self.rate
+            g /= size
+            w -= g
         self.seen += n
 
-    def _embed(self, k: int, rows: np.ndarray, grad: np.ndarray, n: int) -> None:
-        used, where = np.unique(rows, return_inverse=True)
-        order = np.argsort(where, kind="stable")
-        g = np.add.reduceat(grad[order], np.searchsorted(where[order], np.arange(len(used)))) / n
-        self.sums[0][k][used] += g * g
-        self.model.embed[k][used] -= self.rate * g / np.sqrt(self.sums[0][k][used])
+    def _embed(self, line: np.ndarray, at: np.ndarray, grad: np.ndarray) -> None:
+        """The embeddings' step: the gradients of one (distance, symbol) are added up first."""
+        n, rows = len(at), np.concatenate([line[at + off] + k * (SYMBOLS + 1) for k, off in enumerate(OFFSETS)])
+        order = np.argsort(rows.astype(np.uint16), kind="stable")
+        rows = rows[order]
+        begins = np.diff(rows, prepend=-1) != 0
+        used, group, source = rows[begins], np.cumsum(begins) - 1, order % n
+        g = np.empty((len(used), WIDTH), np.float32)
+        for j, column in enumerate(np.ascontiguousarray(grad.T, np.float64) / n):
+            g[:, j] = np.bincount(group, column.take(source))
+        sums, embed = self.sums[0].reshape(-1, WIDTH), self.model.embed.reshape(-1, WIDTH)
+        size = g * g
+        size += sums.take(used, 0)
+        sums[used] = size
+        g *= self.rate
+        g /= np.sqrt(size, out=size)
+        embed[used] -= g
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -221,10 +254,15 @@ def fit(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, mask: int
     model = initial([bytes(r["word"]) for r in top], [r["n"] for r in top], total)
     model.bucket_n, model.counts = bucket_counts(counts, model.words), path
     for r in range(rounds if total else 0):
-        model = train_round(docs, model, r, text_col, mask)
+        model = train_round(docs, model, r, text_col, rounds, mask)
     return model
 
 
+def turns(owner: np.ndarray, rounds: int, mask: int) -> np.ndarray:
+    """The round in which each token is masked, by its position in its document alone."""
+    return (np.arange(len(owner)) - np.searchsorted(owner, owner)) % mask % rounds
+
+
 def bucket_counts(counts: DataFrame, words: list[bytes]) -> np.ndarray:
     """Tokens of each bucket: of all words outside the vocabulary ``words``."""
     shared = counts.sparkSession.sparkContext.broadcast(pa.array(words, pa.binary()))
@@ -240,7 +278,7 @@ def bucket_counts(counts: DataFrame, words: list[bytes]) -> np.ndarray:
     return out
 
 
-def train_round(docs: DataFrame, model: Model, number: int, text_col: str, mask: int) -> Model:
+def train_round(docs: DataFrame, model: Model, number: int, text_col: str, rounds: int, mask: int) -> Model:
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # of fixed size: the vocabulary and the weights
 
@@ -248,9 +286,7 @@ def train_round(docs: DataFrame, model: Model, number: int, text_col: str, mask:
         trainer = Trainer(shared.value, RATE / (1 + number))
         for rb in batches(table, 0):
             line, places, owner, _ = lay_out(rb.column(0).cast(pa.binary()).to_pylist(), trainer.model)
-            # the position inside the document decides the round in which it is masked
-            first = np.searchsorted(owner, owner)
-            masked = places[(np.arange(len(owner)) - first + owner) % mask == number]
+            masked = places[turns(owner, rounds, mask) == number]
             masked = masked[np.random.default_rng(number).permutation(len(masked))]
             for lo in range(0, len(masked), BATCH):
                 trainer.step(line, masked[lo:lo + BATCH])

@@ -105,3 +105,20 @@ def test_words_outside_the_vocabulary_have_their_own_share(spark):
         want.append((i, len(words), lp))
     for a, b in zip(out, sorted(want, key=str), strict=True):
         assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], abs=1e-3)
+
+
+@pytest.mark.parametrize("rounds, mask", [(M.ROUNDS, M.MASK), (1, 4), (3, 4), (4, 4)])
+def test_rounds_together_mask_every_token_once(spark, monkeypatch, rounds, mask):
+    rng = np.random.default_rng(3)
+    texts = [None, "", "a", "b c", *(" ".join(f"w{i}" for i in rng.integers(0, 50, n)) for n in (3, 22, 23, 24, 25, 300))]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    n = sum(len((t or "").split()) for t in texts)
+    seen = []
+    monkeypatch.setattr(M, "train_round", lambda d, m, r, *rest: seen.append((r, *rest)) or m)
+    M.fit(docs, rounds=rounds, mask=mask)
+    assert [s[0] for s in seen] == list(range(rounds)) and {s[2:] for s in seen} == {(rounds, mask)}
+    owner = np.repeat(np.arange(len(texts)), [len((t or "").split()) for t in texts])
+    turns = M.turns(owner, rounds, mask)
+    assert len(turns) == n and np.isin(turns, range(rounds)).all()
+    for i in set(owner.tolist()):  # the place in the document decides, whatever lies beside it
+        assert (M.turns(np.zeros((owner == i).sum(), int), rounds, mask) == turns[owner == i]).all()
