@@ -15,14 +15,14 @@ host with a third of all pages is no large group and the result does not
 depend on the partitioning.  A text slot that holds the same words on all
 pages of a host that differ elsewhere is template text.
 
-The wrapper says which slots are main text: those under its article (or
-main) element, or all of the body where it has none, without template text
+The main text of a page are the slots under its own article (or main)
+element, or all of the body where the page has none, without template text
 and without elements whose tag, class, id or role names a menu, header,
 footer, sidebar, notice, advert, form or comment.
 
 Edge cases: null and empty html give an empty text; a null url belongs to
-the empty host; unclosed and stray tags are tolerated; what is nested deeper
-than ``MAX_DEPTH`` counts as text of the element there; text inside scripts, styles and
+the empty host; unclosed and stray tags are tolerated; elements may be nested
+to any depth, wrappers and slot paths name the outer ``MAX_DEPTH``; text inside scripts, styles and
 comments is dropped.  Rows are never merged.  Other columns are not carried.
 """
 
@@ -31,6 +31,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -104,7 +105,17 @@ def read(page: str) -> Node:
     """The tree of a page.  Text is kept undecoded; a line break is the text "<br>"."""
     root = Node("root")
     stack, tags = [root], ["root"]
+    opened = Counter(tags)  # open elements by tag
+    near: list[int] = []    # places on the stack that end by themselves or fence
+    passed: list[int] = []
     at, end = 0, len(page)
+
+    def cut(k: int) -> None:
+        opened.subtract(tags[k:])
+        del tags[k:], stack[k:]
+        while near and near[-1] >= k:
+            near.pop()
+
     while at < end:
         m = _TOKEN.match(page, at)
         if m is None:  # an unfinished tag at the end
@@ -123,28 +134,34 @@ def read(page: str) -> Node:
         elif tag in INLINE:
             continue
         elif m[1]:
-            if tag in tags:
-                while tags.pop() != tag:
-                    stack.pop()
-                stack.pop()
+            if opened[tag]:
+                k = len(tags) - 1
+                while tags[k] != tag:
+                    k -= 1
+                cut(k)
                 if not stack:
                     stack, tags = [root], ["root"]
+                    opened["root"] = 1
         else:
             if tag in _RAW:
                 close = _RAW[tag].search(page, at)
                 at = close.end() if close else end
                 continue
-            for k in range(len(tags) - 1, 0, -1):
-                if tag in _ENDS.get(tags[k], ()):
-                    del tags[k:], stack[k:]
-                elif tags[k] in _FENCE:
+            while near:
+                if tag in _ENDS.get(tags[near[-1]], ()):
+                    cut(near[-1])
+                elif tags[near[-1]] in _FENCE:
                     break
+                else:
+                    passed.append(near.pop())
+            near += reversed([k for k in passed if k < len(tags)])
+            passed.clear()
             if tag in VOID:
                 stack[-1].children.append("<br>")
                 continue
-            if len(tags) > MAX_DEPTH:
-                stack[-1].children.append("<br>")
-                continue
+            if tag in _ENDS or tag in _FENCE:
+                near.append(len(tags))
+            opened[tag] += 1
             node = Node(label_of(tag, m[3] or ""))
             stack[-1].children.append(node)
             stack.append(node)
@@ -170,9 +187,12 @@ def blocks(children: list) -> Iterator[Node | str]:
 
 # ---- wrappers: items [label, flags, children] ------------------------------------------------------------------
 
-def structure(node: Node) -> list:
-    """The items of a page's element, folded."""
-    return fold([[SLOT, 0, []] if isinstance(c, str) else [c.label, 0, structure(c)] for c in blocks(node.children)])
+def structure(node: Node, depth: int = 0) -> list:
+    """The items of a page's element, folded; nothing inside elements at ``MAX_DEPTH``."""
+    if depth == MAX_DEPTH:
+        return []
+    return fold([[SLOT, 0, []] if isinstance(c, str) else [c.label, 0, structure(c, depth + 1)]
+                 for c in blocks(node.children)])
 
 
 def fold(items: list) -> list:
@@ -260,40 +280,49 @@ def dropped(label: str) -> bool:
     return False
 
 
-def landmark(items: list, tag: str) -> bool:
-    return any(x[0] != SLOT and not dropped(x[0]) and (x[0].split(".")[0] == tag or landmark(x[2], tag)) for x in items)
+def landmark(root: Node) -> str | None:
+    """The tag of the element that holds a page's main text."""
+    found, todo = set(), [root]
+    while todo:
+        for c in todo.pop().children:
+            if isinstance(c, Node) and not dropped(c.label):
+                found.add(c.label.split(".")[0])
+                todo.append(c)
+    return next((t for t in LANDMARKS if t in found), None)
 
 
 class Extractor:
     """A wrapper in use: finds the main slots of a page."""
 
     def __init__(self, wrapper: str, template: tuple[str, ...]):
-        items = json.loads(wrapper)
-        self.items, self.template = items, frozenset(template)
-        self.inside = next((t for t in LANDMARKS if landmark(items, t)), None)
+        self.items, self.template = json.loads(wrapper), frozenset(template)
 
     def text(self, page: str) -> str:
         root = read(page)
+        main = landmark(root)
         out: list[str] = []
-        self._walk(root, self.items, "", self.inside is None, out)
-        return "\n".join(out)
-
-    def _walk(self, node: Node, items: list, path: str, inside: bool, out: list[str]) -> None:
-        flat = list(flatten(items))
-        k = 0
-        for c in blocks(node.children):
+        # open elements: children to come, the wrapper's items, place among them, path, inside the main text
+        open_ = [[blocks(root.children), list(flatten(self.items)), 0, "", main is None]]
+        while open_:
+            children, flat, k, path, inside = open_[-1]
+            c = next(children, None)
+            if c is None:
+                open_.pop()
+                continue
             label = SLOT if isinstance(c, str) else c.label
             # the wrapper's item for this child: here, or further on; a repeated group begins again
             at = next((x for x in (*range(k, len(flat)), *range(0, k)) if flat[x][0] == label), None)
-            k = k if at is None else at
+            open_[-1][2] = k if at is None else at
             if isinstance(c, str):
                 if inside and f"{path}/{SLOT}" not in self.template:
                     out.append(c)
                 continue
             tag = label.split(".")[0]
-            if dropped(label) or tag == "header" and not (self.inside and inside):
+            if dropped(label) or tag == "header" and not (main and inside):
                 continue
-            self._walk(c, flat[at][2] if at is not None else [], f"{path}/{label}", inside or tag == self.inside, out)
+            open_.append([blocks(c.children), list(flatten(flat[at][2])) if at is not None else [], 0,
+                          f"{path}/{label}" if len(open_) <= MAX_DEPTH else path, inside or tag == main])
+        return "\n".join(out)
 
 
 def flatten(items: list) -> Iterator[list]:
@@ -304,13 +333,18 @@ def flatten(items: list) -> Iterator[list]:
             yield x
 
 
-def slots(node: Node, path: str = "") -> Iterator[tuple[str, str]]:
+def slots(root: Node) -> Iterator[tuple[str, str]]:
     """(path, text) of the slots outside dropped elements."""
-    for c in blocks(node.children):
-        if isinstance(c, str):
+    open_ = [(blocks(root.children), "")]
+    while open_:
+        children, path = open_[-1]
+        c = next(children, None)
+        if c is None:
+            open_.pop()
+        elif isinstance(c, str):
             yield f"{path}/{SLOT}", c
         elif not dropped(c.label):
-            yield from slots(c, f"{path}/{c.label}")
+            open_.append((blocks(c.children), f"{path}/{c.label}" if len(open_) <= MAX_DEPTH else path))
 
 
 def page_rows(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
@@ -327,10 +361,9 @@ def structures(rows: DataFrame) -> DataFrame:
         shapes, texts = [], []
         for page in rb.column(1).to_pylist():
             root = read(page)
-            items = structure(root)
-            shapes.append(json.dumps(items, separators=(",", ":")))
+            shapes.append(json.dumps(structure(root), separators=(",", ":")))
             by: dict[str, list[str]] = {}
-            if not any(landmark(items, t) for t in LANDMARKS):
+            if not landmark(root):
                 for path, text in slots(root):
                     by.setdefault(path, []).append(text)
             texts.append([(p, xxhash.xxh64_intdigest("\n".join(t)) >> 1) for p, t in by.items()])

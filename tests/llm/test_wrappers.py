@@ -76,3 +76,27 @@ def test_wrappers_do_not_depend_on_partitions(spark):
 
 def test_empty_table(spark):
     assert W.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_each_page_has_its_own_landmark(spark):
+    bodies = ["<nav>menu</nav><article><p>in article</p></article><p>beside</p>", "<nav>menu</nav><main><p>in main</p></main><p>beside</p>",
+              "<nav>menu</nav><div><p>plain</p></div>"]
+    pages = [(10 * h + i, url, f"<html><body>{b}</body></html>", None, None)
+             for h, url in enumerate(["http://mixed.org/", None, "no scheme"]) for i, b in enumerate(bodies)]
+    got = extracted(spark, pages)
+    for h in range(3):
+        assert [got[10 * h + i].text for i in range(3)] == ["in article", "in main", "plain"]
+
+
+def test_depth_loses_no_text(spark):
+    def page(n, close):
+        return ("<html><body><p>before</p>" + "<div>" * n + "<article><p>first</p><div><section><p>second</p></section></div>"
+                "<nav>menu</nav>third</article>" + "</div>" * close + "<p>after</p></body></html>")
+
+    pages = [(n, f"http://deep{n}.org/", page(n, n), None, None) for n in (5, 97, 98, 99, 100, 101, 150, 3000)]
+    plain = "<body><main>" + "<div>" * 120 + "a<ul><li>b</li></ul><nav>menu</nav>c" + "</div>" * 120 + "<p>d</p></main></body>"
+    odd = "<body><p>" + "<x-y>" * 20_000 + "e"
+    got = extracted(spark, [*pages, (1, "http://e.org/", plain, None, None), (2, "http://f.org/", odd, None, None)])
+    for n, *_ in pages:
+        assert got[n].text == "first\nsecond\nthird"
+    assert got[1].text == "a\nb\nc\nd" and got[2].text == "e"
