@@ -12,8 +12,10 @@ sequences that follow themselves, become repeated.  The pages of a host are
 reduced to their distinct structures first, those are aligned in salted
 groups, and the groups' wrappers once more, always in sorted order, so a
 host with a third of all pages is no large group and the result does not
-depend on the partitioning.  A text slot that holds the same words on all
-pages of a host that differ elsewhere is template text.
+depend on the partitioning.  A text slot is template text if it holds the same
+words on all pages that have it and these are at least ``MIN_PAGES`` and
+``MIN_SHARE`` of the host's pages without a landmark; pages with the same words
+in all slots count once, so the pages counted differ elsewhere.
 
 The main text of a page are the slots under its own article (or main)
 element, or all of the body where the page has none, without template text
@@ -46,7 +48,7 @@ MAX_DEPTH = 100
 SALTS = 32
 MAX_GROUP = 4                  # longest sequence that is folded as a repeated group
 MAX_BROADCAST_BYTES = 32 << 20  # wrappers beyond this size are joined over salted keys instead
-MIN_PAGES = 3                  # pages from which an unchanged text is template text
+MIN_PAGES, MIN_SHARE = 3, 0.8  # distinct pages, and share of a host's, from which an unchanged text is template text
 
 OPTIONAL, REPEATED = 1, 2
 SLOT, GROUP = "#", "("
@@ -381,12 +383,16 @@ def infer(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
                .agg(F.collect_list("structure").alias("structures")))
     merged = _merge(_merge(partial, "structure").groupBy("host").agg(F.collect_list("structure").alias("structures")),
                     "wrapper")
-    texts = (found.select("host", F.explode("texts").alias("path", "hash")).groupBy("host", "path")
-             .agg(F.count(F.lit(1)).alias("n"), F.min("hash").alias("lo"), F.max("hash").alias("hi")))
-    template = (texts.groupBy("host").agg(
-        F.array_sort(F.collect_list(F.when((F.col("n") >= MIN_PAGES) & (F.col("lo") == F.col("hi")), F.col("path")))).alias("same"),
-        F.max((F.col("lo") != F.col("hi")).cast("int")).alias("differ"))
-        .where("differ = 1").select("host", F.col("same").alias("template")))
+    # equal pages are one page, however many copies there are
+    pages_of = (found.where(F.size("texts") > 0).withColumn("slots", F.array_sort(F.map_entries("texts")))
+                .select("host", "slots", F.sha2(F.to_json("slots"), 256).alias("page"))
+                .groupBy("host", "page").agg(F.min("slots").alias("slots")))
+    n_pages = pages_of.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    texts = (pages_of.select("host", F.explode("slots").alias("slot")).groupBy("host", F.col("slot.key").alias("path"))
+             .agg(F.count(F.lit(1)).alias("n"), F.min("slot.value").alias("lo"), F.max("slot.value").alias("hi"))
+             .where((F.col("n") >= MIN_PAGES) & (F.col("lo") == F.col("hi"))))
+    template = (texts.join(n_pages, "host").where(F.col("n") >= MIN_SHARE * F.col("pages"))
+                .groupBy("host").agg(F.array_sort(F.collect_list("path")).alias("template")))
     return merged.join(template, "host", "left").withColumn(
         "template", F.coalesce("template", F.expr("cast(array() as array<string>)")))
 

@@ -100,3 +100,18 @@ def test_depth_loses_no_text(spark):
     for n, *_ in pages:
         assert got[n].text == "first\nsecond\nthird"
     assert got[1].text == "a\nb\nc\nd" and got[2].text == "e"
+
+
+def test_copies_beside_other_pages_keep_their_text(spark):
+    def page(kind, text):
+        return f"<html><body><div>Shop of all things</div><div class={kind}><p>{text}</p></div></body></html>"
+
+    pages = [(i, "http://mixed.org/", page("story", "the same story"), None, None) for i in range(4)]
+    pages += [(10 + i, "http://mixed.org/", page("post", f"post {i}"), None, None) for i in range(2)]
+    pages += [(20 + i, "http://part.org/", page("story" if i < 3 else "post", f"text {i}").replace("</body>", (
+        "<section>series</section>" if i < 3 else "") + "</body>"), None, None) for i in range(9)]
+    got = extracted(spark, pages)
+    assert {got[i].text for i in range(4)} == {"the same story"}  # three distinct pages share the first line
+    assert [got[10 + i].text for i in range(2)] == ["post 0", "post 1"]
+    for i in range(9):  # the line on a third of the pages is no template
+        assert got[20 + i].text == f"text {i}" + ("\nseries" if i < 3 else "")
