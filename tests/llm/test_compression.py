@@ -53,3 +53,27 @@ def test_bands_reject_repetition_and_noise_but_keep_prose(spark):
 
 def test_empty_table(no_docs):
     assert compression.compression_rules(no_docs).count() == 0
+
+
+def test_random_base64_and_bytes_are_rejected(spark):
+    import base64
+    import random
+    rng = random.Random(2)
+
+    def parts(text, size, by):
+        return by.join(text[i:i + size] for i in range(0, len(text), size))
+
+    def encoded(n):
+        return base64.b64encode(rng.randbytes(n)).decode()[:n]
+
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(1, 7))) for _ in range(3000)]
+    prose = " ".join(words)
+    texts = []
+    for n in (1024, 2048, 4096, 6000, 16384, 40_000, 65_536, 200_000):
+        texts += [parts(encoded(n), 76, "\n"), parts(encoded(n), 8, " "), encoded(n),
+                  parts(rng.randbytes(n).decode("latin1"), 9, " ")]
+    texts.append(prose + "\n" + parts(encoded(len(prose) * 2 // 3), 76, "\n"))  # two fifths of the text
+    texts.append(prose)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = compression.compression_rules(df, min_words=0).sort("doc_id").collect()
+    assert [r.doc_id for r in out if r.kept] == [len(texts) - 1]
