@@ -48,6 +48,8 @@ def _norm(v):
         return v.isoformat()
     if v is pd.NaT:
         return "∅"
+    if v is pd.NA:  # a null integer; the other side may hold it as a float
+        return "nan"
     return str(v)
 
 
