@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellframe.llm import (compression, decontaminate, langid, pieces, pseudo_lm, pu_quality, simhash, token_counts,
+from cellframe.llm import (compression, decontaminate, fill_middle, langid, pieces, pseudo_lm, pu_quality, simhash, token_counts,
                            url_rules, wrappers)
 from cellframe.llm.common import crc_fold
 
@@ -141,3 +141,31 @@ def op10_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     automata = langid.fit(docs, ~held_out)
     return (langid.identify(docs, automata)
             .select("doc_id", held_out.alias("held_out"), "lang_pred", "score"))
+
+
+@query
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.fill_in_middle(table(spark, sf_dir, "documents"), texts=False)
+
+
+_UNITS = r"regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+')"
+
+ORACLES["op13_fill_in_middle"] = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+           FROM documents),
+u AS (SELECT doc_id, text, {_UNITS} AS w,
+             [CAST(('0x' || substr(h, 1 + 8 * i, 8)) AS BIGINT) FOR i IN [0, 1, 2, 3]] AS d FROM t),
+c AS (SELECT doc_id, text, w, len(w) AS n, least(d[1] % (len(w) + 1), d[2] % (len(w) + 1)) AS a,
+             greatest(d[1] % (len(w) + 1), d[2] % (len(w) + 1)) AS b,
+             CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                    OR d[3] % 100 >= 50 THEN 'plain' WHEN d[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, array_to_string(list_slice(w, 1, a), '') AS pre, array_to_string(list_slice(w, a + 1, b), '') AS mid,
+             array_to_string(list_slice(w, b + 1, n), '') AS suf FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+       CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                        ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
