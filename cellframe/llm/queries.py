@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellframe.llm import (compression, decontaminate, fill_middle, langid, pieces, pseudo_lm, pu_quality, simhash, token_counts,
+from cellframe.llm import (compression, decontaminate, fill_middle, langid, line_dedup, pieces, pseudo_lm, pu_quality, simhash, token_counts,
                            url_rules, wrappers)
 from cellframe.llm.common import crc_fold
 
@@ -143,6 +143,27 @@ def op10_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", held_out.alias("held_out"), "lang_pred", "score"))
 
 
+@query
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLES["op12_line_dedup"] = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT r, i, ls[i] AS line,
+             translate(trim(ls[i], concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))),
+                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+      FROM (SELECT r, ls, unnest(range(1, len(ls) + 1)) AS i FROM d) t),
+gone AS (SELECT k FROM l WHERE k <> '' GROUP BY k HAVING count(DISTINCT r) >= 10),
+stay AS (SELECT r, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS kept
+         FROM l WHERE k NOT IN (SELECT k FROM gone) GROUP BY r)
+SELECT doc_id, CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - coalesce(n, 0) AS BIGINT) AS n_dropped,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN stay USING (r)
+"""
+
+
 @query
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.fill_in_middle(table(spark, sf_dir, "documents"), texts=False)
