@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellframe.llm import (compression, decontaminate, fill_middle, langid, line_dedup, pieces, pseudo_lm, pu_quality, simhash, token_counts,
+from cellframe.llm import (compression, conversations, decontaminate, fill_middle, langid, line_dedup, pieces, pseudo_lm, pu_quality, simhash, token_counts,
                            url_rules, wrappers)
 from cellframe.llm.common import crc_fold
 
@@ -143,6 +143,13 @@ def op10_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", held_out.alias("held_out"), "lang_pred", "score"))
 
 
+@query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = conversations.damage(table(spark, sf_dir, "conversations"))
+    return conversations.digest(conversations.repair(damaged, copies="copies")).select(
+        "conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
 @query
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
