@@ -49,6 +49,22 @@ def q_similar_genes(spark, sf):
     return out.select("query", "gene", "rank", _r6(F.col("sim")).alias("sim"))
 
 
+ALL_SQL = {"qv": "SELECT gene AS query, vec AS qvec FROM v_emb WHERE gene % 20 = 0"}
+
+
+@query("similar_genes_all", with_views(
+    "SELECT query, gene, CAST(rank AS INT) AS rank, ROUND(sim, 6) AS sim FROM ("
+    "SELECT *, ROW_NUMBER() OVER (PARTITION BY query ORDER BY sim DESC, gene DESC) AS rank FROM ("
+    "SELECT qv.query, e.gene, list_cosine_similarity(qv.qvec, e.vec) AS sim FROM qv, v_emb e) s) r "
+    f"WHERE rank <= {TOPK}", ALL_SQL))
+def q_similar_genes_all(spark, sf):
+    """Every gene whose id is divisible by 20, against all genes: the query table goes through Spark."""
+    queries = T.emb(spark, sf).where(F.col("gene") % 20 == 0).select(
+        F.col("gene").alias("query"), F.col("vec").alias("qvec"))
+    out = neighbors.top_similar(T.emb(spark, sf), queries, TOPK)
+    return out.select("query", "gene", "rank", _r6(F.col("sim")).alias("sim"))
+
+
 # ---------------------------------------------------------------- S-07 ----
 @query("similar_genes_temp", _sim_sql("SELECT gene, vec FROM v_emb", f" / {SIMILARITY_TEMPERATURE!r}"))
 def q_similar_genes_temp(spark, sf):

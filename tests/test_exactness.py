@@ -163,7 +163,7 @@ def test_string_ids_in_vector_and_graph_operators(spark, named):
 def test_every_query_is_answered(spark, named, block):
     df, rows = named
     queries = df.select(F.col("gene").alias("query"), F.col("vec").alias("qvec"))
-    out = neighbors.top_similar(df, queries, 3, query_block=block).collect()
+    out = neighbors.top_similar(df, queries, 3, block_size=block).collect()
     x = np.array([r[1] for r in rows])
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     sim, ids = u @ u.T, np.array([r[0] for r in rows])
