@@ -48,7 +48,7 @@ def test_planted_communities_and_silhouette(spark):
     knn = neighbors.knn(df, "gene", "vec", 5, block_size=16)
     edges = graph.knn_multigraph(knn)
     nodes = df.select(F.col("gene").alias("id"))
-    comm = graph.communities(edges, nodes, 1.0, polish=False)
+    comm = graph.communities(edges, nodes, 1.0)
     pairs = comm.join(df.select(F.col("gene").alias("id"), "cluster"), "id")
     # no community spans two planted blobs, and the partition found is at
     # least as good (modularity) as the planted one
@@ -160,3 +160,53 @@ def test_stream_vocab_ids_are_dense_stable_and_complete(spark):
     # every micro-batch only added names unseen before: ids grow with the batch id
     by_batch = sorted((r.batch_id, r.id) for r in v)
     assert [i for _, i in by_batch] == sorted(i for _, i in by_batch)
+
+
+def test_blocks_of_any_size_end_in_a_connected_local_optimum(spark):
+    rng = np.random.default_rng(11)
+    pairs = {(i, j) for i in range(20) for j in range(i + 1, 20) if rng.random() < (0.5 if i // 10 == j // 10 else 0.05)}
+    edges = spark.createDataFrame([(i, j, float(rng.integers(1, 3))) for i, j in sorted(pairs)] + [(3, 3, 2.0)],
+                                  "a long, b long, weight double")
+    nodes = spark.range(22)  # two nodes without edges
+    found = {}
+    for block in (4096, 11):
+        member = graph.cut_lineage(graph.communities(edges, nodes, 1.0, block_nodes=block, iterations=1), "found")
+        q = graph.partition_quality(edges, member).first()
+        assert q.local_optimum and q.connected and member.count() == 22
+        found[block] = q.modularity
+    planted = nodes.select("id", F.floor(F.col("id") / 10).alias("community"))
+    q_planted = graph.modularity(edges, planted).first().modularity
+    assert min(found.values()) > 0.9 * q_planted
+
+
+def test_gain_of_joint_moves_is_the_change_of_modularity(spark):
+    rng = np.random.default_rng(12)
+    edges = spark.createDataFrame(sorted({(int(min(a, b)), int(max(a, b)), 1.0) for a, b in rng.integers(0, 20, (60, 2))}),
+                                  "a long, b long, weight double")
+    level = graph._Level.of_graph(edges, spark.range(20), 1.0, 4096)
+    state = level.start(spark.range(20).select("id", (F.col("id") % 4).alias("community")))
+    target = state.select(F.col("id").alias("i"), F.col("community").alias("target"), F.col("tot").alias("tot_target"),
+                          F.col("size").alias("size_target")).where("i in (1, 2, 3)")
+    moves = (state.where("id % 7 = 0").join(target, F.col("id") / 7 + 1 == F.col("i")).where("community <> target")
+             .select(F.lit(0).alias("block"), "id", F.col("community").alias("own"), "target", "k",
+                     F.col("tot").alias("tot_own"), F.col("size").alias("size_own"), "tot_target", "size_target"))
+    assert moves.count() > 0
+    after = level.applied(state, moves)
+    before, now = (graph.modularity(edges, s).first().modularity for s in (state, after))
+    assert abs(now - before - level.gain(after, moves)) < 1e-12
+    totals = {r.community: (r.t, r.n) for r in after.groupBy("community").agg(F.sum("k").alias("t"), F.count("*").alias("n")).collect()}
+    assert all((r.tot, r["size"]) == totals[r.community] for r in after.collect())
+
+
+def test_refined_parts_are_connected(spark):
+    rng = np.random.default_rng(13)
+    edges = spark.createDataFrame(sorted({(int(min(a, b)), int(max(a, b)), 1.0) for a, b in rng.integers(0, 50, (120, 2))}),
+                                  "a long, b long, weight double")
+    for block in (4096, 12):
+        level = graph._Level.of_graph(edges, spark.range(50), 1.0, block)
+        state = level.start(spark.range(50).select("id", (F.col("id") % 3).alias("community")))
+        fine = graph.cut_lineage(level.refine(state), "fine")
+        assert fine.groupBy("part").agg(F.count_distinct("community").alias("n")).where("n > 1").count() == 0
+        parts = graph.connected_parts(edges, fine.select("id", F.col("part").alias("community")))
+        n = fine.select("part").distinct().count()
+        assert parts.select("part").distinct().count() == n < 50
