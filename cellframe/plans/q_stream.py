@@ -8,7 +8,7 @@ from cellframe.operators import binning
 from cellframe.plans.oracle_views import with_views
 from cellframe.plans.q_build import BINNED_SQL, RANGE_SQL, _ctes
 from cellframe.plans.registry import query
-from cellframe.session import scratch_path
+from cellframe.session import materialize, scratch_path
 from cellframe.sources import tables as T
 from cellframe.streaming import jobs
 
@@ -54,12 +54,81 @@ def q_tumbling_counts_stream(spark, sf):
     return jobs.read_window_sink(spark, sink)
 
 
+STEP_DAYS, DELAY_H = 10, 24
+LATE_SQL = {
+    # every tenth event arrives two steps late
+    "ar": "SELECT event_id, ts, value, CAST(FLOOR((epoch(ts) - epoch(lo)) / (86400 * " + str(STEP_DAYS) + ")) AS BIGINT) "
+          "+ CASE WHEN event_id % 10 = 0 THEN 2 ELSE 0 END AS step "
+          "FROM v_stream_events, (SELECT date_trunc('day', MIN(ts)) AS lo FROM v_stream_events) t",
+    "wm": "SELECT s.step, MAX(a.ts) - INTERVAL " + str(DELAY_H) + " HOUR AS w FROM (SELECT DISTINCT step FROM ar) s "
+          "LEFT JOIN ar a ON a.step < s.step GROUP BY s.step",
+    "tagged": "SELECT ar.*, time_bucket(INTERVAL 1 HOUR, ts) AS start, "
+              "COALESCE(time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= date_trunc('milliseconds', wm.w), false) AS late "
+              "FROM ar JOIN wm USING (step)",
+}
+
+
+def arrivals(spark, sf):
+    """Events with the step in which they arrive: ten days at a time, every tenth event two steps late."""
+    ev = T.stream_events(spark, sf)
+    lo = ev.agg(F.date_trunc("day", F.min("ts"))).first()[0]
+    seconds = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit(lo).cast("timestamp"))) / 1_000_000
+    late = F.when(F.col("event_id") % 10 == 0, 2).otherwise(0)
+    return ev.withColumn("step", F.floor(seconds / (86400 * STEP_DAYS)) + late)
+
+
+def replay_late(spark, sf):
+    """The sink of a replay, step by step; the query is stopped and started again between the steps."""
+    src, sink, ck = (scratch_path(spark, n) for n in ("late-src", "late-sink", "late-ck"))
+    ev = materialize(arrivals(spark, sf), "arrivals")
+    for step in sorted(r.step for r in ev.select("step").distinct().collect()):
+        ev.where(F.col("step") == step).drop("step").write.mode("append").parquet(src)
+        jobs.late_rows_stream(spark, src, EVENTS_SCHEMA, sink, ck, delay=f"{DELAY_H} hours", salts=4, state_partitions=4)
+    return sink
+
+
+@query("late_windows", with_views(
+    "SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS window_start, COUNT(*) AS n, ROUND(AVG(value), 6) AS mean_value "
+    "FROM tagged WHERE NOT late GROUP BY start", LATE_SQL))
+def q_late_windows(spark, sf):
+    """Windows of the rows that were on time, read from the compacted sink."""
+    sink = replay_late(spark, sf)
+    jobs.compact_windows(spark, sink)
+    return jobs.read_windows(spark, sink)
+
+
+@query("late_rows", with_views(
+    "SELECT event_id, strftime(start, '%Y-%m-%d %H:%M:%S') AS window_start FROM tagged WHERE late", LATE_SQL))
+def q_late_rows(spark, sf):
+    """The rows that came after their window was closed."""
+    late = spark.read.schema("key long, start timestamp, value double, batch_id long").parquet(f"{replay_late(spark, sf)}/late")
+    return late.select(F.col("key").alias("event_id"), F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("window_start"))
+
+
 # ---------------------------------------------------------------- ST-03 ---
-@query("stream_vocab")
-def q_stream_vocab(spark, sf):
-    """Batch vocabulary grown file by file; ids never change once given."""
+def grown_vocab(spark, sf):
     src, table, ck = (scratch_path(spark, n) for n in ("voc-src", "voc-table", "voc-ck"))
     T.cells(spark, sf).write.mode("overwrite").partitionBy("sample").parquet(src)
     jobs.vocab_stream(spark, src, "cell long, batch string, celltype string, row_pos long, sample string",
                       "batch", ["row_pos"], table, ck)
-    return spark.read.parquet(table).select("name", "id", "batch_id")
+    return table
+
+
+@query("stream_vocab")
+def q_stream_vocab(spark, sf):
+    """Batch vocabulary grown file by file; ids never change once given."""
+    return jobs.read_grown_vocab(spark, grown_vocab(spark, sf))
+
+
+@query("stream_vocab_names", with_views(
+    "SELECT name, n_ids, n_ids - 1 AS max_id, n_ids AS ledger_ids FROM "
+    "(SELECT DISTINCT COALESCE(batch, 'nan') AS name FROM v_cells) d, "
+    "(SELECT COUNT(DISTINCT COALESCE(batch, 'nan')) AS n_ids FROM v_cells) t"))
+def q_stream_vocab_names(spark, sf):
+    """All names of the grown vocabulary, with the number of distinct ids, the greatest id and the ledger's sum."""
+    table = grown_vocab(spark, sf)
+    vocab = jobs.read_grown_vocab(spark, table)
+    found = vocab.agg(F.count_distinct("id").alias("n_ids"), F.max("id").cast("long").alias("max_id")).first()
+    ledger = jobs.read_ledger(spark, table).agg(F.sum("n")).first()[0]
+    return vocab.select("name", F.lit(found.n_ids).alias("n_ids"), F.lit(found.max_id).alias("max_id"),
+                        F.lit(ledger).alias("ledger_ids"))

@@ -117,6 +117,15 @@ def q_row_positions(spark, sf):
     return vocab.row_positions(T.table(spark, sf, "lineitem", *keys), keys)
 
 
+@query("file_positions", with_views(
+    "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(ROW_NUMBER() OVER () - 1 AS BIGINT) AS pos FROM lineitem"))
+def q_file_positions(spark, sf):
+    """The place of every line item in its files, without a sort."""
+    from cellframe.sources.files import file_positions
+    rows = T.table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return file_positions(rows)
+
+
 @query("cell_name_back", with_views(
     "SELECT p.cell AS idx, ix.cell FROM v_pred p LEFT JOIN "
     "(SELECT cell, ROW_NUMBER() OVER (ORDER BY sample, row_pos) - 1 AS idx FROM v_cells) ix ON ix.idx = p.cell"))

@@ -140,17 +140,34 @@ NA_TEXTS = ("", "NA", "N/A", "NaN", "nan", "null", "NULL", "None", "<NA>", "n/a"
 
 
 def read_keyed_labels(spark: SparkSession, path: str, key: str = "cell", label: str = "celltype") -> DataFrame:
-    """IO-04: (key, label) from label CSVs; the columns are checked against the files' header lines, missing
-    values are null, and a key that occurs twice fails the job."""
+    """IO-04: (key, label) from label CSVs; missing values are null, and a key that occurs twice fails the job.
+
+    Columns go by the name in each file's own header, whatever their order:
+    files are grouped by header line and each group is one read.  A header
+    without the key or the label is an error.
+    """
     from cellframe.operators.tokens import one_per_key
-    heads = {r["header"] for r in file_headers(spark, list_files(spark, path, ".csv")).select("header").distinct().collect()}
-    for h in heads:
-        names = [x.strip().strip('"') for x in h.split(",")]
+    files = list_files(spark, path, ".csv")
+    if not files:
+        raise FileNotFoundError(f"no .csv file under {path}")
+    out = None
+    for names, df in _by_header(spark, files):
         if key not in names or label not in names:
             raise ValueError(f"columns {key}, {label} expected, found {names}")
-    parts = spark.read.option("header", True).csv(path).select(F.col(f"`{key}`").alias(key), F.col(f"`{label}`").alias(label))
+        part = df.toDF(*[f"_{i}" for i in range(len(df.columns))]).select(
+            F.col(f"_{names.index(key)}").alias(key), F.col(f"_{names.index(label)}").alias(label))
+        out = part if out is None else out.unionByName(part)
     text = F.col(label)
-    return one_per_key(parts.withColumn(label, F.when(~text.isin(*NA_TEXTS), text)), key, label)
+    return one_per_key(out.withColumn(label, F.when(~text.isin(*NA_TEXTS), text)), key, label)
+
+
+def _by_header(spark: SparkSession, files: list[str]):
+    """(column names, frame) for each distinct header line of CSV files, in the order of their first files."""
+    grouped = (file_headers(spark, files).groupBy("header")
+               .agg(F.array_sort(F.collect_list("path")).alias("files")).collect())
+    for row in sorted(grouped, key=lambda r: r["files"][0]):
+        yield ([h.strip().strip('"') for h in row["header"].split(",")],
+               spark.read.option("header", True).csv(list(row["files"])))
 
 
 def read_metadata(spark: SparkSession, path: str, col_name: str, save_col_name: str | None = None,
@@ -165,14 +182,10 @@ def read_metadata(spark: SparkSession, path: str, col_name: str, save_col_name:
     files = list_files(spark, path, suffix)
     if not files:
         raise FileNotFoundError(f"no {suffix} file under {path}")
-    grouped = (file_headers(spark, files).groupBy("header")
-               .agg(F.array_sort(F.collect_list("path")).alias("files")).collect())
     parts = []
-    for row in sorted(grouped, key=lambda r: r["files"][0]):
-        names = [h.strip().strip('"') for h in row["header"].split(",")]
+    for names, df in _by_header(spark, files):
         if col_name not in names:
             continue
-        df = spark.read.option("header", True).csv(list(row["files"]))
         text = F.col(f"`{col_name}`")
         parts.append(df.select(F.col(f"`{df.columns[0]}`").alias("cell"),
                                F.when(~text.isin(*na), text).alias(save_col_name or col_name)))
@@ -252,3 +265,22 @@ def read_embedding_text(spark: SparkSession, path: str, strict: bool = False,
         return rows.select("gene", F.when(bad, F.raise_error(F.concat(F.lit("malformed line: "), F.col("line"))))
                            .otherwise(F.col("vec")).alias("vec"))
     return rows.filter(~bad).select("gene", "vec")
+
+
+# ------------------------------------------------------------- positions --
+def file_positions(df: DataFrame, name: str = "pos") -> DataFrame:
+    """W-12: every row's place in its Parquet files, from 0: files in the order of their paths, rows as they lie.
+
+    ``df`` is a plain Parquet read (its hidden file columns are used).  A
+    row's place in its file comes from the reader; the rows before the file
+    are a prefix sum over one count per file, so rows are neither sorted nor
+    shuffled.  The table of files is broadcast (one row per file).
+    """
+    from pyspark.sql import Window
+    path, row = "_file_path", "_file_row"
+    own = df.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(row))
+    per = own.groupBy(path).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(F.lit(0)).orderBy(path).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per.select(path, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return (own.join(F.broadcast(offsets), path)
+            .select(*df.columns, (F.col("_before") + F.col(row)).alias(name)))

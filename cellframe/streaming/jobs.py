@@ -7,9 +7,14 @@
   with a watermark; update mode into an upsert sink (each micro-batch
   writes its changed windows tagged with the batch id; readers keep the
   latest row per window), so the sink is idempotent under retries.
+* ``late_rows_stream``: the same windows with a watermark that bites: a
+  stateful operator counts the rows that are on time and passes on those
+  that are not, so that none is lost unseen; ``compact_windows`` folds the
+  sink's batches into one snapshot.
 * ``vocab_stream``: a vocabulary that grows with the stream while every
-  existing id stays stable (``foreachBatch``: anti-join new names, number
-  them after the current maximum).
+  existing id stays stable.  A ledger (batch, first id, count) tells where a
+  batch's ids begin, and a batch writes its own folders only, so a batch that
+  is replayed writes the same rows again.
 
 All sinks and checkpoints live under the shared checkpoint folder.
 """
@@ -100,32 +105,161 @@ def read_window_sink(spark: SparkSession, sink: str) -> DataFrame:
                        F.col("v.n").alias("n"), F.round(F.col("v.s") / F.col("v.n"), 6).alias("mean_value"))
 
 
+# ------------------------------------------------------------- late rows --
+_STATE = "n long, s double"
+
+
+def late_rows_stream(spark: SparkSession, source: str, schema: str, sink: str, checkpoint: str, key: str = "event_id",
+                     width_s: int = 3600, delay: str = "2 hours", salts: int = 8, max_files: int | None = None,
+                     state_partitions: int | None = None) -> None:
+    """Count and sum per tumbling window of ``width_s`` seconds, and the rows that came too late, until the input is
+    drained.
+
+    A row is late if its window ended at or before the watermark of its
+    batch (the latest event time of earlier batches less ``delay``).  Late
+    rows go to ``sink/late``, changed windows to ``sink/windows``, each batch
+    into a folder of its own that a replay writes again.  A window's rows
+    are counted in ``salts`` parts, so the current window is not one task.
+    """
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    from cellframe.session import ship_package
+    ship_package(spark)
+    reader = spark.readStream.schema(schema)
+    s = (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).parquet(source)
+    start = F.floor(F.unix_micros(F.col("ts")) / F.lit(width_s * 1_000_000)) * F.lit(width_s)
+    rows = (s.select(F.col(key).cast("long").alias("key"), F.col("ts").cast("timestamp").alias("ts"),
+                     F.col("value").cast("double").alias("value")).withWatermark("ts", delay)
+            .withColumn("start", start.cast("long"))
+            .withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int")))
+
+    def run(group, batches, state):
+        import pandas as pd
+        begin, salt = group
+        late = (begin + width_s) * 1000 <= state.getCurrentWatermarkMs()
+        n, total = state.get if state.exists else (0, 0.0)
+        for pdf in batches:
+            if late:
+                yield pd.DataFrame({"kind": "late", "start": begin, "salt": salt, "n": None, "s": pdf["value"],
+                                    "key": pdf["key"]})
+            else:
+                n, total = n + len(pdf), total + float(pdf["value"].sum())
+        if not late:
+            state.update((n, total))
+            yield pd.DataFrame({"kind": ["window"], "start": [begin], "salt": [salt], "n": [n], "s": [total], "key": [None]})
+
+    found = rows.groupBy("start", "salt").applyInPandasWithState(
+        run, "kind string, start long, salt int, n long, s double, key long", _STATE, "update", GroupStateTimeout.NoTimeout)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        batch.where("kind = 'window'").select("start", "salt", "n", "s").write.mode("overwrite").parquet(
+            f"{sink}/windows/batch_id={batch_id}")
+        batch.where("kind = 'late'").select("key", F.timestamp_seconds("start").alias("start"), F.col("s").alias("value")
+                                            ).write.mode("overwrite").parquet(f"{sink}/late/batch_id={batch_id}")
+        batch.unpersist()
+
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    if state_partitions:
+        spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
+    try:
+        q = (found.writeStream.outputMode("update").foreachBatch(write)
+             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    q.awaitTermination()
+
+
+_WINDOWS = "start long, salt int, n long, s double, batch_id long"
+
+
+def _latest_windows(spark: SparkSession, sink: str) -> DataFrame:
+    rows = spark.read.schema(_WINDOWS).parquet(f"{sink}/windows")
+    return (rows.groupBy("start", "salt").agg(F.max_by(F.struct("n", "s"), "batch_id").alias("v"), F.max("batch_id").alias("b"))
+            .select("start", "salt", "v.n", "v.s", F.col("b").alias("batch_id")))
+
+
+def read_windows(spark: SparkSession, sink: str) -> DataFrame:
+    """Windows of ``late_rows_stream``: the latest counts of each part, added up."""
+    return (_latest_windows(spark, sink).groupBy("start").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+            .select(F.date_format(F.timestamp_seconds("start"), "yyyy-MM-dd HH:mm:ss").alias("window_start"), "n",
+                    F.round(F.col("s") / F.col("n"), 6).alias("mean_value")))
+
+
+def compact_windows(spark: SparkSession, sink: str) -> int:
+    """Fold all batches of the window sink into the folder of the last one; returns the number of folders removed.
+
+    The folded rows are written beside the sink first; the last batch's
+    folder is replaced by them and older ones are removed.  A reader sees the
+    same windows before and after, because older counts never win.
+    """
+    from cellframe.session import materialize
+    fs, root = _folder(spark, f"{sink}/windows")
+    batches = sorted((int(st.getPath().getName().split("=")[1]), st.getPath()) for st in fs.listStatus(root)
+                     if st.getPath().getName().startswith("batch_id="))
+    if len(batches) < 2:
+        return 0
+    last = batches[-1][0]
+    folded = materialize(_latest_windows(spark, sink).drop("batch_id"), "windows")
+    folded.write.mode("overwrite").parquet(f"{sink}/windows/batch_id={last}")
+    for _, old in batches[:-1]:
+        fs.delete(old, True)
+    return len(batches) - 1
+
+
+def _folder(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+# ------------------------------------------------------------ vocabulary --
+_LEDGER = "first_id long, n long, batch_id long"
+
+
 def vocab_stream(spark: SparkSession, source: str, schema: str, name_col: str, order_cols: list[str],
                  table: str, checkpoint: str, max_files: int = 1) -> None:
-    """Append names never seen before with ids after the current maximum."""
-    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source)
+    """Append names never seen before with ids after those of the batches before.
 
-    def grow(batch: DataFrame, batch_id: int) -> None:
-        ss = batch.sparkSession
-        try:
-            cur = ss.read.parquet(table)
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            cur = None  # first batch: the table does not exist yet
-        top = None if cur is None else cur.agg(F.max("id")).first()[0]
-        if cur is not None and cur.filter(F.col("batch_id") == batch_id).limit(1).count() > 0:
-            return  # this micro-batch was already applied (replay after a failure)
-        start = -1 if top is None else top
-        first = (batch.select(F.coalesce(F.col(name_col).cast("string"), F.lit("nan")).alias("name"),
-                              F.struct(*order_cols).alias("_f"))
-                 .groupBy("name").agg(F.min("_f").alias("_f")))
-        if cur is not None:
-            first = first.join(cur.select("name"), "name", "left_anti")
-        new = global_row_number(first, ["_f"], "id", start=start + 1).select(
-            "name", F.col("id").cast("int").alias("id"), F.lit(batch_id).alias("batch_id"))
-        new.write.mode("append").parquet(table)
-
-    q = (s.writeStream.foreachBatch(grow).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
+    ``table/names`` and ``table/ledger`` have a folder per batch; a batch reads
+    the folders of earlier batches only and writes its own, so doing any
+    batch again gives the same ids.
+    """
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source)
+    q = (s.writeStream.foreachBatch(lambda batch, i: grow_vocab(batch, i, name_col, order_cols, table))
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
+
+
+def read_ledger(spark: SparkSession, table: str) -> DataFrame:
+    """(batch_id, first_id, n) of a growing vocabulary."""
+    return spark.read.schema(_LEDGER).parquet(f"{table}/ledger").select("batch_id", "first_id", "n")
+
+
+def read_grown_vocab(spark: SparkSession, table: str) -> DataFrame:
+    """(name, id, batch_id) of the batches that the ledger holds (a batch that was cut off is not there)."""
+    names = spark.read.schema("name string, id int, batch_id long").parquet(f"{table}/names")
+    return names.join(F.broadcast(read_ledger(spark, table).select("batch_id")), "batch_id", "left_semi").select(
+        "name", "id", "batch_id")
+
+
+def grow_vocab(batch: DataFrame, batch_id: int, name_col: str, order_cols: list[str], table: str) -> None:
+    """One batch of ``vocab_stream``: names first, then the ledger's line that makes them count."""
+    spark = batch.sparkSession
+    first = (batch.select(F.coalesce(F.col(name_col).cast("string"), F.lit("nan")).alias("name"),
+                          F.struct(*order_cols).alias("_f"))
+             .groupBy("name").agg(F.min("_f").alias("_f")))
+    start = 0
+    try:
+        ledger = read_ledger(spark, table).where(F.col("batch_id") < batch_id)
+        start = ledger.agg(F.coalesce(F.max(F.col("first_id") + F.col("n")), F.lit(0))).first()[0]
+        known = read_grown_vocab(spark, table).where(F.col("batch_id") < batch_id)
+        first = first.join(known.select("name"), "name", "left_anti")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise  # the first batch finds no table
+    new = global_row_number(first, ["_f", "name"], "id", start=start).select("name", F.col("id").cast("int").alias("id"))
+    new.write.mode("overwrite").parquet(f"{table}/names/batch_id={batch_id}")
+    n = spark.read.parquet(f"{table}/names/batch_id={batch_id}").count()
+    spark.createDataFrame([(start, n)], "first_id long, n long").coalesce(1).write.mode("overwrite").parquet(
+        f"{table}/ledger/batch_id={batch_id}")
