@@ -7,13 +7,18 @@ starts where it ends.  The language whose text needs the fewest phrases per
 byte wins (ties: the language whose name sorts first).
 
 Texts are lower-cased, everything but letters becomes one space.  Parsing is
-vectorised over lanes: a text is cut into lanes of ``LANE`` bytes, a phrase
-ends at a lane's end, and the phrases of all lanes of a text are added up,
-so whole texts of any length are parsed in bounded memory.
+vectorised over lanes: a text is cut into lanes of ``LANE`` bytes that are
+parsed side by side as if a phrase began with each.  The phrase that crosses
+into a lane is then carried on until it ends where that lane's own parse also
+begins a phrase; from there on both are the same.  Lanes whose last phrase
+changes by that pass it on to the next lane, until none changes, so the count
+is that of one parse of the whole text, in bounded memory.
 
 The automata are fitted on a bounded sample of labelled rows: at most
-``max_rows`` documents a language, of at most ``max_chars`` characters each
-and ``fit_chars`` characters altogether, in the order of a hash of the id.
+``max_rows`` documents a language in the order of a hash of the id, of each
+at most ``max_chars`` characters (of longer ones a piece at a hashed place),
+``fit_bytes`` bytes altogether, and no more than ``fit_total`` bytes for all
+languages, which bounds the broadcast.
 
 Edge cases: a null text or one without a letter gets ``und`` and score 0; with no labelled
 text at all every document gets ``und``.  A text that shares no byte with
@@ -33,7 +38,7 @@ from pyspark.sql import functions as F
 
 from cellframe.llm.common import carried, map_batches, named, row_schema, text_rows
 
-MAX_ROWS, MAX_CHARS, FIT_CHARS = 64, 8_000, 40_000
+MAX_ROWS, MAX_CHARS, FIT_BYTES, FIT_TOTAL = 64, 8_000, 40_000, 1_000_000
 LANE = 1024
 LANES = 4096
 LETTER = re.compile(r"[^\W\d_]")
@@ -84,58 +89,107 @@ class Automaton:
                 table[s, self.symbol[c]] = t
         self.table = table.ravel()
 
-    def phrases(self, lanes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Phrases of each lane; ``lanes`` is (step, lane) bytes, longest lane first."""
+    def starts(self, lanes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where phrases begin in each lane, and the state at its end; ``lanes`` is (step, lane) bytes, longest first.
+
+        Where no match goes on, a phrase begins; an unknown symbol is a phrase of its own (state 0 after it).
+        """
         symbols, table, width = self.symbol[lanes], self.table, self.width
-        count = np.zeros(lanes.shape[1], np.int64)
+        begins = np.zeros(lanes.shape, bool)
         state = np.zeros(lanes.shape[1], np.int32)
         live = np.searchsorted(-sizes, -np.arange(len(lanes)), "left")  # lanes longer than the step
         for i, n in enumerate(live):
             c = symbols[i, :n]
             nxt = table[state[:n] * width + c]
             dead = nxt == 0
-            # a dead end closes the phrase; the symbol begins the next one (or is a phrase of its own if unknown)
-            count[:n] += dead & (state[:n] > 0)
-            count[:n] += dead & (table[c] == 0)
+            begins[i, :n] = dead | (state[:n] == 0)
             state[:n] = np.where(dead, table[c], nxt)
-        return count + (state > 0)
+        return begins, state
+
+    def carry(self, lanes: np.ndarray, sizes: np.ndarray, begins: np.ndarray, state: np.ndarray,
+              end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases that begin in each lane less those in ``begins``, if it is entered in ``state``; and its end state
+        (``end``, where the two parses meet).  Arrays are (lane, step)."""
+        change, out, state = np.zeros(len(lanes), np.int64), end.copy(), state.copy()
+        at = np.arange(len(lanes))
+        for i in range(lanes.shape[1]):
+            over = sizes[at] <= i
+            out[at[over]] = state[at[over]]
+            at = at[~over]
+            if not len(at):
+                return change, out
+            c = self.symbol[lanes[at, i]]
+            nxt = self.table[state[at] * self.width + c]
+            begin = (nxt == 0) | (state[at] == 0)
+            apart = ~(begin & begins[at, i])
+            change[at] += (begin.astype(np.int64) - begins[at, i]) * apart
+            state[at] = np.where(nxt == 0, self.table[c], nxt)
+            at = at[apart]
+        out[at] = state[at]
+        return change, out
+
+    def phrases(self, lanes: np.ndarray, sizes: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Phrases of each lane of whole texts; ``lanes`` is (lane, step), ``first`` marks where a text begins."""
+        begins, end = np.zeros(lanes.shape, bool), np.zeros(len(lanes), np.int32)
+        order = np.argsort(-sizes, kind="stable")
+        for lo in range(0, len(order), LANES):
+            group = order[lo:lo + LANES]
+            part, end[group] = self.starts(lanes[group, :sizes[group[0]]].T, sizes[group])
+            begins[group, :sizes[group[0]]] = part.T
+        count, spare, alone = begins.sum(1), np.zeros(len(lanes), np.int64), end.copy()
+        todo = np.flatnonzero(~first)
+        todo = todo[end[todo - 1] != 0]  # otherwise a phrase does begin with the lane
+        while len(todo):
+            spare[todo], new = self.carry(lanes[todo], sizes[todo], begins[todo], end[todo - 1], alone[todo])
+            moved = todo[new != end[todo]]
+            end[todo] = new
+            todo = moved[moved + 1 < len(lanes)] + 1
+            todo = todo[~first[todo]]
+        return count + spare
 
 
 def parse_all(texts: list[bytes], automata: list[Automaton]) -> np.ndarray:
     """Phrases per text (rows) and language (columns)."""
     out = np.zeros((len(texts), len(automata)), np.int64)
-    owner, parts = [], []
-    for i, t in enumerate(texts):
-        for j in range(0, len(t), LANE):
-            owner.append(i)
-            parts.append(t[j:j + LANE])
-    order = sorted(range(len(parts)), key=lambda k: -len(parts[k]))
-    for at in range(0, len(order), LANES):
-        group = order[at:at + LANES]
-        sizes = np.array([len(parts[k]) for k in group])
-        lanes = np.zeros((sizes[0], len(group)), np.uint8)
-        for x, k in enumerate(group):
-            lanes[:sizes[x], x] = np.frombuffer(parts[k], np.uint8)
-        who = np.array([owner[k] for k in group])
-        for a, auto in enumerate(automata):
-            np.add.at(out[:, a], who, auto.phrases(lanes, sizes))
+    n_lanes = np.array([-(-len(t) // LANE) for t in texts], np.int64)
+    owner = np.repeat(np.arange(len(texts)), n_lanes)
+    if not len(owner):
+        return out
+    lanes, sizes, first, at = np.zeros((len(owner), LANE), np.uint8), np.full(len(owner), LANE), np.zeros(len(owner), bool), 0
+    flat = lanes.reshape(-1)
+    for t, n in zip(texts, n_lanes.tolist()):
+        if n:
+            flat[at * LANE:at * LANE + len(t)] = np.frombuffer(t, np.uint8)
+            first[at] = True
+            at += n
+            sizes[at - 1] = len(t) - (n - 1) * LANE
+    for a, auto in enumerate(automata):
+        np.add.at(out[:, a], owner, auto.phrases(lanes, sizes, first))
     return out
 
 
 def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-        max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS, fit_chars: int = FIT_CHARS) -> dict[str, Automaton]:
+        max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS, fit_bytes: int = FIT_BYTES,
+        fit_total: int = FIT_TOTAL) -> dict[str, Automaton]:
     """One automaton per language from the rows where ``learn`` holds; see the module's bounds."""
-    text = F.col(text_col).cast("string")
-    rows = (docs.where(learn & F.col(lang_col).isNotNull() & text.rlike(r"\p{L}") & (F.length(text) <= max_chars))
-            .select(F.col(lang_col).cast("string").alias("lang"), text.alias("text"),
+    text, letter = F.col(text_col).cast("string"), r"\p{L}"
+    rows = (docs.where(learn & F.col(lang_col).isNotNull() & text.rlike(letter))
+            .select(F.col(lang_col).cast("string").alias("lang"), text.alias("whole"),
                     F.xxhash64(F.col(id_col).cast("string")).alias("h")))
+    place = F.pmod(F.xxhash64("h", F.lit("place")), F.greatest(F.lit(1), F.length("whole") - max_chars + 1)) + 1
+    rows = rows.withColumn("text", F.substring("whole", place.cast("int"), F.lit(max_chars)))
+    # a piece without a letter gives way to the one from the first letter on
+    rows = rows.withColumn("text", F.when(F.col("text").rlike(letter), F.col("text")).otherwise(
+        F.substring("whole", F.regexp_instr("whole", F.lit(letter)), F.lit(max_chars)))).drop("whole")
     order = Window.partitionBy("lang").orderBy("h", "text")
     few = rows.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= max_rows)
+    found = few.sort("lang", "rn").collect()  # at most max_rows * max_chars characters a language
+    room = min(fit_bytes, fit_total // max(1, len({r["lang"] for r in found})))
     held: dict[str, list[bytes]] = {}
-    for r in few.sort("lang", "rn").collect():  # at most max_rows * max_chars characters a language
-        got = held.setdefault(r["lang"], [])
-        if not got or sum(map(len, got)) + len(r["text"]) <= fit_chars:
-            got.append(normal(r["text"]))
+    for r in found:
+        got, part = held.setdefault(r["lang"], []), normal(r["text"])
+        if not got or sum(map(len, got)) + len(part) <= room:
+            got.append(part[:room])
     return {lang: Automaton(b" ".join(parts)) for lang, parts in sorted(held.items())}
 
 

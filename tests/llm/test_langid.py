@@ -13,27 +13,46 @@ def speak(lang, n, rng):
 
 
 def phrases(text: bytes, known: bytes) -> int:
-    """Greedy longest matches, lane by lane."""
-    total = 0
-    for at in range(0, len(text), langid.LANE):
-        part = text[at:at + langid.LANE]
-        i = 0
-        while i < len(part):
-            j = i + 1
-            while j <= len(part) and part[i:j] in known:
-                j += 1
-            i = max(i + 1, j - 1)
-            total += 1
+    """Greedy longest matches over the whole text."""
+    total = i = 0
+    while i < len(text):
+        j = i + 1
+        while j <= len(text) and text[i:j] in known:
+            j += 1
+        i = max(i + 1, j - 1)
+        total += 1
     return total
 
 
-def test_automaton_counts_phrases():
+def test_automaton_counts_phrases(monkeypatch):
     rng = random.Random(2)
     known = langid.normal(speak("aa", 60, rng) + " " + speak("bb", 20, rng))
     texts = [langid.normal(speak(k, rng.randint(1, 500), rng)) for k in ("aa", "bb", "cc") for _ in range(5)] + [b"", b"z"]
+    # phrases longer than a lane: the labelled text itself, whole and in parts
+    texts += [known, known[7:], known[3:300] * 3, b"z" * 40 + known[40:200]]
     auto = langid.Automaton(known)
-    got = langid.parse_all(texts, [auto])[:, 0].tolist()
-    assert got == [phrases(t, known) for t in texts]
+    want = [phrases(t, known) for t in texts]
+    for lane, lanes in ((1024, 4096), (16, 5), (1, 7), (3, 4096)):
+        monkeypatch.setattr(langid, "LANE", lane)
+        monkeypatch.setattr(langid, "LANES", lanes)
+        assert langid.parse_all(texts, [auto])[:, 0].tolist() == want
+
+
+def test_languages_of_long_texts_only_are_learned(spark):
+    rng = random.Random(6)
+    rows = [(i, speak(k, 900 if k == "aa" else 2000, rng), k) for i, k in enumerate(["aa", "bb"] * 8)]
+    rows += [(100, "1 " * 9000 + speak("cc", 3, rng) + " 2" * 9000, "cc")]
+    assert min(len(t) for _, t, k in rows if k != "aa") > langid.MAX_CHARS
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    automata = langid.fit(docs, F.lit(True))
+    assert list(automata) == ["aa", "bb", "cc"]
+    assert {r.doc_id: r.lang_pred for r in langid.identify(docs, automata).collect()} == {i: k for i, _, k in rows}
+
+
+def test_fit_is_bounded_over_all_languages(spark):
+    rows = [(i, "wort " * 300 + chr(97 + i) * 3, f"l{i:02d}") for i in range(20)]
+    automata = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), fit_total=2_000)
+    assert len(automata) == 20 and all(a.table.size / a.width <= 2 * 100 + 2 for a in automata.values())
 
 
 @pytest.fixture(scope="module")
