@@ -12,15 +12,22 @@ sequences that follow themselves, become repeated.  The pages of a host are
 reduced to their distinct structures first, those are aligned in salted
 groups, and the groups' wrappers once more, always in sorted order, so a
 host with a third of all pages is no large group and the result does not
-depend on the partitioning.  A text slot is template text if it holds the same
-words on all pages that have it and these are at least ``MIN_PAGES`` and
-``MIN_SHARE`` of the host's pages without a landmark; pages with the same words
-in all slots count once, so the pages counted differ elsewhere.
+depend on the partitioning.
 
-The main text of a page are the slots under its own article (or main)
-element, or all of the body where the page has none, without template text
-and without elements whose tag, class, id or role names a menu, header,
-footer, sidebar, notice, advert, form or comment.
+Every page is then aligned with its host's wrapper, which numbers its text
+slots; a page that does not begin as the wrapper does gives no text.  Over the host's distinct
+pages (equal pages count once) a slot of the wrapper is
+
+* template, if it holds the same words on all pages that have it, and these
+  are at least ``MIN_PAGES`` and ``MIN_SHARE`` of the host's pages;
+* a menu, if it lies in a repeated item or group and at least ``LINK_SHARE`` of
+  its characters are links;
+* content otherwise.
+
+The main text of a page are its content slots: under its own article (or
+main) element where it has one, where links may be content, or else in the
+body.  Elements whose tag, class, id or role names a menu, header, footer,
+sidebar, notice, advert, form or comment are left out as well.
 
 Edge cases: null and empty html give an empty text; a null url belongs to
 the empty host; unclosed and stray tags are tolerated; elements may be nested
@@ -49,6 +56,7 @@ SALTS = 32
 MAX_GROUP = 4                  # longest sequence that is folded as a repeated group
 MAX_BROADCAST_BYTES = 32 << 20  # wrappers beyond this size are joined over salted keys instead
 MIN_PAGES, MIN_SHARE = 3, 0.8  # distinct pages, and share of a host's, from which an unchanged text is template text
+LINK_SHARE = 0.8               # share of link characters from which a repeated slot is a menu
 
 OPTIONAL, REPEATED = 1, 2
 SLOT, GROUP = "#", "("
@@ -82,6 +90,16 @@ _KEPT_TAGS = frozenset(("article", "main", "body", "html"))
 LANDMARKS = ("article", "main")
 
 
+class Linked(str):
+    """A piece of text inside a link."""
+
+
+class Line(str):
+    """A line of text with the share of its characters that are links (``link``)."""
+
+    link = 0.0
+
+
 class Node:
     """An element: label, children (nodes or pieces of text)."""
 
@@ -108,6 +126,7 @@ def read(page: str) -> Node:
     root = Node("root")
     stack, tags = [root], ["root"]
     opened = Counter(tags)  # open elements by tag
+    linked = 0              # height of the stack where a link was opened
     near: list[int] = []    # places on the stack that end by themselves or fence
     passed: list[int] = []
     at, end = 0, len(page)
@@ -125,8 +144,9 @@ def read(page: str) -> Node:
         at = m.end()
         text = m[4]
         if text is not None:
-            children = stack[-1].children
-            children.append(text)
+            if linked > len(stack):
+                linked = 0
+            stack[-1].children.append(Linked(text) if linked else text)
             continue
         if m[2] is None:
             continue
@@ -134,7 +154,8 @@ def read(page: str) -> Node:
         if tag == "br":
             stack[-1].children.append("<br>")
         elif tag in INLINE:
-            continue
+            if tag == "a":
+                linked = 0 if m[1] else len(stack)
         elif m[1]:
             if opened[tag]:
                 k = len(tags) - 1
@@ -179,8 +200,10 @@ def blocks(children: list) -> Iterator[Node | str]:
             text.append(c)
             continue
         if text:
-            line = " ".join(entities.unescape("".join(text)).split())
+            line = Line(" ".join(entities.unescape("".join(text)).split()))
             if line:
+                if links := [t for t in text if type(t) is Linked and not t.isspace()]:
+                    line.link = min(1.0, len(" ".join(entities.unescape("".join(links)).split())) / len(line))
                 yield line
             text = []
         if isinstance(c, Node):
@@ -293,60 +316,58 @@ def landmark(root: Node) -> str | None:
     return next((t for t in LANDMARKS if t in found), None)
 
 
-class Extractor:
-    """A wrapper in use: finds the main slots of a page."""
+class Aligner:
+    """A wrapper in use: aligns a page with it and numbers the page's slots."""
+
+    def __init__(self, wrapper: str):
+        self.items = _numbered(json.loads(wrapper), False)
 
-    def __init__(self, wrapper: str, template: tuple[str, ...]):
-        self.items, self.template = json.loads(wrapper), frozenset(template)
+    def slots(self, page: str) -> Iterator[tuple[str, Line]]:
+        """(slot of the wrapper, text) of a page's main region, in page order.
 
-    def text(self, page: str) -> str:
+        A slot is named by the places of its items; the name ends in ``+`` below a repeated one and in ``@`` under
+        the page's landmark.  Children go to the next item of their label, or
+        to an earlier one where a repeated group begins again; below a known item a child that has none there
+        (two items of one label may differ inside) is named by its label.
+        """
         root = read(page)
         main = landmark(root)
-        out: list[str] = []
-        # open elements: children to come, the wrapper's items, place among them, path, inside the main text
-        open_ = [[blocks(root.children), list(flatten(self.items)), 0, "", main is None]]
+        # open elements: children to come, the wrapper's items, place among them, slot name, marks, inside the main text
+        open_ = [[blocks(root.children), self.items, 0, "", 0, main is None]]
         while open_:
-            children, flat, k, path, inside = open_[-1]
+            children, flat, k, path, marks, inside = open_[-1]
             c = next(children, None)
             if c is None:
                 open_.pop()
                 continue
             label = SLOT if isinstance(c, str) else c.label
-            # the wrapper's item for this child: here, or further on; a repeated group begins again
             at = next((x for x in (*range(k, len(flat)), *range(0, k)) if flat[x][0] == label), None)
-            open_[-1][2] = k if at is None else at
+            if at is not None:
+                open_[-1][2] = at
+                path, marks = f"{path}.{at}", marks | flat[at][1]
+            elif len(open_) == 1:
+                continue  # no page of this wrapper begins so
+            elif len(open_) <= MAX_DEPTH:
+                path = f"{path}.{label}"
             if isinstance(c, str):
-                if inside and f"{path}/{SLOT}" not in self.template:
-                    out.append(c)
+                if inside:
+                    yield path + ("+" if marks & REPEATED else "") + ("@" if main else ""), c
                 continue
             tag = label.split(".")[0]
             if dropped(label) or tag == "header" and not (main and inside):
                 continue
-            open_.append([blocks(c.children), list(flatten(flat[at][2])) if at is not None else [], 0,
-                          f"{path}/{label}" if len(open_) <= MAX_DEPTH else path, inside or tag == main])
-        return "\n".join(out)
+            open_.append([blocks(c.children), flat[at][2] if at is not None else [], 0, path, marks, inside or tag == main])
 
 
-def flatten(items: list) -> Iterator[list]:
-    for x in items:
-        if x[0] == GROUP:
-            yield from flatten(x[2])
+def _numbered(items: list, repeated: bool) -> list:
+    """The items of a wrapper in one row, groups opened: (label, flags, children)."""
+    out = []
+    for label, flags, children in items:
+        if label == GROUP:
+            out += [(x, f | flags | REPEATED, c) for x, f, c in _numbered(children, True)]
         else:
-            yield x
-
-
-def slots(root: Node) -> Iterator[tuple[str, str]]:
-    """(path, text) of the slots outside dropped elements."""
-    open_ = [(blocks(root.children), "")]
-    while open_:
-        children, path = open_[-1]
-        c = next(children, None)
-        if c is None:
-            open_.pop()
-        elif isinstance(c, str):
-            yield f"{path}/{SLOT}", c
-        elif not dropped(c.label):
-            open_.append((blocks(c.children), f"{path}/{c.label}" if len(open_) <= MAX_DEPTH else path))
+            out.append((label, flags, _numbered(children, False)))
+    return out
 
 
 def page_rows(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
@@ -356,45 +377,24 @@ def page_rows(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> Dat
 
 
 def structures(rows: DataFrame) -> DataFrame:
-    """``host``, ``structure`` and ``texts`` (slot path -> hash of its text; empty where the page has a landmark)."""
+    """``host`` and ``structure`` of every page."""
 
     def fn(rb: pa.RecordBatch) -> dict:
-        import xxhash
-        shapes, texts = [], []
-        for page in rb.column(1).to_pylist():
-            root = read(page)
-            shapes.append(json.dumps(structure(root), separators=(",", ":")))
-            by: dict[str, list[str]] = {}
-            if not landmark(root):
-                for path, text in slots(root):
-                    by.setdefault(path, []).append(text)
-            texts.append([(p, xxhash.xxh64_intdigest("\n".join(t)) >> 1) for p, t in by.items()])
-        return {"host": rb.column(2), "structure": shapes, "texts": texts}
+        shapes = [json.dumps(structure(read(page)), separators=(",", ":")) for page in rb.column(1).to_pylist()]
+        return {"host": rb.column(2), "structure": shapes}
 
-    return map_batches(rows, fn, "host string, structure string, texts map<string,long>")
+    return map_batches(rows, fn, "host string, structure string")
 
 
 def infer(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
           salts: int = SALTS) -> DataFrame:
-    """``host``, ``wrapper`` (serialised), ``template`` (slot paths that hold template text)."""
-    found = materialize(structures(page_rows(pages, id_col, url_col, html_col)), "page-structures")
-    distinct = found.select("host", "structure").distinct()
+    """``host`` and ``wrapper`` (serialised)."""
+    found = structures(page_rows(pages, id_col, url_col, html_col))
+    distinct = found.groupBy("host", "structure").agg(F.lit(1).alias("one"))
     partial = (distinct.groupBy("host", F.pmod(F.xxhash64("structure"), F.lit(salts)).alias("salt"))
                .agg(F.collect_list("structure").alias("structures")))
-    merged = _merge(_merge(partial, "structure").groupBy("host").agg(F.collect_list("structure").alias("structures")),
-                    "wrapper")
-    # equal pages are one page, however many copies there are
-    pages_of = (found.where(F.size("texts") > 0).withColumn("slots", F.array_sort(F.map_entries("texts")))
-                .select("host", "slots", F.sha2(F.to_json("slots"), 256).alias("page"))
-                .groupBy("host", "page").agg(F.min("slots").alias("slots")))
-    n_pages = pages_of.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    texts = (pages_of.select("host", F.explode("slots").alias("slot")).groupBy("host", F.col("slot.key").alias("path"))
-             .agg(F.count(F.lit(1)).alias("n"), F.min("slot.value").alias("lo"), F.max("slot.value").alias("hi"))
-             .where((F.col("n") >= MIN_PAGES) & (F.col("lo") == F.col("hi"))))
-    template = (texts.join(n_pages, "host").where(F.col("n") >= MIN_SHARE * F.col("pages"))
-                .groupBy("host").agg(F.array_sort(F.collect_list("path")).alias("template")))
-    return merged.join(template, "host", "left").withColumn(
-        "template", F.coalesce("template", F.expr("cast(array() as array<string>)")))
+    return _merge(_merge(partial, "structure").groupBy("host").agg(F.collect_list("structure").alias("structures")),
+                  "wrapper")
 
 
 def _merge(rows: DataFrame, name: str) -> DataFrame:
@@ -404,41 +404,82 @@ def _merge(rows: DataFrame, name: str) -> DataFrame:
     return map_batches(rows.select("host", F.lit("").alias("_text"), "structures"), fn, f"host string, {name} string")
 
 
-_EXTRACTORS: dict[tuple, Extractor] = {}
+_ALIGNERS: dict[str, Aligner] = {}
 
 
-def extractor(wrapper: str, template: tuple[str, ...]) -> Extractor:
-    key = (wrapper, template)
-    if key not in _EXTRACTORS:
-        if len(_EXTRACTORS) >= 2_000:
-            _EXTRACTORS.clear()
-        _EXTRACTORS[key] = Extractor(wrapper, template)
-    return _EXTRACTORS[key]
+def aligner(wrapper: str) -> Aligner:
+    if wrapper not in _ALIGNERS:
+        if len(_ALIGNERS) >= 2_000:
+            _ALIGNERS.clear()
+        _ALIGNERS[wrapper] = Aligner(wrapper)
+    return _ALIGNERS[wrapper]
 
 
-def extract(pages: DataFrame, wrappers: DataFrame, id_col: str = "page_id", url_col: str = "url",
+def _with_host(rows: DataFrame, table: DataFrame, size: int, salts: int) -> DataFrame:
+    """Rows joined with a table of one row per host: broadcast up to a measured size, over salted hosts beyond it."""
+    if size <= MAX_BROADCAST_BYTES:
+        return rows.join(F.broadcast(table), "_host", "left")
+    spread = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")).join(
+        spread, ["_host", "_salt"], "left").drop("_salt")
+
+
+def aligned(pages: DataFrame, wrappers: DataFrame, id_col: str = "page_id", url_col: str = "url",
             html_col: str = "html", salts: int = SALTS) -> DataFrame:
-    """One row per page: id, url, ``text`` (blocks joined by line ends), ``n_chars``."""
+    """Every page with its slots: ``_key, _url, _host, slots`` (array of ``slot, text``), ``page`` (a hash of them) and
+    ``parts`` (per slot a hash of its texts, their characters and those in links)."""
+    import xxhash
     rows = page_rows(pages, id_col, url_col, html_col)
-    wrappers = materialize(wrappers, "wrappers")
-    size = wrappers.agg(F.sum(F.length("wrapper") + 100 + F.length(F.array_join("template", ",")))).first()[0] or 0
-    keyed = wrappers.withColumnRenamed("host", "_host")
-    if size <= MAX_BROADCAST_BYTES:
-        joined = rows.join(F.broadcast(keyed), "_host", "left")
-    else:
-        spread = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        joined = rows.withColumn("_salt", F.pmod(F.xxhash64("_key", "_url", "_text"), F.lit(salts)).cast("int")).join(
-            spread, ["_host", "_salt"], "left")
+    wrappers = materialize(wrappers.select(F.col("host").alias("_host"), "wrapper"), "wrappers")
+    size = wrappers.agg(F.sum(F.length("wrapper") + 100)).first()[0] or 0
+    joined = _with_host(rows, wrappers, size, salts)
 
     def fn(rb: pa.RecordBatch) -> dict:
-        texts = [extractor(w or "[]", tuple(t or ())).text(page) if page else ""
-                 for page, w, t in zip(*(rb.column(i).to_pylist() for i in (1, 3, 4)))]
-        return {"_key": rb.column(0), "_url": rb.column(2), "text": texts, "n_chars": list(map(len, texts))}
+        out: dict[str, list] = {"slots": [], "page": [], "parts": []}
+        for page, w in zip(rb.column(1).to_pylist(), rb.column(4).to_pylist()):
+            found = list(aligner(w or "[]").slots(page)) if page else []
+            by: dict[str, list[Line]] = {}
+            for slot, line in found:
+                by.setdefault(slot, []).append(line)
+            out["slots"].append([(slot, str(line)) for slot, line in found])
+            out["page"].append(xxhash.xxh3_128_digest("\n".join(f"{slot} {line}" for slot, line in found).encode()))
+            out["parts"].append([(slot, xxhash.xxh64_intdigest("\n".join(t).encode()) >> 1, sum(map(len, t)),
+                                  sum(len(x) * x.link for x in t)) for slot, t in by.items()])
+        return {"_key": rb.column(0), "_url": rb.column(2), "_host": rb.column(3), **out}
 
     kind = pages.schema[id_col].dataType.simpleString()
-    return (map_batches(joined.select("_key", "_text", "_url", "wrapper", "template"), fn,
-                        f"_key {kind}, _url string, text string, n_chars long")
-            .withColumnsRenamed({"_key": id_col, "_url": url_col}))
+    return map_batches(joined.select("_key", "_text", "_url", "_host", "wrapper"), fn,
+                       f"_key {kind}, _url string, _host string, slots array<struct<slot:string,text:string>>, page binary, "
+                       "parts array<struct<slot:string,h:long,chars:long,links:double>>")
+
+
+def roles(found: DataFrame) -> DataFrame:
+    """``_host`` and ``drop``: the slots of the host's wrapper that are template or menus."""
+    # equal pages are one page, however many copies there are
+    distinct = found.where(F.size("parts") > 0).groupBy("_host", "page").agg(F.first("parts").alias("parts"))
+    slot = distinct.select("_host", F.inline("parts")).groupBy("_host", "slot").agg(
+        F.count(F.lit(1)).alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi"), F.sum("chars").alias("chars"),
+        F.sum("links").alias("links"))
+    n_pages = distinct.groupBy("_host").agg(F.count(F.lit(1)).alias("pages"))
+    template = ((F.col("lo") == F.col("hi")) & (F.col("n") >= MIN_PAGES) & (F.col("n") >= MIN_SHARE * F.col("pages")))
+    menu = (~F.col("slot").contains("@") & F.col("slot").contains("+")
+            & (F.col("links") >= LINK_SHARE * F.col("chars")))
+    return (slot.join(n_pages, "_host").where(template | menu)
+            .groupBy("_host").agg(F.array_sort(F.collect_list("slot")).alias("drop")))
+
+
+def extract(pages: DataFrame, wrappers: DataFrame, id_col: str = "page_id", url_col: str = "url",
+            html_col: str = "html", salts: int = SALTS) -> DataFrame:
+    """One row per page: id, url, ``text`` (blocks joined by line ends), ``n_chars``."""
+    found = materialize(aligned(pages, wrappers, id_col, url_col, html_col, salts), "page-slots")
+    drop = materialize(roles(found), "slot-roles")
+    size = drop.agg(F.sum(F.length(F.array_join("drop", ",")) + 100)).first()[0] or 0
+    none = F.expr("cast(array() as array<string>)")
+    joined = _with_host(found, drop, size, salts).withColumn("drop", F.coalesce("drop", none))
+    kept = F.filter("slots", lambda s: ~F.array_contains("drop", s["slot"]))
+    text = F.array_join(F.transform(kept, lambda s: s["text"]), "\n")
+    return joined.select(F.col("_key").alias(id_col), F.col("_url").alias(url_col), text.alias("text")).withColumn(
+        "n_chars", F.length("text").cast("long"))
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",

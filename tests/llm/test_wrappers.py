@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 
@@ -115,3 +116,46 @@ def test_copies_beside_other_pages_keep_their_text(spark):
     assert [got[10 + i].text for i in range(2)] == ["post 0", "post 1"]
     for i in range(9):  # the line on a third of the pages is no template
         assert got[20 + i].text == f"text {i}" + ("\nseries" if i < 3 else "")
+
+
+def _meaningless(i, kind="x"):
+    menu = "".join(f"<li><a href=/{j}>Part {j} of {i % 2}</a></li>" for j in range(2 + i % 3))
+    return (f"<html><body><div class=k1><div class=k2>Our site</div><ul class=k3>{menu}</ul></div><div class=k4><h2>Title {i}</h2>"
+            f"<p>Story {i} with <a href=/s>a link</a> inside.</p><p>More of {i}.</p></div><div class=k5>All rights {kind}</div></body></html>")
+
+
+def test_wrapper_decides_where_names_and_landmarks_say_nothing(spark):
+    pages = [(i, "http://plain.org/", _meaningless(i), None, None) for i in range(8)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string, text string, _host string")
+    got = {r.page_id: r.text for r in W.extract_main_text(df).collect()}
+    want = {i: f"Title {i}\nStory {i} with a link inside.\nMore of {i}." for i in range(8)}
+    assert got == want
+    true = W.infer(df)
+    assert {r.page_id: r.text for r in W.extract(df, true).collect()} == want
+    for other in ("[]", json.dumps([["no.such", 0, [["#", 0, []]]]])):
+        wrong = true.withColumn("wrapper", W.F.lit(other))
+        assert {r.text for r in W.extract(df, wrong).collect()} == {""}
+
+
+def test_template_text_inside_articles_goes_too(spark):
+    page = "<html><body><article><div>Read on in our app</div><p>Story {}</p><ul><li><a>source {}</a></ul></article></body></html>"
+    pages = [(i, "http://a.org/", page.format(i, i), None, None) for i in range(5)]
+    assert {r.page_id: r.text for r in extracted(spark, pages).values()} == {i: f"Story {i}\nsource {i}" for i in range(5)}
+
+
+def test_slots_align_with_a_plain_search():
+    """Every text of a page is a slot of its host's wrapper, and the same place has the same name on all pages."""
+    import random
+    rng = random.Random(3)
+
+    def body(depth=0):
+        tags = rng.choices(["p", "div", "section", "h2", "ul"], k=rng.randint(1, 4))
+        return "".join(f"<{t}>{body(depth + 1) if depth < 2 and rng.random() < 0.5 else rng.randrange(99)}</{t}>" for t in tags)
+
+    for _ in range(30):
+        pages = [f"<body>{body()}</body>" for _ in range(4)]
+        wrapper = W.merge_all([json.dumps(items(p)) for p in pages])
+        known = W.Aligner(wrapper)
+        for p in pages:
+            assert [str(t) for _, t in known.slots(p)] == [t for t in re.findall(r"\d+", re.sub(r"<[^>]*>", " ", p))]
+        assert len({s for s, _ in known.slots(pages[0])}) >= 1
