@@ -103,11 +103,13 @@ class Block:
         if any(p is None for p in held):
             return np.zeros(0, np.int64)
         order = sorted(range(len(terms)), key=lambda o: len(held[o]))
+        if slop:
+            return self._near(held, terms, order, slop)
         begin = held[order[0]].astype(np.int64) - order[0]
         for o in order[1:]:
             p = held[o]
-            i = np.searchsorted(p, begin + o - slop)
-            begin = begin[(i < len(p)) & (p[np.minimum(i, len(p) - 1)] <= begin + o + slop)]
+            i = np.searchsorted(p, begin + o)
+            begin = begin[(i < len(p)) & (p[np.minimum(i, len(p) - 1)] <= begin + o)]
             if not len(begin):
                 return begin
         begin = begin[begin >= 0]
@@ -115,6 +117,38 @@ class Block:
         return begin[begin + len(terms) <= self.ends[np.minimum(doc, len(self.ends) - 1)]]
 
 
+    def _near(self, held: list[np.ndarray], terms: list[int], order: list[int], slop: int) -> np.ndarray:
+        """As ``phrase``; a term may lie up to ``slop`` words from its place, in the same document, each on a word of
+        its own.  The rarest term lies at its place; the phrase's places lie in the document."""
+        rarest = order[0]
+        anchor = held[rarest].astype(np.int64)
+        doc = np.searchsorted(self.ends, anchor, "right")
+        low, high = self.starts[doc], self.ends[doc]
+        ok = (anchor - rarest >= low) & (anchor - rarest + len(terms) <= high)
+        anchor, low, high = anchor[ok], low[ok], high[ok]
+        begin = anchor - rarest
+        done: set[int] = set()
+        for first in order:  # terms from the rarest on; the places of one term from left to right
+            if terms[first] in done:
+                continue
+            done.add(terms[first])
+            p = held[first].astype(np.int64)
+            padded = np.append(p, [np.iinfo(np.int64).max] * 2)
+            before = np.full(len(begin), -1, np.int64)
+            ok = np.ones(len(begin), bool)
+            for o in (o for o in range(len(terms)) if terms[o] == terms[first] and o != rarest):
+                i = np.searchsorted(p, np.maximum(np.maximum(begin + o - slop, low), before + 1))
+                if terms[rarest] == terms[first]:
+                    i += padded[i] == anchor
+                before = padded[i]
+                ok &= before <= np.minimum(begin + o + slop, high - 1)
+                before = np.where(ok, before, -1)
+            begin, anchor, low, high = begin[ok], anchor[ok], low[ok], high[ok]
+            if not len(begin):
+                break
+        return begin
+
+
 def runs(begin: np.ndarray, size: np.ndarray) -> list[tuple[int, int]]:
     """Union of the intervals [begin, begin + size) as sorted disjoint intervals."""
     out: list[tuple[int, int]] = []

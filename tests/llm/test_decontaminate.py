@@ -1,5 +1,7 @@
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,3 +87,44 @@ def test_empty_tables(spark, docs, no_docs):
     assert D.decontaminate(no_docs, none).count() == 0
     rows = D.decontaminate(docs, none).collect()
     assert len(rows) == docs.count() and not any(r.contaminated or r.n_hit for r in rows)
+
+
+def test_proximity_stays_in_the_document_and_on_words_of_their_own():
+    import random
+    rng = random.Random(7)
+    for _ in range(300):
+        texts = [[rng.choice("abcd") for _ in range(rng.randint(0, 9))] for _ in range(4)]
+        phrase, slop = [rng.choice("abcd") for _ in range(rng.randint(1, 4))], rng.randint(1, 2)
+        flat = [w for t in texts for w in t]
+        terms = sorted(set(flat))
+        postings = [[i for i, w in enumerate(flat) if w == t] for t in terms]
+        block = D.Block([len(t) for t in texts], " ".join(terms).encode(), D.pack(np.array([len(p) for p in postings], np.int32)),
+                        D.pack(np.array([i for p in postings for i in p], np.int32)))
+        numbers = {w: i for i, w in enumerate(dict.fromkeys(phrase))}
+        lists = block.lists(pa.array([w.encode() for w in numbers], pa.binary()))
+        got = block.phrase(lists, [numbers[w] for w in phrase], slop).tolist()
+        if any(w not in terms for w in phrase):
+            assert got == []
+            continue
+        # the rarest term is chosen over the block
+        rarest = min(range(len(phrase)), key=lambda o: (flat.count(phrase[o]), o))
+        want, start = [], 0
+        for t in texts:
+            marked = _near_from(t, phrase, slop, rarest)
+            want += [start + b for b in marked]
+            start += len(t)
+        assert got == want
+
+
+def _near_from(words, phrase, slop, rarest):
+    from itertools import product
+    out = []
+    for at in [i for i, w in enumerate(words) if w == phrase[rarest]]:
+        begin = at - rarest
+        if begin < 0 or begin + len(phrase) > len(words):
+            continue
+        choices = [[at] if o == rarest else [i for i in range(max(0, begin + o - slop), min(len(words), begin + o + slop + 1))
+                                             if words[i] == w] for o, w in enumerate(phrase)]
+        if any(len(set(c)) == len(phrase) for c in product(*choices)):
+            out.append(begin)
+    return out
