@@ -1,7 +1,8 @@
 """Cluster annotation and metagene analysis (A-06..A-08, A-13, W-10, S-08..S-10).
 
 Votes and lists group by cluster after partial aggregation; the per-cluster
-winner tables have one row per cluster and are broadcast back.  Gene-set
+winner tables have one row per cluster and are broadcast back if their measured
+size allows it.  Gene-set
 scores follow the published control-gene recipe (genes binned by mean
 expression, controls drawn from the same bins) with md5 order in place of
 a seeded shuffle.
@@ -13,6 +14,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellframe.functions.columns import cosine, hash_order, non_finite_to_zero
+from cellframe.functions.ranking import checked_broadcast
+
+SIDE_ROWS = 1_000_000  # rows of a per-cluster or member table that may be broadcast (its bytes are measured too)
 
 
 def majority_vote(df: DataFrame, cluster: str, label: str, pos: str, out: str = "annotation") -> DataFrame:
@@ -21,7 +25,7 @@ def majority_vote(df: DataFrame, cluster: str, label: str, pos: str, out: str =
     w = Window.partitionBy(cluster).orderBy(F.desc("_n"), F.asc("_first"))
     win = (cnt.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1)
            .select(cluster, F.col(label).alias(out)))
-    return df.join(F.broadcast(win), cluster).select(pos, cluster, out)
+    return df.join(checked_broadcast(win, SIDE_ROWS), cluster).select(pos, cluster, out)
 
 
 def metagene_lists(df: DataFrame, cluster: str, gene: str, order: str) -> DataFrame:
@@ -45,7 +49,7 @@ def cluster_top_genes(emb: DataFrame, n: int, cluster: str = "cluster", gene: st
                       vec: str = "vec") -> DataFrame:
     """Per cluster, its ``n`` genes closest (cosine) to the cluster centroid, joined by ', '."""
     cen = cluster_centroids(emb, cluster, vec)
-    s = emb.join(F.broadcast(cen), cluster).withColumn("_sim", cosine(F.col(vec), F.col("centroid")))
+    s = emb.join(checked_broadcast(cen, SIDE_ROWS), cluster).withColumn("_sim", cosine(F.col(vec), F.col("centroid")))
     w = Window.partitionBy(cluster).orderBy(F.desc("_sim"), F.desc(gene))
     top = s.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n)
     return top.groupBy(cluster).agg(F.array_join(F.transform(
@@ -97,7 +101,7 @@ def score_gene_sets(expr: DataFrame, cells: DataFrame, sets: DataFrame, n_bins:
                           "set-members")
     sizes = members.groupBy("set").agg(F.count_if(F.col("side") == 1).alias("_m1"),
                                        F.count_if(F.col("side") == 0).alias("_m0"))
-    sums = (expr.join(F.broadcast(members), "gene")
+    sums = (expr.join(checked_broadcast(members, SIDE_ROWS), "gene")
             .groupBy("set", "cell").agg(F.sum(F.when(F.col("side") == 1, F.col("value"))).alias("_s1"),
                                         F.sum(F.when(F.col("side") == 0, F.col("value"))).alias("_s0")))
     grid = cells.select("cell", F.explode(F.array(*[F.lit(x) for x in set_ids])

@@ -92,11 +92,25 @@ def assemble(chosen: DataFrame, seq_length: int, pad_id: int = PAD_TOKEN_ID,
     )
 
 
+def of_cell(left: DataFrame, right: DataFrame, cell: str = "cell", sample: str | None = None, how: str = "left") -> DataFrame:
+    """Join on the cell, and on the sample where it tells cells apart.
+
+    The sample is compared as a range, not as a join key: a layout on the
+    cell then serves the join, so expression rows that were shuffled on the
+    cell for their view are not shuffled again on (sample, cell).
+    """
+    if not sample:
+        return left.join(right, cell, how)
+    r = right.withColumnsRenamed({cell: "_cell", sample: "_sample"})
+    same = (F.col(cell) == F.col("_cell")) & (F.col(sample) >= F.col("_sample")) & (F.col(sample) <= F.col("_sample"))
+    return left.join(r, same, how).drop("_cell", "_sample")
+
+
 def attach_to_cells(cells: DataFrame, seqs: DataFrame, seq_length: int,
                     pad_id: int = PAD_TOKEN_ID, pad_value: float = PAD_VALUE,
                     cell: str = "cell", sample: str | None = None) -> DataFrame:
     """Left join cells to sequences; a cell with no expressed gene gets an all-pad row."""
-    j = cells.join(seqs, [*([sample] if sample else []), cell], "left")
+    j = of_cell(cells, seqs, cell, sample)
     return (j.withColumn("n_genes", F.coalesce(F.col("n_genes"), F.lit(0).cast("long")))
             .withColumn("gene_ids", F.coalesce(F.col("gene_ids"),
                                                F.array_repeat(F.lit(pad_id), seq_length)))
@@ -123,7 +137,7 @@ def build_tokens(expr_binned: DataFrame, cells: DataFrame, gene_vocab: DataFrame
     a cell is one row of one sample file.
     """
     from cellframe.operators.vocab import encode_genes
-    e = expressed(expr_binned, value).join(cells.select("sample", "cell"), ["sample", "cell"], "left_semi")
+    e = of_cell(expressed(expr_binned, value), cells.select("sample", "cell"), "cell", "sample", "left_semi")
     e = encode_genes(e, gene_vocab, "gene", "gene_id", p.pad_id)
     chosen = sample_genes(e.withColumn("val", F.col(value).cast("double")),
                           p.seq_length, p.sample_size, p.seed, sample="sample")

@@ -55,11 +55,10 @@ def encode_genes(df: DataFrame, vocab: DataFrame, gene: str = "gene",
 def encode_labels(df: DataFrame, vocab: DataFrame, col: str, out: str) -> DataFrame:
     """name -> id; unknown names give null.
 
-    Used on cell tables (one row per cell, not per expression value): no
-    hint is forced, AQE turns the join into a broadcast once the vocabulary
-    stage is materialised and measured below the broadcast threshold.
+    Label vocabularies are broadcast after their size is measured, so the
+    cell table is not shuffled on a handful of hot names.
     """
-    v = vocab.select(F.col("name").alias("_name"), F.col("id").alias(out))
+    v = checked_broadcast(vocab.select(F.col("name").alias("_name"), F.col("id").alias(out)), VOCAB_BROADCAST_MAX_ROWS)
     return df.join(v, df[col] == v["_name"], "left").drop("_name")
 
 
