@@ -34,6 +34,22 @@ def q_stream_encode(spark, sf):
     return spark.read.parquet(sink)
 
 
+@query("stream_running_range", with_views(
+    "SELECT sample, cell, gene, value, bin FROM binned", _ctes(RANGE_SQL, BINNED_SQL)))
+def q_stream_running_range(spark, sf):
+    """Rows arrive in three steps (small values first, so ranges keep changing); the stream is stopped and started
+    between them, and the samples that changed are binned again.  At the end it is the batch result."""
+    src, table, ck = (scratch_path(spark, n) for n in ("run-src", "run-table", "run-ck"))
+    e = materialize(T.expr(spark, sf), "expression")
+    step = F.when(F.col("value") < 20, 0).when(F.col("value") < 45, 1).otherwise(2)
+    for i in range(3):
+        e.where(step == i).write.mode("append").parquet(src)
+        jobs.running_range_stream(spark, src, "sample string, cell long, gene long, value double", table, ck,
+                                  salts=4, state_partitions=4)
+        jobs.rebin(spark, table)
+    return spark.read.parquet(f"{table}/binned").select("sample", "cell", "gene", "value", "bin")
+
+
 # ---------------------------------------------------------------- ST-02 ---
 @query("tumbling_counts", with_views(WINDOW_SQL))
 def q_tumbling_counts(spark, sf):

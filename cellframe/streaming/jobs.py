@@ -3,6 +3,8 @@
 * ``encode_stream``: newly arriving sample files are binned against a
   fixed range table and gene-encoded (stream-static broadcast joins; the
   same column expressions as the batch path).
+* ``running_range_stream`` and ``rebin``: the range of every sample is kept as state while its rows arrive;
+  samples whose range has changed or that have new rows are binned again from the rows stored so far.
 * ``window_counts_stream``: count and mean per tumbling event-time window
   with a watermark; update mode into an upsert sink (each micro-batch
   writes its changed windows tagged with the batch id; readers keep the
@@ -57,6 +59,97 @@ def encode_stream(spark: SparkSession, source: str, schema: str, ranges: DataFra
     q.awaitTermination()
 
 
+_RANGE = "sample string, salt int, min_pos double, max_val double"
+
+
+def running_range_stream(spark: SparkSession, source: str, schema: str, table: str, checkpoint: str, salts: int = 8,
+                         max_files: int | None = None, state_partitions: int | None = None) -> None:
+    """Take in expression rows (sample, cell, gene, value) until the input is drained.
+
+    The least positive and the greatest value of each sample are state, in
+    ``salts`` parts a sample so that a hot sample is not one task; a part
+    that changes is written to ``table/ranges`` (a folder per batch, written
+    again by a replay).  The rows go to ``table/rows`` by sample.  Null and NaN
+    values are no part of a range.
+    """
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    from cellframe.session import ship_package
+    ship_package(spark)
+
+    def stream() -> DataFrame:
+        reader = spark.readStream.schema(schema)
+        s = (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).parquet(source)
+        return s.select(F.col("sample").cast("string").alias("sample"), "cell", "gene",
+                        F.col("value").cast("double").alias("value"))
+
+    def run(group, batches, state):
+        import numpy as np
+        import pandas as pd
+        lo, hi = old = state.get if state.exists else (float("inf"), float("-inf"))
+        for pdf in batches:
+            v = pdf["value"].to_numpy(dtype=float, na_value=float("nan"))
+            v = v[~np.isnan(v)]
+            lo, hi = min(lo, v[v > 0].min(initial=float("inf"))), max(hi, v.max(initial=float("-inf")))
+        if not state.exists or (lo, hi) != old:
+            state.update((float(lo), float(hi)))
+            yield pd.DataFrame({"sample": [group[0]], "salt": [group[1]], "min_pos": [lo if lo < float("inf") else None],
+                                "max_val": [hi if hi > float("-inf") else None]})
+
+    salted = stream().withColumn("salt", F.pmod(F.xxhash64("cell", "gene"), F.lit(salts)).cast("int"))
+    ranges = salted.select("sample", "salt", "value").groupBy("sample", "salt").applyInPandasWithState(
+        run, _RANGE, "lo double, hi double", "update", GroupStateTimeout.NoTimeout)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{table}/ranges/batch_id={batch_id}")
+
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    if state_partitions:
+        spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
+    try:
+        queries = [ranges.writeStream.outputMode("update").foreachBatch(write)
+                   .option("checkpointLocation", f"{checkpoint}/ranges").trigger(availableNow=True).start(),
+                   stream().writeStream.format("parquet").partitionBy("sample").outputMode("append")
+                   .option("checkpointLocation", f"{checkpoint}/rows").trigger(availableNow=True).start(f"{table}/rows")]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    for q in queries:
+        q.awaitTermination()
+
+
+def running_ranges(spark: SparkSession, table: str) -> DataFrame:
+    """(sample, min_pos, max_val) of the rows taken in so far."""
+    return (spark.read.schema(_RANGE).parquet(f"{table}/ranges").groupBy("sample")
+            .agg(F.min("min_pos").alias("min_pos"), F.max("max_val").alias("max_val")))
+
+
+def rebin(spark: SparkSession, table: str, n_edges: int = BIN_EDGES) -> list[str]:
+    """Bin the samples again whose range or number of rows differs from what ``table/binned`` was made with; returns
+    them (one name per sample).  Cut off before its last step, it does the same work again."""
+    from cellframe.session import materialize
+    rows = spark.read.parquet(f"{table}/rows").withColumn("sample", F.col("sample").cast("string"))
+    now = materialize(running_ranges(spark, table).join(rows.groupBy("sample").agg(F.count(F.lit(1)).alias("n")), "sample"),
+                      "ranges")
+    try:
+        used = spark.read.parquet(f"{table}/used")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise  # nothing has been binned yet
+        used = now.limit(0)
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("min_pos", "max_val", "n")]
+    changed = now.join(used.select("sample", *[F.col(c).alias(f"_{c}") for c in ("min_pos", "max_val", "n")]), "sample",
+                       "left").where(~(same[0] & same[1] & same[2])).select("sample", "min_pos", "max_val")
+    names = sorted(r.sample for r in changed.select("sample").collect())
+    if names:
+        # one row per sample
+        (rows.join(F.broadcast(changed), "sample")
+         .withColumn("bin", bin_value(F.col("value"), F.col("min_pos"), F.col("max_val"), n_edges))
+         .select("cell", "gene", "value", "bin", "sample")
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sample").parquet(f"{table}/binned"))
+        now.write.mode("overwrite").parquet(f"{table}/used")
+    return names
+
+
 def window_counts(df: DataFrame, ts: str = "ts", value: str = "value", width: str = "1 hour") -> DataFrame:
     """Batch twin: count and mean per tumbling window."""
     return (df.groupBy(F.window(ts, width).alias("w"))

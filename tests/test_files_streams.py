@@ -86,3 +86,29 @@ def test_replayed_vocabulary_batches_change_nothing(spark, tmp_path):
     # a batch that was cut off before its ledger line does not count
     spark.createDataFrame([("x", 5)], "name string, id int").write.parquet(f"{table}/names/batch_id=9")
     assert state() == want
+
+
+def test_running_range_bins_only_what_changed(spark, tmp_path):
+    from cellframe.operators.binning import bin_expression
+    src, table, ck = (str(tmp_path / n) for n in ("src", "table", "ck"))
+    schema = "sample string, cell long, gene long, value double"
+    steps = [
+        [("a", 1, 1, 2.0), ("a", 1, 2, 9.0), ("b", 5, 1, 1.0), ("b", 5, 2, float("nan"))],
+        [("a", 2, 1, 5.0), ("c", 8, 1, None)],            # a: new rows, the same range
+        [("b", 6, 1, 50.0), ("b", 6, 2, 0.25)],           # b: a wider range, the first rows change their bins
+        [],
+    ]
+    seen, changed = [], []
+    for rows in steps:
+        seen += rows
+        if rows:
+            spark.createDataFrame(rows, schema).write.mode("append").parquet(src)
+        jobs.running_range_stream(spark, src, schema, table, ck, salts=2, state_partitions=2)
+        changed.append(jobs.rebin(spark, table))
+        want = bin_expression(spark.createDataFrame(seen, schema))
+        got = spark.read.parquet(f"{table}/binned")
+        cols = ["sample", "cell", "gene", "bin"]
+        assert sorted(map(str, got.select(cols).collect())) == sorted(map(str, want.select(cols).collect()))
+    assert changed == [["a", "b"], ["a", "c"], ["b"], []]
+    assert {r.sample: (r.min_pos, r.max_val) for r in jobs.running_ranges(spark, table).collect()} == {
+        "a": (2.0, 9.0), "b": (0.25, 50.0), "c": (None, None)}
