@@ -24,7 +24,7 @@ Other columns are carried only if named in ``keep``.
 from __future__ import annotations
 
 import re
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +35,7 @@ from cellframe.llm.common import carried, map_batches, named, row_schema, text_r
 
 SHARPNESS, SEED = 1.0, 0
 BATCH_BYTES = 2_500_000  # text whose words are one lattice job
+KNOWN_BYTES = 3_000_000  # words whose lattices a worker may keep for its next batches (about 120 MB)
 
 
 class Lattices:
@@ -64,6 +65,7 @@ class Lattices:
         self.size_of = np.array([len(b) for b in self.bytes_of], np.int32)
         self.log_weight = np.log(np.where(self.weight > 0, self.weight, 1.0))
         self.byte_id = np.array(self.byte_id, np.int32)
+        self.known = Known()
         self.singles = {p for p in (b.decode() for b, w in zip(self.bytes_of[first:], self.weight[first:]) if w)
                         if len(p) == 1}
 
@@ -111,6 +113,39 @@ class Lattices:
         return out
 
 
+class Known:
+    """Lattices of words met so far, one after another: ``ladder`` rises over all their edges (the end of an edge
+    plus its share), ``first`` and ``last`` are the edges into each node."""
+
+    def __init__(self):
+        self.number: dict[bytes, int] = {}
+        self.base = np.zeros(0, np.int64)
+        self.size = np.zeros(0, np.int64)
+        self.ladder, self.pieces = np.zeros(0), np.zeros(0, np.int32)
+        self.first, self.last, self.bytes = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+
+    def add(self, words: list[bytes], lattices: Lattices) -> None:
+        joined = b"\xff".join(words)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        base = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
+        end, pieces = lattices.edges(joined)
+        ladder = end + lattices.shares(end, pieces, base)
+        last = np.searchsorted(end, np.arange(len(joined) + 1), "right") - 1
+        first = np.concatenate([[0], last[:-1] + 1])
+        edges = len(self.pieces)
+        if not edges:  # nothing to join: no copies
+            self.base, self.size, self.ladder, self.pieces, self.first, self.last = base, size, ladder, pieces, first, last
+            self.bytes = len(joined) + 1
+            return
+        self.base = np.concatenate([self.base, base + self.bytes])
+        self.size = np.concatenate([self.size, size])
+        self.ladder = np.concatenate([self.ladder, ladder + self.bytes])
+        self.pieces = np.concatenate([self.pieces, pieces])
+        self.first = np.concatenate([self.first, first + edges])
+        self.last = np.concatenate([self.last, last + edges])
+        self.bytes += len(joined) + 1
+
+
 def uniform(stream: np.ndarray, place: np.ndarray) -> np.ndarray:
     """Numbers in [0, 1) that depend on the stream and the place alone (a 64-bit mixer over a counter)."""
     z = stream + (place.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
@@ -133,9 +168,17 @@ def words_of(text: bytes) -> list[bytes]:
     return out + [spaces] if spaces else out
 
 
-def sample(texts: list[bytes], streams: np.ndarray, lattices: Lattices) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all texts after one another, number of ids of each text)."""
-    number: dict[bytes, int] = {}
+def sample(texts: list[bytes], streams: np.ndarray, lattices: Lattices,
+           known_bytes: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts after one another, number of ids of each text).
+
+    Lattices of at most ``known_bytes`` of words are kept for the next call; before a call that finds more they are
+    all let go.
+    """
+    known = lattices.known if known_bytes else Known()
+    if known.bytes > known_bytes:
+        known = lattices.known = Known()
+    number, before = known.number, len(known.number)
     word_at, owner, begin = [], [], []
     for d, t in enumerate(texts):
         if t:
@@ -146,32 +189,34 @@ def sample(texts: list[bytes], streams: np.ndarray, lattices: Lattices) -> tuple
     if not word_at:
         return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
     word, owner, begin = np.array(word_at), np.concatenate(owner), np.concatenate(begin)
-    joined = b"\xff".join(number)
-    size = np.fromiter(map(len, number), np.int64, len(number))
-    base = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
-    end, pieces = lattices.edges(joined)
-    ladder = end + lattices.shares(end, pieces, base)  # rises over all nodes
-    last = np.searchsorted(end, np.arange(len(joined) + 1), "right") - 1
-    first = np.concatenate([[0], last[:-1] + 1])
+    if len(number) > before:
+        known.add(list(islice(number, before, None)), lattices)
+    base, size, ladder, pieces, first, last = (known.base, known.size, known.ladder, known.pieces, known.first, known.last)
     steps = lattices.size_of[pieces]
+    # occurrences of a word lie side by side, so that the searches below go through the ladder in order
+    order = np.argsort(word, kind="stable")
+    word, owner_of, begin = word[order], owner[order], begin[order]
     at, active = size[word].copy(), np.arange(len(word))
     drawn, who = [], []
     while len(active):
         place = at[active]
         node = base[word[active]] + place
-        u = uniform(streams[owner[active]], begin[active] + place)
+        u = uniform(streams[owner_of[active]], begin[active] + place)
         edge = np.clip(np.searchsorted(ladder, node + u, "right"), first[node], last[node])
         drawn.append(pieces[edge].astype(np.int32))
         who.append(active)
         at[active] = place - steps[edge]
         active = active[at[active] > 0]
-    n = np.zeros(len(word), np.int64)
+    drawn_of = np.zeros(len(word), np.int64)
     for w in who:
-        n[w] += 1
+        drawn_of[w] += 1
+    n = np.empty_like(drawn_of)
+    n[order] = drawn_of
     stop = np.cumsum(n)
+    last_id = stop[order] - 1
     ids = np.empty(int(stop[-1]), np.int32)
     for step, (w, p) in enumerate(zip(who, drawn)):
-        ids[stop[w] - 1 - step] = p
+        ids[last_id[w] - step] = p
     return ids, np.bincount(owner, n, len(texts)).astype(np.int64)
 
 
@@ -191,16 +236,16 @@ def decode(ids, lattices: Lattices) -> bytes:
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED,
-           sharpness: float = SHARPNESS, keep: tuple[str, ...] = ()) -> DataFrame:
+           sharpness: float = SHARPNESS, keep: tuple[str, ...] = (), known_bytes: int = 0) -> DataFrame:
     """One row per document: id, ``ids`` (the sampled pieces), ``n_pieces``, ``lossless`` (the ids decode to the
-    text, checked in the task), and the columns in ``keep``."""
+    text, checked in the task), and the columns in ``keep``.  ``known_bytes`` trades a worker's memory for time."""
 
     def fn(rb: pa.RecordBatch) -> dict:
         import xxhash
         lattices = lattices_of(path, sharpness)
         texts = rb.column(1).cast(pa.binary()).to_pylist()
         streams = np.array([xxhash.xxh64_intdigest(str(k), seed) for k in rb.column(0).to_pylist()], np.uint64)
-        ids, n = sample([t or b"" for t in texts], streams, lattices)
+        ids, n = sample([t or b"" for t in texts], streams, lattices, known_bytes)
         stop = np.cumsum(n)
         lossless = [decode(ids[e - k:e].tolist(), lattices) == (t or b"") for t, e, k in zip(texts, stop, n)]
         offsets = pa.array(np.concatenate([[0], stop]).astype(np.int32), pa.int32(),

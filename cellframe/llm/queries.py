@@ -83,7 +83,8 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_lattice_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model")).select(
+    return pieces.encode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"),
+                         known_bytes=pieces.KNOWN_BYTES).select(
         "doc_id", "n_pieces", "lossless", "ids")
 
 

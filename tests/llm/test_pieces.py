@@ -31,6 +31,17 @@ def test_lossless_and_independent_of_batches(docs, texts, no_docs, lattices):
     assert S.encode(no_docs, PATH).count() == 0
 
 
+def test_kept_lattices_change_nothing(texts):
+    batch = [(t or "").encode() for t in texts if len(t or "") < 20_000]
+    streams = np.arange(len(batch)).astype(np.uint64) * np.uint64(7919)
+    fresh, kept = (S.Lattices(PATH, S.SHARPNESS) for _ in range(2))
+    parts = [slice(0, 9), slice(9, 20), slice(3, 40), slice(0, len(batch))]
+    for known in (1 << 30, 300):
+        for part in parts:
+            one, two = (S.sample(batch[part], streams[part], x, k) for x, k in ((fresh, 0), (kept, known)))
+            assert one[0].tolist() == two[0].tolist() and one[1].tolist() == two[1].tolist()
+
+
 def test_the_librarys_decoder_agrees(lattices):
     import sentencepiece
     library = sentencepiece.SentencePieceProcessor(model_file=PATH)
