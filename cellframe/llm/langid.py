@@ -40,7 +40,7 @@ from cellframe.llm.common import carried, map_batches, named, row_schema, text_r
 
 MAX_ROWS, MAX_CHARS, FIT_BYTES, FIT_TOTAL = 64, 8_000, 40_000, 1_000_000
 LANE = 1024
-LANES = 4096
+LANES = 2048
 LETTER = re.compile(r"[^\W\d_]")
 _KEEP = bytes(c if 97 <= c <= 122 or c >= 0x80 else 32 for c in range(256))
 
@@ -80,7 +80,7 @@ class Automaton:
                         p = link[p]
             last = cur
         seen = sorted(set(text))
-        self.symbol = np.zeros(256, np.int32)
+        self.symbol = np.zeros(256, np.int16)
         self.symbol[seen] = np.arange(1, len(seen) + 1)
         self.width = len(seen) + 1
         table = np.zeros((len(step), self.width), np.int32)
@@ -149,7 +149,17 @@ class Automaton:
 
 
 def parse_all(texts: list[bytes], automata: list[Automaton]) -> np.ndarray:
-    """Phrases per text (rows) and language (columns)."""
+    """Phrases per text (rows) and language (columns), for whole texts of about ``LANES`` lanes at a time."""
+    n_lanes = np.cumsum([0, *(max(1, -(-len(t) // LANE)) for t in texts)])
+    out, lo = [np.zeros((0, len(automata)), np.int64)], 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(n_lanes, n_lanes[lo] + LANES, "right")) - 1)
+        out.append(_parse(texts[lo:hi], automata))
+        lo = hi
+    return np.concatenate(out)
+
+
+def _parse(texts: list[bytes], automata: list[Automaton]) -> np.ndarray:
     out = np.zeros((len(texts), len(automata)), np.int64)
     n_lanes = np.array([-(-len(t) // LANE) for t in texts], np.int64)
     owner = np.repeat(np.arange(len(texts)), n_lanes)
