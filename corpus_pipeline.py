@@ -39,7 +39,12 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier predicts to be of quality."""
+    """Documents that the classifier predicts to be of quality.
+
+    Null and empty texts are scored like any other (they have no words); whole texts of any length are scored; equal
+    rows get equal scores and stay or go together; without labels of quality all score 0.5 and stay; no documents
+    give no rows.
+    """
     ensure_checkpoint_dir(spark)
     learn = F.coalesce(crc_fold("doc_id", 3) != 1, F.lit(False))
     net = pu_quality.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"), learn)
@@ -47,7 +52,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known (not ``und``)."""
+    """Documents whose language is known (not ``und``).
+
+    Null and empty texts and texts without a letter have none and go, and so do all where no row has a language; whole
+    texts are parsed; ties go to the language whose name sorts first; repeated rows are judged alike.
+    """
     ensure_checkpoint_dir(spark)
     learn = F.coalesce(crc_fold("doc_id", 4) != 2, F.lit(False))
     automata = langid.fit(docs, learn)
@@ -55,7 +64,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints: the one with the smallest id (one row of it)."""
+    """One document of each group of linked fingerprints: the one with the smallest id (one row of it).
+
+    Null, empty and blank texts have fingerprint 0 and are one group; whole texts are hashed; of repeated rows and of
+    rows with equal ids the one with the least text hash stays; a null id is the smallest; no rows give none.
+    """
     rows, h = _keyed(docs)
     found = materialize(simhash.simhash_dedup(rows.select("doc_id", "text", h), keep=(h,)), "near-duplicates")
     stays = (found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -74,7 +87,11 @@ def _match(rows: DataFrame, ids: DataFrame, h: str, how: str) -> DataFrame:
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated with benchmark items."""
+    """Documents that are not contaminated with benchmark items.
+
+    Null and empty texts have no words and stay; whole texts are searched; rows are judged by id and text, so repeated
+    rows stay or go together; without items or documents nothing goes.
+    """
     rows, h = _keyed(docs)
     judged = decontaminate.decontaminate(rows.select(F.struct("doc_id", h).alias("id"), "text"),
                                          table(spark, sf_dir, "benchmark"), id_col="id")
@@ -83,7 +100,11 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def sampled_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with sampled segmentations that decode to their texts."""
+    """All documents with sampled segmentations that decode to their texts.
+
+    A null text has null pieces, an empty one none; whole texts are segmented; rows with equal id and text get equal
+    pieces; no rows give none.
+    """
     out = pieces.encode(docs, tokenizer_file("piece_bpe_32k.model"), keep=("text",))
     return out.select("doc_id", "text", "ids", "n_pieces", "lossless")
 

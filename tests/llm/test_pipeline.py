@@ -64,3 +64,14 @@ def test_repeated_ids_with_other_texts(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in out) == [
         (False, 0, "one two three four five"), (False, 1, "quite another text of words"), (False, 2, ""),
         (True, 0, "no id here at all")]
+
+
+def test_stages_on_empty_tables(spark, no_docs, tmp_path):
+    d = str(tmp_path)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    for _, stage in pipeline.STAGES:
+        assert stage(spark, no_docs, d).count() == 0
+    # no labels, no items: what is there stays
+    one = spark.createDataFrame([(1, "a few plain words", "en", "s", 1)], no_docs.schema)
+    assert [stage(spark, one, d).count() for _, stage in pipeline.STAGES] == [1, 1, 1, 1, 1]
