@@ -29,7 +29,6 @@ and ``copies`` are read, so others cannot clash.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -44,7 +43,6 @@ KEEP, REROLE, DELETE, INSERT, TRUNCATED = 0, 3, 4, 3, 3
 FORCED = 8
 CHUNK_ROWS = 4_096
 CHUNK_BYTES = 1 << 18
-_WORD = re.compile(r"[^\x20\x09-\x0D]")
 _CLASS = {"s": 0, "u": 1, "a": 2}
 _LEGAL = {"su", "ua", "au"}
 _FAR = 1 << 50
