@@ -114,9 +114,9 @@ def chunk_plan(df: DataFrame, key: str, seed: int, chunk_rows: int) -> DataFrame
             .drop("_k"))
 
 
-def write_chunks(df: DataFrame, path: str, compression: str = "zstd") -> None:
-    """Write split chunks as parquet partitioned by split and chunk."""
-    (df.repartition("split", "chunk").write.mode("overwrite").option("compression", compression)
+def write_chunks(df: DataFrame, path: str, compression: str = "zstd", tasks: int | None = None) -> None:
+    """Write split chunks as parquet partitioned by split and chunk, in ``tasks`` tasks (default: as the session has)."""
+    (df.repartition(*([tasks] if tasks else []), "split", "chunk").write.mode("overwrite").option("compression", compression)
      .partitionBy("split", "chunk").parquet(path))
 
 

@@ -129,16 +129,17 @@ def explode_sequences(seqs: DataFrame, keep: list[str]) -> DataFrame:
 
 # ----------------------------------------------------------- composition --
 def build_tokens(expr_binned: DataFrame, cells: DataFrame, gene_vocab: DataFrame,
-                 p: Params, value: str = "bin") -> DataFrame:
+                 p: Params, value: str = "bin", tasks: int | None = None) -> DataFrame:
     """Binned long expression + cell table -> one padded sequence row per cell.
 
     ``cells`` must already be filtered (denylist) and carry the label ids to
     keep; ``gene_vocab`` is ``(name, id)``.  Both tables carry ``sample``:
-    a cell is one row of one sample file.
+    a cell is one row of one sample file.  ``tasks`` is the number of tasks
+    for shuffles of single genes, where the vocabulary is too large to send.
     """
     from cellframe.operators.vocab import encode_genes
     e = of_cell(expressed(expr_binned, value), cells.select("sample", "cell"), "cell", "sample", "left_semi")
-    e = encode_genes(e, gene_vocab, "gene", "gene_id", p.pad_id)
+    e = encode_genes(e, gene_vocab, "gene", "gene_id", p.pad_id, tasks)
     chosen = sample_genes(e.withColumn("val", F.col(value).cast("double")),
                           p.seq_length, p.sample_size, p.seed, sample="sample")
     seqs = assemble(chosen, p.seq_length, p.pad_id, p.pad_value, sample="sample")

@@ -43,12 +43,21 @@ def _vocab_side(vocab: DataFrame, key: str, val: str) -> DataFrame:
 
 
 def encode_genes(df: DataFrame, vocab: DataFrame, gene: str = "gene",
-                 out: str = "gene_id", pad_id: int = PAD_TOKEN_ID) -> DataFrame:
-    """gene -> id; genes missing from the vocabulary get the pad id."""
+                 out: str = "gene_id", pad_id: int = PAD_TOKEN_ID, tasks: int | None = None,
+                 layout: str = "cell") -> DataFrame:
+    """gene -> id; genes missing from the vocabulary get the pad id.
+
+    A vocabulary beyond the broadcast's bound is joined in ``tasks`` tasks,
+    and the rows go back to as many by ``layout`` for what follows per cell.
+    """
     v = vocab.select(F.col("name").alias("_g"), F.col("id").alias("_id"))
-    v = checked_broadcast(v, VOCAB_BROADCAST_MAX_ROWS)
-    return (df.join(v, df[gene] == v["_g"], "left")
-            .withColumn(out, F.coalesce(F.col("_id"), F.lit(pad_id)).cast("int"))
+    side = checked_broadcast(v, VOCAB_BROADCAST_MAX_ROWS)
+    if side is v and tasks:
+        joined = df.repartition(tasks, gene).join(v.repartition(tasks, "_g"), F.col(gene) == F.col("_g"), "left")
+        joined = joined.repartition(tasks, layout)
+    else:
+        joined = df.join(side, df[gene] == side["_g"], "left")
+    return (joined.withColumn(out, F.coalesce(F.col("_id"), F.lit(pad_id)).cast("int"))
             .drop("_g", "_id"))
 
 

@@ -85,7 +85,7 @@ def q_batch_lookup(spark, sf):
     "FROM v_expr e LEFT JOIN v_gene_vocab g ON e.gene = g.gene"))
 def q_gene_encode(spark, sf):
     gv = T.gene_vocab(spark, sf).select(F.col("gene").alias("name"), "id")
-    return vocab.encode_genes(T.expr(spark, sf).select("cell", "gene"), gv)
+    return vocab.encode_genes(T.expr(spark, sf).select("cell", "gene"), gv, tasks=T.expr_tasks(spark, sf))
 
 
 # ---------------------------------------------------------------- W-03 ----
@@ -116,7 +116,7 @@ def _encoded_expressed(spark, sf, cells=None):
     if cells is not None:
         e = e.join(cells.select("cell"), "cell", "left_semi")
     gv = T.gene_vocab(spark, sf).select(F.col("gene").alias("name"), "id")
-    return vocab.encode_genes(e, gv).withColumn("val", F.col("bin").cast("double"))
+    return vocab.encode_genes(e, gv, tasks=T.expr_tasks(spark, sf)).withColumn("val", F.col("bin").cast("double"))
 
 
 # ---------------------------------------------------------- A-05 / S-11 ---
@@ -177,5 +177,6 @@ def annotate_tokens(spark, sf, p: Params = P):
     cells = vocab.encode_labels(cells, T.label_vocab(spark, sf), "celltype", "label_id")
     binned = binning.bin_expression(T.expr(spark, sf))
     gv = T.gene_vocab(spark, sf).select(F.col("gene").alias("name"), "id")
-    seqs = tokens.build_tokens(binned, cells.select("sample", "cell", "batch_id", "label_id"), gv, p)
+    seqs = tokens.build_tokens(binned, cells.select("sample", "cell", "batch_id", "label_id"), gv, p,
+                               tasks=T.expr_tasks(spark, sf))
     return seqs.select("sample", "cell", "batch_id", "label_id", "n_genes", "gene_ids", "vals")

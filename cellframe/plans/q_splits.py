@@ -284,7 +284,7 @@ def q_build_dataset(spark, sf):
     from cellframe.plans.q_build import annotate_tokens
     path = scratch_path(spark, "dataset")
     plan = chunked(spark, sf).select("cell", "split", "chunk")
-    splits.write_chunks(annotate_tokens(spark, sf).join(plan, "cell"), path)
+    splits.write_chunks(annotate_tokens(spark, sf).join(plan, "cell"), path, tasks=T.expr_tasks(spark, sf))
     parts = []
     for split in ("train", "valid", "test"):
         last = spark.read.parquet(path).where(F.col("split") == split).agg(F.max("chunk")).first()[0]
