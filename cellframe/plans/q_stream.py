@@ -24,13 +24,16 @@ WINDOW_SQL = (
     "FROM binned b LEFT JOIN v_gene_vocab g ON g.gene = b.gene WHERE b.bin <> 0",
     _ctes(RANGE_SQL, BINNED_SQL)))
 def q_stream_encode(spark, sf):
-    """Sample files arrive one per trigger; each is binned and encoded as it arrives."""
+    """Samples arrive about one per trigger, in as many files as they were written in; they are binned and encoded
+    as they arrive.  So the vocabulary is sent once a sample, however many files there are."""
     src, sink, ck = (scratch_path(spark, n) for n in ("enc-src", "enc-sink", "enc-ck"))
     e = T.expr(spark, sf)
     e.write.mode("overwrite").partitionBy("sample").parquet(src)
-    ranges = binning.sample_range(e)
+    ranges = materialize(binning.sample_range(e), "ranges")
     gv = T.gene_vocab(spark, sf).select(F.col("gene").alias("name"), "id")
-    jobs.encode_stream(spark, src, "cell long, gene long, value double, sample string", ranges, gv, sink, ck)
+    schema = "cell long, gene long, value double, sample string"
+    files = len(spark.read.schema(schema).option("basePath", src).parquet(src).inputFiles())
+    jobs.encode_stream(spark, src, schema, ranges, gv, sink, ck, max_files=max(1, -(-files // max(1, ranges.count()))))
     return spark.read.parquet(sink)
 
 

@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from cellframe import session
 from cellframe.operators import vocab
@@ -50,3 +51,18 @@ def test_large_vocabulary_is_joined_in_as_many_tasks(spark, expression, monkeypa
     large = QUERIES["gene_encode"](spark, expression)
     assert shuffles(large).count(36) > few.count(36)
     assert sorted(large.collect()) == want
+
+
+def test_triggers_do_not_follow_the_files(spark, expression, monkeypatch):
+    """Two samples in many files are two triggers, so the vocabulary is sent twice."""
+    from cellframe.streaming import jobs
+    seen, run = {}, jobs.encode_stream
+
+    def watched(spark, source, *a, **kw):
+        seen.update(files=len(spark.read.parquet(source).inputFiles()), each=kw["max_files"])
+        return run(spark, source, *a, **kw)
+
+    monkeypatch.setattr(jobs, "encode_stream", watched)
+    got = QUERIES["stream_encode"](spark, expression)
+    assert got.count() == tables.expr(spark, expression).where(F.col("value") > 0).count()
+    assert seen["files"] > 4 and -(-seen["files"] // seen["each"]) == 2
