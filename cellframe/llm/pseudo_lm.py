@@ -51,7 +51,7 @@ BUCKETS = 512
 WINDOW, WIDTH = 3, 16
 ROUNDS, MASK = 2, 24
 BATCH, RATE = 1024, 0.05
-COUNT_CHARS = 12_000_000  # text counted at a time
+COUNT_CHARS = 12_000_000  # text counted or scored at a time; a rare word is sent once for each
 OFFSETS = tuple(k for k in range(-WINDOW, WINDOW + 1) if k)
 SHARDS = 16               # pieces of the weights in the averaging
 LETTERS = len(set(WORD_BYTES) - {32}) + 1  # bytes a word can have, and its end
@@ -89,13 +89,18 @@ class Model:
         ids = pc.index_in(coded.dictionary, value_set=pa.array(self.words, pa.binary())).to_numpy(zero_copy_only=False)
         ids = np.where(np.isnan(ids), -1, ids).astype(np.int32) if ids.dtype.kind == "f" else ids.astype(np.int32)
         rare = np.flatnonzero(ids < 0)
-        ids[rare] = [SYMBOLS - BUCKETS + bucket(w) for w in coded.dictionary.take(pa.array(rare)).to_pylist()]
+        ids[rare] = SYMBOLS - BUCKETS + buckets(coded.dictionary.take(pa.array(rare)))
         return ids[coded.indices.to_numpy(zero_copy_only=False)]
 
 
 def bucket(word: bytes) -> int:
-    import xxhash
-    return xxhash.xxh64_intdigest(word) % BUCKETS
+    return int(buckets(pa.array([word], pa.binary()))[0])
+
+
+def buckets(words: pa.Array) -> np.ndarray:
+    """The bucket of each word, by its hash."""
+    from xxhash import xxh64_intdigest  # once a batch, not once a word
+    return (np.fromiter(map(xxh64_intdigest, words.to_pylist()), np.uint64, len(words)) % BUCKETS).astype(np.int64)
 
 
 def initial(words: list[bytes], counts: list[int], total: int, seed: int = 11) -> Model:
@@ -124,11 +129,17 @@ def lay_out(texts: list[bytes | None], model: Model) -> tuple[np.ndarray, np.nda
     return line, places, owner, words
 
 
-def hidden(model: Model, line: np.ndarray, at: np.ndarray) -> np.ndarray:
-    h = np.repeat(model.hidden_bias[None], len(at), 0)
-    for k, off in enumerate(OFFSETS):
-        h += model.embed[k].take(line[at + off], 0)
-    return np.tanh(h)
+def neighbours(line: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The row of the embeddings of (distance, symbol), for each distance and place."""
+    return np.stack([line.take(at + off) + k * (SYMBOLS + 1) for k, off in enumerate(OFFSETS)])
+
+
+def hidden(model: Model, rows: np.ndarray) -> np.ndarray:
+    h = np.repeat(model.hidden_bias[None], rows.shape[1], 0)
+    embed = model.embed.reshape(-1, WIDTH)
+    for near in rows:
+        h += embed.take(near, 0)
+    return np.tanh(h, out=h)
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -167,7 +178,7 @@ def log_probs(model: Model, line: np.ndarray, at: np.ndarray) -> np.ndarray:
     for lo in range(0, len(at), 4096):
         a = at[lo:lo + 4096]
         order = np.argsort(line[a] // CLASSES, kind="stable")
-        s, h = line[a[order]], hidden(model, line, a[order])
+        s, h = line[a[order]], hidden(model, neighbours(line, a[order]))
         lp = picked(h @ model.class_w + model.class_b, s // CLASSES)
         lp += picked(word_logits(model, h, class_cuts(s // CLASSES)), s % CLASSES)
         out[lo + order] = lp
@@ -185,8 +196,8 @@ class Trainer:
     def step(self, line: np.ndarray, at: np.ndarray) -> None:
         m, n = self.model, len(at)
         at = at[np.argsort(line[at] // CLASSES, kind="stable")]
-        h, s = hidden(m, line, at), line[at]
-        classes, each = s // CLASSES, np.arange(n)
+        s, rows = line[at], neighbours(line, at)
+        h, classes, each = hidden(m, rows), s // CLASSES, np.arange(n)
         dz = softmax(h @ m.class_w + m.class_b)
         dz[each, classes] -= 1
         dh = dz @ m.class_w.T
@@ -194,25 +205,27 @@ class Trainer:
         d = softmax(word_logits(m, h, cuts))
         d[each, s % CLASSES] -= 1
         grad_word, grad_word_b = np.zeros_like(m.word_w), np.zeros_like(m.word_b)
+        through = np.empty_like(dh)
         for c, lo, hi in cuts:
             np.matmul(h[lo:hi].T, d[lo:hi], out=grad_word[c])
-            dh[lo:hi] += d[lo:hi] @ m.word_w[c].T
+            np.matmul(d[lo:hi], m.word_w[c].T, out=through[lo:hi])
+        dh += through
         present = [c for c, _, _ in cuts]
         grad_word_b[present] = np.add.reduceat(d, [lo for _, lo, _ in cuts])
         dh *= 1 - h ** 2
-        self._embed(line, at, dh)
+        self._embed(rows.ravel(), dh)
         for i, g in ((1, dh.sum(0)), (2, h.T @ dz), (3, dz.sum(0)), (4, grad_word), (5, grad_word_b)):
             g /= n
             self.sums[i] += g * g
-            w, size = m.weights()[i], np.sqrt(self.sums[i])
             g *= self.rate
-            g /= size
+            g /= np.sqrt(self.sums[i])
+            w = m.weights()[i]
             w -= g
         self.seen += n
 
-    def _embed(self, line: np.ndarray, at: np.ndarray, grad: np.ndarray) -> None:
+    def _embed(self, rows: np.ndarray, grad: np.ndarray) -> None:
         """The embeddings' step: the gradients of one (distance, symbol) are added up first."""
-        n, rows = len(at), np.concatenate([line[at + off] + k * (SYMBOLS + 1) for k, off in enumerate(OFFSETS)])
+        n = len(grad)
         order = np.argsort(rows.astype(np.uint16), kind="stable")
         rows = rows[order]
         begins = np.diff(rows, prepend=-1) != 0
@@ -269,8 +282,8 @@ def bucket_counts(counts: DataFrame, words: list[bytes]) -> np.ndarray:
 
     def fn(rb: pa.RecordBatch) -> dict:
         rare = rb.filter(pc.invert(pc.is_in(rb.column(1), value_set=shared.value)))
-        by = np.array([bucket(w) for w in rare.column(1).to_pylist()], np.int64)
-        return {"bucket": np.arange(BUCKETS), "n": np.bincount(by, rare.column(0).to_numpy(), BUCKETS).astype(np.int64)}
+        n = np.bincount(buckets(rare.column(1)), rare.column(0).to_numpy(), BUCKETS).astype(np.int64)
+        return {"bucket": np.arange(BUCKETS), "n": n}
 
     out = np.zeros(BUCKETS)
     for r in map_batches(counts.select("n", "word"), fn, "bucket int, n long").groupBy("bucket").sum("n").collect():
@@ -358,7 +371,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     numbered = text_rows(docs, id_col, text_col).withColumn("_row", F.monotonically_increasing_id())
     # written once, so that a row's number is the same on both sides of the join
     found = materialize(map_batches(numbered, fn, f"_row long, _key {kind}, n_tokens long, log_prob double, "
-                                    "word binary, rows array<long>, times array<long>"), "scored")
+                                    "word binary, rows array<long>, times array<long>", max_chars=COUNT_CHARS), "scored")
     counts = spark.read.parquet(model.counts) if model.counts else spark.createDataFrame([], "word binary, n long")
     unseen = -(F.length("word") + 1) * float(np.log(LETTERS))
     shares = (found.where("word is not null").join(counts, "word", "left")

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 
 from cellframe.llm import decontaminate
 from cellframe.llm import pseudo_lm as M
@@ -122,3 +123,29 @@ def test_rounds_together_mask_every_token_once(spark, monkeypatch, rounds, mask)
     assert len(turns) == n and np.isin(turns, range(rounds)).all()
     for i in set(owner.tolist()):  # the place in the document decides, whatever lies beside it
         assert (M.turns(np.zeros((owner == i).sum(), int), rounds, mask) == turns[owner == i]).all()
+
+
+def test_buckets_of_a_batch_are_those_of_its_words():
+    """One call for all words of a batch, with the hash as it was."""
+    words = [b"r0", b"", "ñandú".encode(), b"r0", b"x" * 300]
+    got = M.buckets(pa.array(words, pa.binary()))
+    assert got.tolist() == [xxhash.xxh64_intdigest(w) % M.BUCKETS for w in words] == [M.bucket(w) for w in words]
+    assert M.buckets(pa.array([], pa.binary())).tolist() == []
+
+
+def test_rare_word_is_sent_once_for_many_documents(spark, monkeypatch):
+    """Texts of more than a batch of training share one row for a word outside the vocabulary."""
+    from cellframe.llm import common
+    assert M.COUNT_CHARS > common.BATCH_CHARS
+    sent, made = {}, M.map_batches
+
+    def watched(df, fn, schema, **kw):
+        if "log_prob" in schema:
+            sent.update(kw)
+        return made(df, fn, schema, **kw)
+
+    monkeypatch.setattr(M, "map_batches", watched)
+    docs = spark.createDataFrame([(i, "zq one two") for i in range(40)], "doc_id long, text string")
+    model = M.initial([b"one", b"two"], [40, 40], 120)
+    assert {r.n_tokens for r in M.score(docs, model).collect()} == {3}
+    assert sent["max_chars"] == M.COUNT_CHARS
