@@ -91,7 +91,7 @@ def rank_against_vector(emb: DataFrame, vector: list[float], key: str = "gene",
 
 def pool_cells(tokens: DataFrame, emb: DataFrame, gene_id: str = "gene_id", key: str = "gene",
                vec: str = "vec", pad_id: int = 0, max_broadcast_values: int = 8_000_000,
-               mode: str = "mean", weight: str = "val", pos: str = "pos") -> DataFrame:
+               mode: str = "mean", weight: str = "val", pos: str = "pos", tasks: int | None = None) -> DataFrame:
     """A-14: one vector per cell from its tokens' gene vectors.
 
     ``mode``: 'mean' (then unit length), 'weighted' (sum of weight x vector,
@@ -99,7 +99,9 @@ def pool_cells(tokens: DataFrame, emb: DataFrame, gene_id: str = "gene_id", key:
     Pad / unknown ids are dropped first.  Vectors are summed as vectors,
     with partial sums before the shuffle; no row per (token, dimension).  The gene-vector table is
     broadcast only when rows x width is under ``max_broadcast_values``;
-    otherwise it is a shuffle join (hot genes are split by AQE skew join).
+    otherwise it is a shuffle join, in ``tasks`` tasks where they are given
+    (for tables of tokens that grow), as is the sum by cell that follows;
+    without ``tasks`` hot genes are split by AQE skew join.
     """
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
@@ -108,12 +110,18 @@ def pool_cells(tokens: DataFrame, emb: DataFrame, gene_id: str = "gene_id", key:
     if mode not in ("mean", "weighted", "first"):
         raise ValueError(f"unknown pooling {mode!r}: use 'mean', 'weighted' or 'first'")
     width = emb.select(F.size(vec).alias("w")).agg(F.max("w")).first()[0] or 1
-    ev = checked_broadcast(emb.select(F.col(key).alias(gene_id), F.col(vec).alias("_v")),
-                           max(1, max_broadcast_values // width))
+    v = emb.select(F.col(key).alias(gene_id), F.col(vec).alias("_v"))
+    ev = checked_broadcast(v, max(1, max_broadcast_values // width))
     t = tokens.filter(F.col(gene_id) != pad_id)
     if mode == "first":
-        return t.filter(F.col(pos) == 1).join(ev, gene_id).select("cell", F.col("_v").alias("cell_vec"))
-    t = t.join(ev, gene_id).withColumn("_v", array_to_vector("_v"))
+        t = t.filter(F.col(pos) == 1)
+    shuffled = ev is v and tasks
+    if shuffled:
+        t, ev = t.repartition(tasks, gene_id), v.repartition(tasks, gene_id)
+    t = t.join(ev, gene_id)
+    if mode == "first":
+        return t.select("cell", F.col("_v").alias("cell_vec"))
+    t = (t.repartition(tasks, "cell") if shuffled else t).withColumn("_v", array_to_vector("_v"))
     # the weighted mean has the direction of the weighted sum
     mean = Summarizer.mean(F.col("_v"), F.col(weight).cast("double")) if mode == "weighted" else Summarizer.mean(F.col("_v"))
     m = t.groupBy("cell").agg(vector_to_array(mean).alias("mean_vec"))

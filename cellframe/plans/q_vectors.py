@@ -178,7 +178,7 @@ def q_emb_average(spark, sf):
 def q_cell_pool(spark, sf):
     """Cells' sampled tokens pooled over gene embeddings (mean, then unit length)."""
     chosen = tokens.sample_genes(_encoded_expressed(spark, sf), P.seq_length, P.sample_size, P.seed)
-    pooled = vectors.pool_cells(chosen.select("cell", "gene_id"), T.emb(spark, sf))
+    pooled = vectors.pool_cells(chosen.select("cell", "gene_id"), T.emb(spark, sf), tasks=T.expr_tasks(spark, sf))
     ex = vectors.exploded(pooled, ["cell"], "cell_vec")
     return ex.select("cell", "k", _r6(F.col("x")).alias("x"))
 
@@ -204,7 +204,8 @@ def q_cell_pool_first(spark, sf):
 
 def _pooled(spark, sf, mode):
     chosen = tokens.sample_genes(_encoded_expressed(spark, sf), P.seq_length, P.sample_size, P.seed)
-    pooled = vectors.pool_cells(chosen.select("cell", "gene_id", "val", "pos"), T.emb(spark, sf), mode=mode)
+    pooled = vectors.pool_cells(chosen.select("cell", "gene_id", "val", "pos"), T.emb(spark, sf), mode=mode,
+                                tasks=T.expr_tasks(spark, sf))
     return vectors.exploded(pooled, ["cell"], "cell_vec").select("cell", "k", _r6(F.col("x")).alias("x"))
 
 
