@@ -32,6 +32,7 @@ of the input are not carried.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -54,6 +55,8 @@ BATCH, RATE = 1024, 0.05
 COUNT_CHARS = 12_000_000  # text counted or scored at a time; a rare word is sent once for each
 OFFSETS = tuple(k for k in range(-WINDOW, WINDOW + 1) if k)
 SHARDS = 16               # pieces of the weights in the averaging
+MANY = 6                  # gradients of one embedding that are added one by one
+SAFE = 80                 # exponentials of up to 64 such logits are neither infinite nor zero
 LETTERS = len(set(WORD_BYTES) - {32}) + 1  # bytes a word can have, and its end
 
 
@@ -85,12 +88,11 @@ class Model:
         return Model(self.words, *out, self.bucket_n, self.counts)
 
     def symbols(self, words: pa.Array) -> np.ndarray:
-        coded = words.dictionary_encode()
-        ids = pc.index_in(coded.dictionary, value_set=pa.array(self.words, pa.binary())).to_numpy(zero_copy_only=False)
-        ids = np.where(np.isnan(ids), -1, ids).astype(np.int32) if ids.dtype.kind == "f" else ids.astype(np.int32)
-        rare = np.flatnonzero(ids < 0)
-        ids[rare] = SYMBOLS - BUCKETS + buckets(coded.dictionary.take(pa.array(rare)))
-        return ids[coded.indices.to_numpy(zero_copy_only=False)]
+        found = pc.index_in(words, value_set=pa.array(self.words, pa.binary()))
+        ids = found.fill_null(-1).to_numpy().astype(np.int32)
+        rare = words.filter(found.is_null()).dictionary_encode()
+        ids[ids < 0] = SYMBOLS - BUCKETS + buckets(rare.dictionary).take(rare.indices.to_numpy())
+        return ids
 
 
 def bucket(word: bytes) -> int:
@@ -100,7 +102,8 @@ def bucket(word: bytes) -> int:
 def buckets(words: pa.Array) -> np.ndarray:
     """The bucket of each word, by its hash."""
     from xxhash import xxh64_intdigest  # once a batch, not once a word
-    return (np.fromiter(map(xxh64_intdigest, words.to_pylist()), np.uint64, len(words)) % BUCKETS).astype(np.int64)
+    each = words.to_numpy(zero_copy_only=False).tolist()
+    return (np.fromiter(map(xxh64_intdigest, each), np.uint64, len(words)) % BUCKETS).astype(np.int64)
 
 
 def initial(words: list[bytes], counts: list[int], total: int, seed: int = 11) -> Model:
@@ -131,115 +134,169 @@ def lay_out(texts: list[bytes | None], model: Model) -> tuple[np.ndarray, np.nda
 
 def neighbours(line: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The row of the embeddings of (distance, symbol), for each distance and place."""
-    return np.stack([line.take(at + off) + k * (SYMBOLS + 1) for k, off in enumerate(OFFSETS)])
+    near = line.take(at + np.array(OFFSETS)[:, None])
+    near += np.arange(len(OFFSETS), dtype=near.dtype)[:, None] * (SYMBOLS + 1)
+    return near
 
 
 def hidden(model: Model, rows: np.ndarray) -> np.ndarray:
     h = np.repeat(model.hidden_bias[None], rows.shape[1], 0)
-    embed = model.embed.reshape(-1, WIDTH)
-    for near in rows:
-        h += embed.take(near, 0)
+    for near in model.embed.reshape(-1, WIDTH).take(rows, 0):
+        h += near
     return np.tanh(h, out=h)
 
 
-def softmax(z: np.ndarray) -> np.ndarray:
-    """Softmax of each row, in place."""
-    z -= z.max(1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
+def shifted(z: np.ndarray, axis: int) -> np.ndarray:
+    """The logits, lowered in place by their largest along the axis where an exponential could overflow or all vanish."""
+    if not (z.max() < SAFE and z.min() > -SAFE):
+        z -= z.max(axis, keepdims=True)
+    return z
+
+
+def softmax(z: np.ndarray, weight: float = 1.0) -> np.ndarray:
+    """Softmax of each row times the weight, in place."""
+    np.exp(shifted(z, 1), out=z)
+    z *= (weight / (z @ np.ones(z.shape[1], z.dtype)))[:, None]
     return z
 
 
 def picked(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The log-softmax of each row at its place in ``at``; changes ``z``."""
-    z -= z.max(1, keepdims=True)
-    out = z[np.arange(len(z)), at]
-    return out - np.log(np.exp(z, out=z).sum(1))
+    """The log-softmax of each column at its place in ``at``; changes ``z``."""
+    out = shifted(z, 0)[at, np.arange(len(at))]
+    return out - np.log(np.exp(z, out=z).sum(0))
 
 
-def class_cuts(classes: np.ndarray) -> list[tuple[int, int, int]]:
-    """(class, begin, end) of each class in a sorted array."""
-    cuts = np.searchsorted(classes, np.arange(CLASSES + 1)).tolist()
-    return [(c, cuts[c], cuts[c + 1]) for c in range(CLASSES) if cuts[c] < cuts[c + 1]]
+def by_class(line: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The places sorted by the class of their symbols (stable)."""
+    return np.argsort((line.take(at) // CLASSES).astype(np.uint8), kind="stable")
 
 
-def word_logits(model: Model, h: np.ndarray, cuts: list[tuple[int, int, int]]) -> np.ndarray:
-    """The logits inside the class, of rows sorted by class."""
-    z = np.empty((len(h), CLASSES), np.float32)
-    for c, lo, hi in cuts:
-        np.matmul(h[lo:hi], model.word_w[c], out=z[lo:hi])
-        z[lo:hi] += model.word_b[c]
-    return z
+def class_cuts(classes: np.ndarray) -> list[tuple[int, int, int]]:
+    """(class, begin, end) of each class in a sorted array."""
+    end = np.cumsum(np.bincount(classes, minlength=CLASSES)).tolist()
+    return [(c, lo, hi) for c, (lo, hi) in enumerate(zip([0, *end], end)) if lo < hi]
 
 
 def log_probs(model: Model, line: np.ndarray, at: np.ndarray) -> np.ndarray:
     """log p(token | tokens on both sides) of the tokens at the places ``at``."""
     out = np.empty(len(at))
-    for lo in range(0, len(at), 4096):
-        a = at[lo:lo + 4096]
-        order = np.argsort(line[a] // CLASSES, kind="stable")
-        s, h = line[a[order]], hidden(model, neighbours(line, a[order]))
-        lp = picked(h @ model.class_w + model.class_b, s // CLASSES)
-        lp += picked(word_logits(model, h, class_cuts(s // CLASSES)), s % CLASSES)
-        out[lo + order] = lp
+    order = by_class(line, at)  # all of them at once: a block then has few classes
+    room = np.empty(CLASSES * BATCH, np.float32)  # of logits, a column for each token
+    for lo in range(0, len(at), BATCH):
+        own = order[lo:lo + BATCH]
+        a = at.take(own)
+        s, z = line.take(a), room[:CLASSES * len(a)].reshape(CLASSES, -1)
+        h, classes = hidden(model, neighbours(line, a)), s // CLASSES
+        np.matmul(model.class_w.T, h.T, out=z)
+        z += model.class_b[:, None]
+        lp = picked(z, classes)
+        for c, i, j in class_cuts(classes):
+            np.matmul(model.word_w[c].T, h[i:j].T, out=z[:, i:j])
+            z[:, i:j] += model.word_b[c][:, None]
+        lp += picked(z, s % CLASSES)
+        out[own] = lp
     return out
 
 
 class Trainer:
-    """Adagrad over mini-batches of masked positions, on a copy of the weights."""
+    """Adagrad over mini-batches of masked positions, on a copy of the weights.
+
+    All weights but the embeddings are views of one array, as are their gradients.  The biases of a
+    layer are the last row of its matrix, whose input has a column of ones.
+    """
 
     def __init__(self, model: Model, rate: float = RATE):
         self.model, self.rate = model.load(model.flat()), rate
-        self.sums = [np.full(w.shape, 1e-8, np.float32) for w in self.model.weights()]
+        m = self.model
+        shapes = [(WIDTH,), (WIDTH + 1, CLASSES), (CLASSES, WIDTH + 1, CLASSES)]
+        self.dense = np.concatenate([m.hidden_bias, m.class_w.ravel(), m.class_b, np.concatenate(
+            [m.word_w, m.word_b[:, None]], 1).ravel()])
+        m.hidden_bias, self.classes, words = views(self.dense, shapes)
+        m.class_w, m.class_b = self.classes[:WIDTH], self.classes[WIDTH]
+        m.word_w, m.word_b = words[:, :WIDTH], words[:, WIDTH]
+        self.grad, self.square = np.zeros_like(self.dense), np.empty_like(self.dense)
+        self.grad_hidden, self.grad_classes, self.grad_words = views(self.grad, shapes)
+        self.embed_sums, self.sums = np.full_like(m.embed, 1e-8), np.full_like(self.dense, 1e-8)
+        self.each = [*zip(words, m.word_w.transpose(0, 2, 1), self.grad_words)]  # of a class
+        self.room = np.empty((2, 0, CLASSES), np.float32)
         self.seen = 0
 
     def step(self, line: np.ndarray, at: np.ndarray) -> None:
         m, n = self.model, len(at)
-        at = at[np.argsort(line[at] // CLASSES, kind="stable")]
-        s, rows = line[at], neighbours(line, at)
-        h, classes, each = hidden(m, rows), s // CLASSES, np.arange(n)
-        dz = softmax(h @ m.class_w + m.class_b)
-        dz[each, classes] -= 1
+        if n > self.room.shape[1]:  # logits keep their memory from step to step
+            self.room, self.ones = np.empty((2, n, CLASSES), np.float32), np.ones((n, WIDTH + 1), np.float32)
+        dz, d = self.room[:, :n]
+        at = at.take(by_class(line, at))
+        s, rows, each = line.take(at), neighbours(line, at), np.arange(n)
+        h, classes, h1 = hidden(m, rows), s // CLASSES, self.ones[:n]
+        h1[:, :WIDTH] = h
+        softmax(np.matmul(h1, self.classes, out=dz), 1 / n)[each, classes] -= np.float32(1 / n)
+        np.matmul(h1.T, dz, out=self.grad_classes)
         dh = dz @ m.class_w.T
         cuts = class_cuts(classes)
-        d = softmax(word_logits(m, h, cuts))
-        d[each, s % CLASSES] -= 1
-        grad_word, grad_word_b = np.zeros_like(m.word_w), np.zeros_like(m.word_b)
+        for c, lo, hi in cuts:
+            np.dot(h1[lo:hi], self.each[c][0], d[lo:hi])
+        softmax(d, 1 / n)[each, s % CLASSES] -= np.float32(1 / n)
+        if len(cuts) < CLASSES:
+            self.grad_words.fill(0)
         through = np.empty_like(dh)
         for c, lo, hi in cuts:
-            np.matmul(h[lo:hi].T, d[lo:hi], out=grad_word[c])
-            np.matmul(d[lo:hi], m.word_w[c].T, out=through[lo:hi])
+            _, back, grad = self.each[c]
+            of = d[lo:hi]
+            np.dot(h1[lo:hi].T, of, grad)
+            np.dot(of, back, through[lo:hi])
         dh += through
-        present = [c for c, _, _ in cuts]
-        grad_word_b[present] = np.add.reduceat(d, [lo for _, lo, _ in cuts])
         dh *= 1 - h ** 2
         self._embed(rows.ravel(), dh)
-        for i, g in ((1, dh.sum(0)), (2, h.T @ dz), (3, dz.sum(0)), (4, grad_word), (5, grad_word_b)):
-            g /= n
-            self.sums[i] += g * g
-            g *= self.rate
-            g /= np.sqrt(self.sums[i])
-            w = m.weights()[i]
-            w -= g
+        np.sum(dh, 0, out=self.grad_hidden)
+        self.sums += np.multiply(self.grad, self.grad, out=self.square)
+        self.grad *= self.rate
+        self.grad /= np.sqrt(self.sums, out=self.square)
+        self.dense -= self.grad
         self.seen += n
 
     def _embed(self, rows: np.ndarray, grad: np.ndarray) -> None:
         """The embeddings' step: the gradients of one (distance, symbol) are added up first."""
-        n = len(grad)
-        order = np.argsort(rows.astype(np.uint16), kind="stable")
-        rows = rows[order]
-        begins = np.diff(rows, prepend=-1) != 0
-        used, group, source = rows[begins], np.cumsum(begins) - 1, order % n
-        g = np.empty((len(used), WIDTH), np.float32)
-        for j, column in enumerate(np.ascontiguousarray(grad.T, np.float64) / n):
-            g[:, j] = np.bincount(group, column.take(source))
-        sums, embed = self.sums[0].reshape(-1, WIDTH), self.model.embed.reshape(-1, WIDTH)
+        rows = rows.astype(np.uint16)
+        order = np.argsort(rows, kind="stable")
+        rows, source = rows.take(order), np.tile(np.arange(len(grad)), len(OFFSETS)).take(order)
+        ends = np.concatenate([np.flatnonzero(rows[1:] != rows[:-1]) + 1, [len(rows)]])
+        begins = np.concatenate([[0], ends[:-1]])
+        times = ends - begins
+        by_times = np.argsort((MANY - np.minimum(times, MANY + 1)).astype(np.int8), kind="stable")  # most first
+        begins, times = begins.take(by_times), times.take(by_times)
+        used, g = rows.take(begins), grad.take(source.take(begins), 0)
+        for k in range(1, MANY):  # the second of those with two or more, and so on
+            some = np.count_nonzero(times > k)
+            g[:some] += grad.take(source.take(begins[:some] + k), 0)
+        some = np.count_nonzero(times > MANY)
+        if some:
+            rest = times[:some] - MANY
+            ends = np.cumsum(rest)
+            terms = grad.astype(np.float64).take(source.take(
+                np.arange(ends[-1]) + np.repeat(begins[:some] + MANY - ends + rest, rest)), 0)
+            sums = np.cumsum(terms.view(np.complex128), 0).take(ends - 1, 0).view(np.float64)  # two columns at a time
+            g[:some] += np.diff(sums, axis=0, prepend=0)
+        sums, embed = whole_rows(self.embed_sums), whole_rows(self.model.embed)
         size = g * g
-        size += sums.take(used, 0)
-        sums[used] = size
+        size += sums.take(used).view(np.float32).reshape(g.shape)
+        sums.put(used, whole_rows(size))
         g *= self.rate
         g /= np.sqrt(size, out=size)
-        embed[used] -= g
+        now = embed.take(used).view(np.float32).reshape(g.shape)
+        now -= g
+        embed.put(used, whole_rows(now))
+
+
+def views(flat: np.ndarray, shapes: list[tuple[int, ...]]) -> list[np.ndarray]:
+    """Arrays of these shapes that lie one after the other in ``flat``."""
+    cuts = np.cumsum([math.prod(shape) for shape in shapes])[:-1]
+    return [part.reshape(shape) for part, shape in zip(np.split(flat, cuts), shapes)]
+
+
+def whole_rows(table: np.ndarray) -> np.ndarray:
+    """The vectors of a table as single items, which are taken and put as a whole."""
+    return table.reshape(-1, WIDTH).view(f"V{WIDTH * table.itemsize}").ravel()
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
