@@ -53,6 +53,7 @@ WINDOW, WIDTH = 3, 16
 ROUNDS, MASK = 2, 24
 BATCH, RATE = 1024, 0.05
 COUNT_CHARS = 12_000_000  # text counted or scored at a time; a rare word is sent once for each
+LINE_BYTES = 1_200_000    # symbols (two bytes each) trained on or scored at a time: about 4 MB of text
 OFFSETS = tuple(k for k in range(-WINDOW, WINDOW + 1) if k)
 SHARDS = 16               # pieces of the weights in the averaging
 MANY = 6                  # gradients of one embedding that are added one by one
@@ -88,11 +89,16 @@ class Model:
         return Model(self.words, *out, self.bucket_n, self.counts)
 
     def symbols(self, words: pa.Array) -> np.ndarray:
-        found = pc.index_in(words, value_set=pa.array(self.words, pa.binary()))
-        ids = found.fill_null(-1).to_numpy().astype(np.int32)
-        rare = words.filter(found.is_null()).dictionary_encode()
-        ids[ids < 0] = SYMBOLS - BUCKETS + buckets(rare.dictionary).take(rare.indices.to_numpy())
-        return ids
+        return encoded_words(words, self.words)
+
+
+def encoded_words(words: pa.Array, vocabulary: list[bytes]) -> np.ndarray:
+    """The symbol of each word: its place in the vocabulary, or that of its bucket."""
+    found = pc.index_in(words, value_set=pa.array(vocabulary, pa.binary()))
+    ids = found.fill_null(-1).to_numpy().astype(np.int32)
+    rare = words.filter(found.is_null()).dictionary_encode()
+    ids[ids < 0] = SYMBOLS - BUCKETS + buckets(rare.dictionary).take(rare.indices.to_numpy())
+    return ids
 
 
 def bucket(word: bytes) -> int:
@@ -121,15 +127,14 @@ def initial(words: list[bytes], counts: list[int], total: int, seed: int = 11) -
                  np.log(share / share.sum(1, keepdims=True)).astype(np.float32))
 
 
-def lay_out(texts: list[bytes | None], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-    """(symbols with padding between documents, places of the tokens, owner of each token, the tokens)."""
-    words, n = split_words(texts, WORD_BYTES)
-    owner = np.repeat(np.arange(len(texts)), n)
+def lay_out(lines: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols with padding between documents, places of the tokens, owner of each token) of encoded documents."""
+    n = pc.binary_length(lines).to_numpy() // 2
+    owner = np.repeat(np.arange(len(n)), n)
     places = np.arange(len(owner)) + WINDOW * (owner + 1)
-    line = np.full(len(owner) + WINDOW * (len(texts) + 1), SYMBOLS, np.int32)
-    if len(owner):
-        line[places] = model.symbols(words)
-    return line, places, owner, words
+    line = np.full(len(owner) + WINDOW * (len(n) + 1), SYMBOLS, np.uint16)
+    line[places] = np.frombuffer(b"".join(lines.to_pylist()), np.uint16)
+    return line, places, owner
 
 
 def neighbours(line: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -257,7 +262,6 @@ class Trainer:
 
     def _embed(self, rows: np.ndarray, grad: np.ndarray) -> None:
         """The embeddings' step: the gradients of one (distance, symbol) are added up first."""
-        rows = rows.astype(np.uint16)
         order = np.argsort(rows, kind="stable")
         rows, source = rows.take(order), np.tile(np.arange(len(grad)), len(OFFSETS)).take(order)
         ends = np.concatenate([np.flatnonzero(rows[1:] != rows[:-1]) + 1, [len(rows)]])
@@ -312,8 +316,8 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
             .groupBy("word").agg(F.sum("n").alias("n")))
 
 
-def fit(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, mask: int = MASK) -> Model:
-    """Count words, then train ``rounds`` rounds over all documents."""
+def vocabulary(docs: DataFrame, text_col: str = "text") -> Model:
+    """Count words; the untrained network."""
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
     path = scratch_path(spark, "word-counts")
@@ -323,14 +327,72 @@ def fit(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, mask: int
     top = counts.orderBy(F.desc("n"), "word").limit(SYMBOLS - BUCKETS).collect()  # the vocabulary's fixed size
     model = initial([bytes(r["word"]) for r in top], [r["n"] for r in top], total)
     model.bucket_n, model.counts = bucket_counts(counts, model.words), path
-    for r in range(rounds if total else 0):
-        model = train_round(docs, model, r, text_col, rounds, mask)
     return model
 
 
+def encode(rows: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``text_rows`` as symbols, written once for all rounds and the scores.
+
+    A row for each document with its number, its key and its symbols (two bytes each), and a row for each of a
+    batch's distinct words outside the vocabulary with the numbers of its documents and its times in them.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(model.words)
+
+    def fn(rb: pa.RecordBatch) -> dict:
+        words, n = split_words(rb.column(1).cast(pa.binary()).to_pylist(), WORD_BYTES)
+        symbols = encoded_words(words, shared.value).astype(np.uint16)
+        begin = np.concatenate([[0], np.cumsum(2 * n)]).astype(np.int32)
+        lines = pa.Array.from_buffers(pa.binary(), rb.num_rows, [None, pa.py_buffer(begin), pa.py_buffer(symbols)])
+        rare = np.flatnonzero(symbols >= SYMBOLS - BUCKETS)
+        owner = np.repeat(np.arange(len(n)), n)[rare]
+        coded = words.take(pa.array(rare)).dictionary_encode()
+        pairs, times = np.unique(coded.indices.to_numpy().astype(np.int64) * rb.num_rows + owner, return_counts=True)
+        cuts = pa.array(np.searchsorted(pairs, np.arange(len(coded.dictionary) + 1) * rb.num_rows), pa.int32())
+        numbers = rb.column(2).take(pa.array(pairs % rb.num_rows))
+
+        def both(document: pa.Array, word: pa.Array) -> pa.Array:
+            """A column of the documents' rows, then the words' rows."""
+            one = pa.nulls(rb.num_rows, word.type) if document is None else document
+            return pa.concat_arrays([one, pa.nulls(len(coded.dictionary), one.type) if word is None else word])
+
+        return {"_row": both(rb.column(2), None), "_key": both(rb.column(0), None), "line": both(lines, None),
+                "word": both(None, coded.dictionary), "rows": both(None, pa.ListArray.from_arrays(cuts, numbers)),
+                "times": both(None, pa.ListArray.from_arrays(cuts, pa.array(times, pa.int64())))}
+
+    kind = rows.schema["_key"].dataType.simpleString()
+    # written, so that a row's number is the same on both sides of the join
+    return materialize(map_batches(rows.withColumn("_row", F.monotonically_increasing_id()), fn,
+                                   f"_row long, _key {kind}, line binary, word binary, rows array<long>, "
+                                   "times array<long>", max_chars=COUNT_CHARS), "encoded")
+
+
+def train(encoded: DataFrame, model: Model, rounds: int = ROUNDS, mask: int = MASK) -> Model:
+    """``rounds`` rounds over all encoded documents."""
+    lines = encoded.where("line is not null").select("line")
+    for r in range(rounds):
+        model = train_round(lines, model, r, "line", rounds, mask)
+    return model
+
+
+def fit(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, mask: int = MASK) -> Model:
+    """Count words, then train ``rounds`` rounds over all documents."""
+    model = vocabulary(docs, text_col)
+    rows = docs.select(F.lit(0).alias("_key"), F.col(text_col).cast("string").alias("_text"))
+    return train(encode(rows, model), model, rounds, mask)
+
+
+def fit_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``score`` of the documents by the ``fit`` of the same documents, which are encoded once for both."""
+    model = vocabulary(docs, text_col)
+    encoded = encode(text_rows(docs, id_col, text_col), model)
+    return score_encoded(encoded, train(encoded, model), id_col)
+
+
 def turns(owner: np.ndarray, rounds: int, mask: int) -> np.ndarray:
     """The round in which each token is masked, by its position in its document alone."""
-    return (np.arange(len(owner)) - np.searchsorted(owner, owner)) % mask % rounds
+    n = np.bincount(owner)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    return np.tile(np.arange(mask) % rounds, n.max(initial=0) // mask + 1).take(place)
 
 
 def bucket_counts(counts: DataFrame, words: list[bytes]) -> np.ndarray:
@@ -348,14 +410,14 @@ def bucket_counts(counts: DataFrame, words: list[bytes]) -> np.ndarray:
     return out
 
 
-def train_round(docs: DataFrame, model: Model, number: int, text_col: str, rounds: int, mask: int) -> Model:
-    spark = docs.sparkSession
+def train_round(lines: DataFrame, model: Model, number: int, line_col: str, rounds: int, mask: int) -> Model:
+    spark = lines.sparkSession
     shared = spark.sparkContext.broadcast(model)  # of fixed size: the vocabulary and the weights
 
     def run(table: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trainer = Trainer(shared.value, RATE / (1 + number))
-        for rb in batches(table, 0):
-            line, places, owner, _ = lay_out(rb.column(0).cast(pa.binary()).to_pylist(), trainer.model)
+        for rb in batches(table, 0, LINE_BYTES):
+            line, places, owner = lay_out(rb.column(0))
             masked = places[turns(owner, rounds, mask) == number]
             masked = masked[np.random.default_rng(number).permutation(len(masked))]
             for lo in range(0, len(masked), BATCH):
@@ -367,7 +429,7 @@ def train_round(docs: DataFrame, model: Model, number: int, text_col: str, round
                  pa.array([p.astype(np.float32).tobytes() for p in parts], pa.binary())], names=["shard", "n", "w"])
 
     schema = "shard int, n long, w binary"
-    each = docs.select(F.col(text_col).cast("string")).mapInArrow(run, schema)
+    each = lines.select(line_col).mapInArrow(run, schema)
     salted = each.withColumn("salt", F.spark_partition_id() % 16).repartition("shard", "salt").drop("salt")
     sums = salted.mapInArrow(add_up, schema).repartition("shard").mapInArrow(add_up, schema)
     rows = {r["shard"]: r for r in sums.collect()}  # one set of weights
@@ -395,46 +457,35 @@ def add_up(table: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, ``n_tokens``, ``log_prob`` (sum over its tokens), ``score`` (mean per token)."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    return score_encoded(encode(text_rows(docs, id_col, text_col), model), model, id_col)
 
-    def fn(rb: pa.RecordBatch) -> dict:
-        m = shared.value
-        line, places, owner, words = lay_out(rb.column(1).cast(pa.binary()).to_pylist(), m)
-        n = np.bincount(owner, minlength=rb.num_rows)
-        lp = log_probs(m, line, places)
-        rare = np.flatnonzero(line[places] >= SYMBOLS - BUCKETS)
-        if m.bucket_n is not None:
-            lp[rare] -= np.log(m.bucket_n + 1)[line[places[rare]] - (SYMBOLS - BUCKETS)]
-        total = np.bincount(owner, lp, rb.num_rows)
-        # the batch's distinct rare words, each with its documents and its times in them
-        coded = words.take(pa.array(rare)).dictionary_encode()
-        pairs, times = np.unique(coded.indices.to_numpy().astype(np.int64) * rb.num_rows + owner[rare],
-                                 return_counts=True)
-        cuts = pa.array(np.searchsorted(pairs, np.arange(len(coded.dictionary) + 1) * rb.num_rows), pa.int32())
-        rows = rb.column(2).take(pa.array(pairs % rb.num_rows))
 
-        def both(document: pa.Array, word: pa.Array) -> pa.Array:
-            """A column of the documents' rows, then the words' rows."""
-            one = pa.nulls(rb.num_rows, word.type) if document is None else document
-            return pa.concat_arrays([one, pa.nulls(len(coded.dictionary), one.type) if word is None else word])
-
-        return {"_row": both(rb.column(2), None), "_key": both(rb.column(0), None),
-                "n_tokens": both(pa.array(n, pa.int64()), None), "log_prob": both(pa.array(total), None),
-                "word": both(None, coded.dictionary), "rows": both(None, pa.ListArray.from_arrays(cuts, rows)),
-                "times": both(None, pa.ListArray.from_arrays(cuts, pa.array(times, pa.int64())))}
+def score_encoded(encoded: DataFrame, model: Model, id_col: str) -> DataFrame:
+    spark = encoded.sparkSession
+    shared = spark.sparkContext.broadcast(model)
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    numbered = text_rows(docs, id_col, text_col).withColumn("_row", F.monotonically_increasing_id())
-    # written once, so that a row's number is the same on both sides of the join
-    found = materialize(map_batches(numbered, fn, f"_row long, _key {kind}, n_tokens long, log_prob double, "
-                                    "word binary, rows array<long>, times array<long>", max_chars=COUNT_CHARS), "scored")
+    def fn(rb: pa.RecordBatch) -> dict:
+        m, n, total = shared.value, [], []
+        for part in batches([rb], 2, LINE_BYTES):
+            line, places, owner = lay_out(part.column(2))
+            lp = log_probs(m, line, places)
+            rare = np.flatnonzero(line[places] >= SYMBOLS - BUCKETS)
+            if m.bucket_n is not None:
+                lp[rare] -= np.log(m.bucket_n + 1)[line[places[rare]] - (SYMBOLS - BUCKETS)]
+            n.append(np.bincount(owner, minlength=part.num_rows))
+            total.append(np.bincount(owner, lp, part.num_rows))
+        return {"_row": rb.column(0), "_key": rb.column(1), "n_tokens": np.concatenate(n),
+                "log_prob": np.concatenate(total)}
+
+    kind = encoded.schema["_key"].dataType.simpleString()
+    scored = map_batches(encoded.where("line is not null").select("_row", "_key", "line"), fn,
+                         f"_row long, _key {kind}, n_tokens long, log_prob double", text=2, max_chars=COUNT_CHARS)
     counts = spark.read.parquet(model.counts) if model.counts else spark.createDataFrame([], "word binary, n long")
     unseen = -(F.length("word") + 1) * float(np.log(LETTERS))
-    shares = (found.where("word is not null").join(counts, "word", "left")
+    shares = (encoded.where("word is not null").join(counts, "word", "left")
               .select(F.coalesce(F.log("n"), unseen).alias("lp"), F.explode(F.arrays_zip("rows", "times")).alias("at"))
               .groupBy(F.col("at.rows").alias("_row")).agg(F.sum(F.col("lp") * F.col("at.times")).alias("rare")))
     total = F.col("log_prob") + F.coalesce("rare", F.lit(0.0))
-    return (found.where("word is null").join(shares, "_row", "left")
+    return (scored.join(shares, "_row", "left")
             .select(F.col("_key").alias(id_col), "n_tokens", total.alias("log_prob"),
                     F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("score")))

@@ -61,8 +61,8 @@ def op2_compression_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return pseudo_lm.score(docs, pseudo_lm.fit(docs)).select("doc_id", "n_tokens", "log_prob", "score")
+    out = pseudo_lm.fit_score(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_tokens", "log_prob", "score")
 
 
 def tokenizer_file(name: str) -> str:
