@@ -16,7 +16,8 @@ distinct such words with the written counts.  The remaining 1 of a bucket is
 for words the fit has not seen, each ``LETTERS`` ** -(its bytes + 1) of it, so
 the probabilities of all words never sum to more than 1.
 
-Training is data-parallel: in each round every task starts from the current
+The documents are encoded once: their symbols are written, for all rounds and
+the scores.  Training is data-parallel over these rows: in each round every task starts from the current
 weights, takes the round's masked positions of all documents of its
 partition, and its weights are averaged with those of all other tasks, each weighted by its
 number of tokens.  The averaging runs in two shuffled steps that keep one

@@ -149,3 +149,61 @@ def test_rare_word_is_sent_once_for_many_documents(spark, monkeypatch):
     model = M.initial([b"one", b"two"], [40, 40], 120)
     assert {r.n_tokens for r in M.score(docs, model).collect()} == {3}
     assert sent["max_chars"] == M.COUNT_CHARS
+
+
+def test_documents_are_encoded_once_for_all_rounds_and_the_scores(docs, texts, monkeypatch):
+    made, read, encode, train_round = [], [], M.encode, M.train_round
+    monkeypatch.setattr(M, "encode", lambda *a: made.append(1) or encode(*a))
+    monkeypatch.setattr(M, "train_round", lambda d, *rest: read.append(d.columns) or train_round(d, *rest))
+    both = sorted(M.fit_score(docs).collect(), key=str)
+    assert made == [1] and read == [["line"]] * M.ROUNDS and len(both) == len(texts)
+    apart = sorted(M.score(docs, M.fit(docs)).collect(), key=str)
+    for a, b in zip(both, apart, strict=True):
+        assert a[:2] == b[:2] and a.log_prob == pytest.approx(b.log_prob, rel=1e-4, abs=1e-4)
+
+
+def test_step_is_adagrad_on_the_mean_gradient():
+    """Against one token at a time in double precision, with symbols that repeat more often than MANY times."""
+    rng = np.random.default_rng(4)
+    model = M.initial([b"a"], [5], 9)
+    model.bucket_n = None
+    symbols = np.where(rng.random(90) < 0.5, 3, rng.integers(0, M.SYMBOLS, 90)).astype(np.uint16)
+    lines = pa.array([symbols[:40].tobytes(), b"", symbols[40:].tobytes()], pa.binary())
+    line, places, owner = M.lay_out(lines)
+    assert line[places].tolist() == symbols.tolist() and owner.tolist() == [0] * 40 + [2] * 50
+    weights = [w.astype(np.float64) for w in model.weights()]
+    sums = [np.full(w.shape, 1e-8) for w in weights]
+    trainer = M.Trainer(model)
+    for at in (places[::2], places[1::2]):
+        grads = [np.zeros(w.shape) for w in weights]
+        embed, bias, class_w, class_b, word_w, word_b = weights
+        for t in at.tolist():
+            c, j = divmod(int(line[t]), M.CLASSES)
+            near = [int(line[t + off]) for off in M.OFFSETS]
+            h = np.tanh(bias + sum(embed[k, s] for k, s in enumerate(near)))
+            dz, d = h @ class_w + class_b, h @ word_w[c] + word_b[c]
+            dz, d = np.exp(dz) / np.exp(dz).sum(), np.exp(d) / np.exp(d).sum()
+            dz[c] -= 1
+            d[j] -= 1
+            dh = (class_w @ dz + word_w[c] @ d) * (1 - h ** 2)
+            for k, s in enumerate(near):
+                grads[0][k, s] += dh
+            for i, g in ((1, dh), (2, np.outer(h, dz)), (3, dz)):
+                grads[i] += g
+            grads[4][c] += np.outer(h, d)
+            grads[5][c] += d
+        for w, s, g in zip(weights, sums, grads):
+            g /= len(at)
+            s += g * g
+            w -= M.RATE * g / np.sqrt(s)
+        trainer.step(line, at)
+    assert trainer.seen == len(places)
+    for got, want in zip(trainer.model.weights(), weights, strict=True):
+        assert np.abs(got - want).max() < 2e-4
+
+
+def test_exponentials_of_large_logits():
+    z = np.array([[1000.0, 999.0], [-1000.0, -1001.0], [0.0, -500.0]], np.float32)
+    top = 1 / (1 + np.exp(-1))
+    assert M.softmax(z.copy(), 0.5) == pytest.approx(np.array([[top, 1 - top], [top, 1 - top], [1, 0]]) / 2)
+    assert M.picked(z.T.copy(), np.array([1, 0, 1])) == pytest.approx([np.log(1 - top), np.log(top), -500])
